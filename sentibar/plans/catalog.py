@@ -49,7 +49,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def rounded_sql(body: str, rnd: tuple, dates: tuple, ctes: tuple) -> str:
-    repl = [f"round({c}, 6) AS {c}" for c in rnd] + \
+    repl = [f"round({c}, 6) + 0.0 AS {c}" for c in rnd] + \
         [f"CAST({c} AS VARCHAR) AS {c}" for c in dates]
     if repl:
         body = f"SELECT * REPLACE ({', '.join(repl)}) FROM (\n{body}\n) _q"
