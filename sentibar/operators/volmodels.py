@@ -1,13 +1,12 @@
 """Time-series likelihood models as Spark jobs (H3-H8).
 
-A series is turned into one ordered array per asset (``series_arrays``); a
-likelihood is a left fold over that array with ``F.aggregate`` - the
-recursion runs inside the executor that holds the row, and arrays are
-bounded by the number of sessions of one series.  Fitting is a grid search:
-parameter points are exploded next to each series row (rows multiply, the
-series is never copied to the driver), the best point per asset is kept
-with ``min_by``, and a finer grid is centred on it for the next round.
-Every round's survivors are checkpointed to cut the lineage.
+A likelihood at given parameters is a left fold over one ordered array per
+series (``series_arrays``) with ``F.aggregate``: the recursion runs inside
+the executor that holds the row, and arrays are bounded by the number of
+sessions of one series.  Fitting is a grid search per series inside
+``groupBy(series).applyInPandas``: Spark distributes the series, and each
+task evaluates all grid points of a round in one numpy recursion vectorised
+over the points (a refinement round re-centres a finer grid on the best).
 
 Conventions (documented deviations from a numerical optimiser):
 * GARCH-family start value h_1 = sample variance of the residuals;
@@ -17,7 +16,6 @@ Conventions (documented deviations from a numerical optimiser):
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -108,88 +106,139 @@ def arma_sse(y: Column, mu: Column, phi: Column, theta: Column) -> Column:
 
 
 # --------------------------------------------------------------- grid fits
-def _grid(params: dict) -> Column:
-    names = list(params)
-    pts = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, combo)])
-           for combo in itertools.product(*[params[n] for n in names])]
-    return F.explode(F.array(*pts))
-
-
 def _linspace(lo: float, hi: float, k: int):
     return [lo + (hi - lo) * i / (k - 1) for i in range(k)]
 
 
-def _best(scored: DataFrame, group: str, names) -> DataFrame:
-    best = F.max_by(F.struct(*[F.col(n) for n in names], F.col("loglik")), F.col("loglik"))
-    return scored.groupBy(group).agg(best.alias("_b")).select(group, "_b.*")
-
+# Coarse grids and parameter counts k (the mean counts as a parameter).
+GRID_SPECS = {
+    "garch": ({"alpha": _linspace(0.01, 0.3, 10), "beta": _linspace(0.5, 0.98, 13)}, 4),
+    "egarch": ({"alpha": _linspace(0.0, 0.4, 6), "gamma": _linspace(-0.2, 0.2, 5),
+                "beta": _linspace(0.7, 0.99, 8)}, 5),
+    "tgarch": ({"alpha": _linspace(0.0, 0.2, 6), "gamma": _linspace(0.0, 0.2, 5),
+                "beta": _linspace(0.7, 0.98, 8)}, 5),
+    "arma": ({"phi": _linspace(-0.9, 0.9, 19), "theta": _linspace(-0.9, 0.9, 19)}, 4),
+}
+
+
+def np_loglik(model: str, y, P: dict):
+    """Log-likelihood of one series for a whole vector of parameter points
+    at once (same recursions and conventions as the column folds above)."""
+    import numpy as np
+
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    h0 = float(np.var(y, ddof=1)) if n > 1 else float("nan")
+    g = len(next(iter(P.values())))
+    ll = np.zeros(g)
+    with np.errstate(all="ignore"):
+        if model == "garch":
+            a, b = P["alpha"], P["beta"]
+            valid = (a >= 0) & (b >= 0) & (a + b < 1)
+            om = h0 * (1 - a - b)
+            h = np.full(g, h0)
+            for t in range(n):
+                if t > 0:
+                    h = om + a * y[t - 1] ** 2 + b * h
+                ll += LN_2PI + np.log(h) + y[t] ** 2 / h
+            out = -0.5 * ll
+        elif model == "egarch":
+            a, gm, b = P["alpha"], P["gamma"], P["beta"]
+            valid = np.abs(b) < 1
+            om = (1 - b) * np.log(h0)
+            lnh = np.full(g, np.log(h0))
+            z = np.zeros(g)
+            for t in range(n):
+                if t > 0:
+                    lnh = om + a * (np.abs(z) - SQRT_2_OVER_PI) + gm * z + b * lnh
+                h = np.exp(lnh)
+                z = y[t] / np.sqrt(h)
+                ll += LN_2PI + lnh + y[t] ** 2 / h
+            out = -0.5 * ll
+        elif model == "tgarch":
+            a, gm, b = P["alpha"], P["gamma"], P["beta"]
+            persist = b + (a + gm / 2) * SQRT_2_OVER_PI
+            valid = (a >= 0) & (gm >= 0) & (b >= 0) & (persist < 1)
+            om = np.sqrt(h0) * (1 - persist)
+            sig = np.full(g, np.sqrt(h0))
+            for t in range(n):
+                if t > 0:
+                    prev = y[t - 1]
+                    sig = om + (a + (gm if prev < 0 else 0.0)) * abs(prev) + b * sig
+                h = sig * sig
+                ll += LN_2PI + np.log(h) + y[t] ** 2 / h
+            out = -0.5 * ll
+        elif model == "arma":
+            phi, theta = P["phi"], P["theta"]
+            valid = (np.abs(phi) < 1) & (np.abs(theta) < 1)
+            yp, ep, sse = 0.0, np.zeros(g), np.zeros(g)
+            for t in range(n):
+                e = y[t] - phi * yp - theta * ep
+                sse += e * e
+                yp, ep = y[t], e
+            out = -n / 2 * (LN_2PI + np.log(sse / n) + 1)
+        else:
+            raise ValueError(model)
+    return np.where(valid & np.isfinite(out), out, np.nan)
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    # Reliable checkpoint into spark.checkpoint.dir (shared storage on a cluster).
-    return df.checkpoint(eager=True)
 
+def fit_series(y, model: str, rounds: int = 4):
+    """Grid search: the coarse grid, then ``rounds - 1`` local 5-point grids
+    per parameter, each a third of the previous spacing, around the best."""
+    import numpy as np
 
-def fit_grid(series: DataFrame, model: str, rounds: int = 2, group: str = "asset_tag") -> DataFrame:
-    """Maximise the likelihood of ``model`` in {garch, egarch, tgarch, arma}
-    over a coarse grid, then ``rounds - 1`` finer grids around the optimum.
-    Returns one row per series with the parameters, loglik, k, AIC, BIC."""
-    specs = {
-        "garch": ({"alpha": _linspace(0.01, 0.3, 10), "beta": _linspace(0.5, 0.98, 13)}, 4),
-        "egarch": ({"alpha": _linspace(0.0, 0.4, 6), "gamma": _linspace(-0.2, 0.2, 5),
-                    "beta": _linspace(0.7, 0.99, 8)}, 5),
-        "tgarch": ({"alpha": _linspace(0.0, 0.2, 6), "gamma": _linspace(0.0, 0.2, 5),
-                    "beta": _linspace(0.7, 0.98, 8)}, 5),
-        "arma": ({"phi": _linspace(-0.9, 0.9, 19), "theta": _linspace(-0.9, 0.9, 19)}, 4),
-    }
-    grid, k = specs[model]
+    grid, k = GRID_SPECS[model]
     names = list(grid)
-    base = series.select(group, "y", "n", "h0", "mu")
-    spans = {n: (max(v) - min(v)) / max(len(v) - 1, 1) for n, v in grid.items()}
-    best = None
+    mesh = np.meshgrid(*[np.asarray(grid[n]) for n in names], indexing="ij")
+    pts = {n: m.ravel() for n, m in zip(names, mesh)}
+    spans = {n: (max(v) - min(v)) / (len(v) - 1) for n, v in grid.items()}
+    best, best_ll = None, -np.inf
     for r in range(rounds):
-        if r == 0:
-            pts = base.select("*", _grid(grid).alias("_p")).select(
-                group, "y", "n", "h0", "mu", *[F.col(f"_p.{n}").alias(n) for n in names])
-        else:
-            step = {n: spans[n] / (3 ** r) for n in names}
-            offs = {n: [-step[n], 0.0, step[n]] for n in names}
-            pts = (base.join(best.select(group, *[F.col(n).alias(f"_c_{n}") for n in names]), group)
-                   .select("*", _grid(offs).alias("_d"))
-                   .select(group, "y", "n", "h0", "mu",
-                           *[(F.col(f"_c_{n}") + F.col(f"_d.{n}")).alias(n) for n in names]))
-        scored = pts.withColumn("loglik", _loglik(model, names))
-        scored = scored.filter(F.col("loglik").isNotNull() & ~F.isnan("loglik"))
-        best = _checkpoint(_best(scored, group, names))
-    n = base.select(group, "n")
-    out = best.join(n, group)
-    aic = -2 * F.col("loglik") + 2 * k
-    bic = -2 * F.col("loglik") + k * F.ln(F.col("n").cast("double"))
-    return out.select(group, F.lit(model).alias("model"), *names, "loglik",
-                      F.lit(k).alias("k"), "n", aic.alias("aic"), bic.alias("bic"))
-
-
-def _loglik(model: str, names) -> Column:
-    y, h0, n = F.col("y"), F.col("h0"), F.col("n").cast("double")
-    if model == "garch":
-        a, b = F.col("alpha"), F.col("beta")
-        valid = (a >= 0) & (b >= 0) & (a + b < 1)
-        omega = h0 * (1 - a - b)
-        return F.when(valid, garch_loglik(y, h0, omega, a, b))
-    if model == "egarch":
-        a, g, b = F.col("alpha"), F.col("gamma"), F.col("beta")
-        valid = (F.abs(b) < 1)
-        omega = (1 - b) * F.ln(h0)
-        return F.when(valid, egarch_loglik(y, h0, omega, a, g, b))
-    if model == "tgarch":
-        a, g, b = F.col("alpha"), F.col("gamma"), F.col("beta")
-        persist = b + (a + g / 2) * F.lit(SQRT_2_OVER_PI)
-        valid = (a >= 0) & (g >= 0) & (b >= 0) & (persist < 1)
-        omega = F.sqrt(h0) * (1 - persist)
-        return F.when(valid, tgarch_loglik(y, h0, omega, a, g, b))
-    if model == "arma":
-        phi, theta = F.col("phi"), F.col("theta")
-        valid = (F.abs(phi) < 1) & (F.abs(theta) < 1)
-        # The series are residuals about the sample mean: y_0 = 0, c = 0.
-        sse = arma_sse(y, F.lit(0.0), phi, theta)
-        return F.when(valid, -n / 2 * (F.lit(LN_2PI) + F.ln(sse / n) + 1))
-    raise ValueError(model)
+        if r > 0:
+            offs = np.linspace(-1.0, 1.0, 5)
+            local = np.meshgrid(*[best[n] + offs * spans[n] / (3 ** r) for n in names],
+                                indexing="ij")
+            pts = {n: m.ravel() for n, m in zip(names, local)}
+        ll = np_loglik(model, y, pts)
+        if np.all(np.isnan(ll)):
+            break
+        i = int(np.nanargmax(ll))
+        if ll[i] > best_ll:
+            best_ll, best = float(ll[i]), {n: float(pts[n][i]) for n in names}
+    return best, best_ll, k
+
+
+def fit_grid(resid: DataFrame, model: str, rounds: int = 4, group: str = "asset_tag",
+             order: str = "trading_session", value: str = "e") -> DataFrame:
+    """Fit ``model`` in {garch, egarch, tgarch, arma} per series.
+
+    ``groupBy(series).applyInPandas``: each task receives one series (its
+    length is the number of sessions) and evaluates every grid point of a
+    round as one vectorised numpy recursion; only parameters come back.
+    """
+    import math as _m
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    names = list(GRID_SPECS[model][0])
+    schema = T.StructType(
+        [T.StructField(group, T.StringType()), T.StructField("model", T.StringType())]
+        + [T.StructField(n, T.DoubleType()) for n in names]
+        + [T.StructField("loglik", T.DoubleType()), T.StructField("k", T.IntegerType()),
+           T.StructField("n", T.LongType()), T.StructField("aic", T.DoubleType()),
+           T.StructField("bic", T.DoubleType())])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        y = pdf[value].to_numpy(dtype=float)
+        best, ll, k = fit_series(y, model, rounds)
+        n = len(y)
+        if best is None:
+            return pd.DataFrame([], columns=[f.name for f in schema.fields])
+        row = [pdf[group].iloc[0], model, *[best[p] for p in names], ll, k, n,
+               -2 * ll + 2 * k, -2 * ll + k * _m.log(n)]
+        return pd.DataFrame([row], columns=[f.name for f in schema.fields])
+
+    return (resid.select(group, order, value).filter(F.col(value).isNotNull())
+            .groupBy(group).applyInPandas(fit, schema))

@@ -306,8 +306,7 @@ def q_writeback(t):
 
 # ----------------------------------------------------------- rows-only fits
 def _fit(t, model: str, scale: float):
-    s = VM.series_arrays(VM.residual_series(features(t), scale=scale))
-    return VM.fit_grid(s, model)
+    return VM.fit_grid(VM.residual_series(features(t), scale=scale), model)
 
 
 @register("arma_fit", ops="H3")
@@ -346,7 +345,7 @@ def q_garchx(t):
                    ((F.col("y") - F.col("_my"))
                     - F.col("beta_market") * (F.col("gemma_dispersion") - F.col("_m1"))
                     - F.col("beta_factor") * (F.col("article_impact_index") - F.col("_m2"))).alias("e")))
-    fit = VM.fit_grid(VM.series_arrays(res), "garch")
+    fit = VM.fit_grid(res, "garch")
     k = 6
     return fit.select("asset_tag", F.lit("garch_x").alias("model"), "alpha", "beta", "loglik",
                       F.lit(k).alias("k"), "n",

@@ -81,7 +81,7 @@ def test_garch_loglik_matches_numpy(spark):
 def test_garch_grid_recovers_persistence(spark):
     e = _simulate_garch(3000, 0.05, 0.12, 0.83)
     df = _frame(spark, {"log_return_1d": e / 100})
-    fit = VM.fit_grid(VM.series_arrays(VM.residual_series(df)), "garch", rounds=2).collect()[0]
+    fit = VM.fit_grid(VM.residual_series(df), "garch").collect()[0]
     assert fit.alpha == pytest.approx(0.12, abs=0.06)
     assert fit.beta == pytest.approx(0.83, abs=0.08)
     assert fit.k == 4
@@ -95,7 +95,7 @@ def test_arma_grid_recovers_ar(spark):
     for t in range(1, n):
         y[t] = phi * y[t - 1] + eps[t]
     df = _frame(spark, {"log_return_1d": y})
-    fit = VM.fit_grid(VM.series_arrays(VM.residual_series(df, scale=1.0)), "arma").collect()[0]
+    fit = VM.fit_grid(VM.residual_series(df, scale=1.0), "arma").collect()[0]
     assert fit.phi == pytest.approx(phi, abs=0.1)
     assert fit.theta == pytest.approx(0.0, abs=0.15)
 
@@ -134,3 +134,27 @@ def test_no_article_after_its_session_close(spark):
     a = CA.align_to_sessions(FX.news_from_orders(t.orders).select("news_id", "time"), cal)
     j = a.join(cal, a.trading_session == cal.session_date)
     assert j.filter(F.col("time") > F.col("close_ts")).count() == 0
+
+
+@pytest.mark.parametrize("model,params", [
+    ("garch", {"alpha": 0.1, "beta": 0.8}),
+    ("egarch", {"alpha": 0.2, "gamma": -0.1, "beta": 0.9}),
+    ("tgarch", {"alpha": 0.05, "gamma": 0.1, "beta": 0.85}),
+])
+def test_numpy_and_column_folds_agree(spark, model, params):
+    e = _simulate_garch(400, 0.1, 0.1, 0.8, seed=9)
+    df = _frame(spark, {"log_return_1d": e / 100})
+    s = VM.series_arrays(VM.residual_series(df))
+    row = s.collect()[0]
+    want = VM.np_loglik(model, np.array(row.y), {k: np.array([v]) for k, v in params.items()})[0]
+    y, h0 = F.col("y"), F.col("h0")
+    lit = {k: F.lit(v) for k, v in params.items()}
+    if model == "garch":
+        col = VM.garch_loglik(y, h0, h0 * (1 - lit["alpha"] - lit["beta"]), lit["alpha"], lit["beta"])
+    elif model == "egarch":
+        col = VM.egarch_loglik(y, h0, (1 - lit["beta"]) * F.ln(h0), lit["alpha"], lit["gamma"], lit["beta"])
+    else:
+        persist = lit["beta"] + (lit["alpha"] + lit["gamma"] / 2) * F.lit(VM.SQRT_2_OVER_PI)
+        col = VM.tgarch_loglik(y, h0, F.sqrt(h0) * (1 - persist), lit["alpha"], lit["gamma"], lit["beta"])
+    got = s.select(col.alias("ll")).collect()[0].ll
+    assert got == pytest.approx(want, rel=1e-9)
