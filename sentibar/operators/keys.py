@@ -59,7 +59,8 @@ def pending(df: DataFrame, col: str) -> DataFrame:
 def anti(df: DataFrame, done: DataFrame, key) -> DataFrame:
     """Rows whose key is not yet present in ``done``."""
     key = [key] if isinstance(key, str) else list(key)
-    return df.join(done.select(*key).distinct(), key, "left_anti")
+    # Duplicates on the right do not change an anti join: no distinct (no extra shuffle).
+    return df.join(done.select(*key), key, "left_anti")
 
 
 def two_step_lookup(rows: DataFrame, feed: DataFrame, tag: str = "asset_tag",

@@ -52,6 +52,17 @@ def model_frame(features: DataFrame, cols, target: str = "realized_vol_22d",
     return chrono_split(df, group=group)
 
 
+def sized(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
+    """Cache a training set with partitions sized to its row count.
+
+    Tree learners run several jobs per iteration; on a small series, many
+    near-empty partitions make every job pay per-task overhead.  Large
+    series keep one partition per ``rows_per_partition`` rows."""
+    n = df.count()
+    parts = max(1, -(-n // rows_per_partition))
+    return df.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _assets(df: DataFrame, group: str) -> list:
     # Distinct series keys only (a handful of values), not data rows.
     return [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
@@ -70,7 +81,8 @@ def fit_predict(frame: DataFrame, cols, estimator_factory, pred_col: str,
 
     def one(a):
         sub = data.filter(F.col(group) == a)
-        model = estimator_factory().fit(sub.filter(F.col("split") == "train"))
+        train = sized(sub.filter(F.col("split") == "train"))
+        model = estimator_factory().fit(train)
         pred = (model.transform(sub.filter(F.col("split") == "test"))
                 .select(group, *keys, F.col("prediction").alias(pred_col)))
         return a, model, pred
@@ -95,16 +107,24 @@ def feature_set_compare(features: DataFrame, sets=None, models=("XGBoost", "Rand
     factories = {"XGBoost": ("xgb", boosted), "RandomForest": ("rf", forest)}
     test = frame.filter(F.col("split") == "test").select(group, "trading_session", "close",
                                                          "log_return_1d", target)
+    combos = [(var, cols, mname) for var, cols in sets.items() for mname in models]
+
+    def run(combo):
+        var, cols, mname = combo
+        prefix, fac = factories[mname]
+        pc = f"{prefix}_pred_{var.lower()}"
+        preds, _ = fit_predict(frame, cols, fac, pc, target, group)
+        m = error_metrics(preds.join(test, [group, "trading_session"]), target, pc, [group])
+        return preds, m.select(group, F.lit(var).alias("variation"), F.lit(mname).alias("model"),
+                               "rmse", "mae")
+
+    # Independent fits: submit them together so their many short jobs overlap.
+    with ThreadPoolExecutor(max_workers=len(combos)) as ex:
+        results = list(ex.map(run, combos))
     metrics, wide = [], test
-    for var, cols in sets.items():
-        for mname in models:
-            prefix, fac = factories[mname]
-            pc = f"{prefix}_pred_{var.lower()}"
-            preds, _ = fit_predict(frame, cols, fac, pc, target, group)
-            wide = wide.join(preds, [group, "trading_session"], "left")
-            m = error_metrics(preds.join(test, [group, "trading_session"]), target, pc, [group])
-            metrics.append(m.select(group, F.lit(var).alias("variation"), F.lit(mname).alias("model"),
-                                    "rmse", "mae"))
+    for preds, m in results:
+        wide = wide.join(preds, [group, "trading_session"], "left")
+        metrics.append(m)
     out = metrics[0]
     for m in metrics[1:]:
         out = out.unionByName(m)

@@ -80,17 +80,21 @@ def fixed_bin_histogram(df: DataFrame, group: str, score_cols, bins: int = 20,
 
 
 def kde_curve(df: DataFrame, group: str, score_cols, grid: int = 200, cut: float = 3.0,
-              require: str | None = None) -> DataFrame:
+              require: str | None = None, decimals: int = 4) -> DataFrame:
     """Gaussian kernel density on a regular grid per (group, scorer).
 
     Bandwidth by Scott's rule, h = s * n^(-1/5) with the sample standard
-    deviation; the grid spans [min - cut*h, max + cut*h].  Exact: the sum runs
-    over distinct values weighted by their counts.
+    deviation; the grid spans [min - cut*h, max + cut*h].  Values are first
+    binned to ``decimals`` places and counted, so the kernel sum runs over
+    at most (range * 10^decimals) weighted points per group whatever the
+    number of articles (for scores in [-1, 1]: 20,001); the binning error
+    is far below the bandwidth.
     """
     if require:
         df = df.filter(F.col(require).isNotNull())
     vals = (_long_scores(df, group, score_cols).filter(F.col("v").isNotNull())
-            .groupBy(group, "scorer", "v").agg(F.count(F.lit(1)).alias("_n")))
+            .groupBy(group, "scorer", F.round("v", decimals).alias("v"))
+            .agg(F.count(F.lit(1)).alias("_n")))
     # Group statistics from the collapsed values: one pass over the input.
     n = F.sum("_n").cast("double")
     s1 = F.sum(F.col("_n") * F.col("v"))

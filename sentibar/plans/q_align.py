@@ -212,9 +212,11 @@ def q_anti_days(t):
 
 
 @register("anti_keys", ops="C12",
-          sql="SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN "
-              "(SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", dates=())
+          sql="SELECT n.news_id, n.asset_tag FROM news n ANTI JOIN "
+              "(SELECT DISTINCT l_orderkey FROM lineitem) l ON n.news_id = l.l_orderkey",
+          ctes=("news",), dates=())
 def q_anti_keys(t):
-    c = t.customer.select("c_custkey", "c_name")
-    o = t.orders.select(F.col("o_custkey").alias("c_custkey"))
-    return K.anti(c, o, "c_custkey")
+    """Articles whose key has no match in an existing key set (here: orders
+    without line items)."""
+    done = t.lineitem.select(F.col("l_orderkey").alias("news_id"))
+    return K.anti(news(t).select("news_id", "asset_tag"), done, "news_id")

@@ -90,7 +90,7 @@ _NORM = repr(1.0 / math.sqrt(2 * math.pi))
 
 
 @register("score_kde", ops="D15",
-          sql=f"""WITH c AS (SELECT asset_tag, scorer, v, count(*) AS n FROM score_values GROUP BY ALL),
+          sql=f"""WITH c AS (SELECT asset_tag, scorer, round(v, 4) AS v, count(*) AS n FROM score_values GROUP BY ALL),
 s AS (SELECT asset_tag, scorer, CAST(sum(n) AS DOUBLE) AS cnt,
              CASE WHEN sum(n) > 1 THEN sqrt(greatest((sum(n * v * v) - sum(n * v) * sum(n * v) / CAST(sum(n) AS DOUBLE))
                                                  / (CAST(sum(n) AS DOUBLE) - 1), 0.0)) ELSE 0.0 END AS sd,
