@@ -206,3 +206,27 @@ def q_coalesce(t):
                      & TX.first_nonempty("headline").isNotNull())
             .select("news_id", "ts", "headline",
                     TX.first_nonempty("summary", "headline").alias("summary_or_headline")))
+
+
+_SHORT_SQL = f"substring(coalesce(nullif(summary, ''), nullif(headline, '')), 1, {FV.SHORT_TEXT_LIMIT})"
+
+
+@register("rescore_pending", ops="B8 B13 A13 A14",
+          sql=f"""SELECT news_id,
+       CASE WHEN gemma_sentiment_score IS NULL THEN
+         CASE WHEN n_pos > n_neg THEN p WHEN n_neg > n_pos THEN -p ELSE 0.0 END
+       ELSE gemma_sentiment_score END AS gemma_sentiment_score
+FROM (SELECT news_id, gemma_sentiment_score, n_pos, n_neg,
+             CAST(greatest(n_pos, n_neg) + 1 AS DOUBLE) / CAST(n_pos + n_neg + 2 AS DOUBLE) AS p
+      FROM (SELECT news_id, gemma_sentiment_score,
+                   CAST({_lex_sql(FV.POSITIVE_WORDS).replace('lower(text)', f'lower({_SHORT_SQL})')} AS INTEGER) AS n_pos,
+                   CAST({_lex_sql(FV.NEGATIVE_WORDS).replace('lower(text)', f'lower({_SHORT_SQL})')} AS INTEGER) AS n_neg
+            FROM news))""",
+          ctes=("news",), rnd=("gemma_sentiment_score",), dates=())
+def q_rescore(t):
+    """Score only the articles still missing a score (scorer input: summary,
+    else headline, first 1000 characters) and merge the scores back by key."""
+    n = news(t).select("news_id", "summary", "headline", "gemma_sentiment_score")
+    out = SC.rescore_pending(n, "news_id", TX.short_scorer_text("summary", "headline"),
+                             "gemma_sentiment_score")
+    return out.select("news_id", "gemma_sentiment_score")

@@ -195,3 +195,23 @@ def test_clip_keeps_null(spark):
     from sentibar.functions.numeric import clip
     df = spark.createDataFrame([(None,), (0.2,), (0.001,)], "x double")
     assert [r.c for r in df.select(clip("x", 0.005, 0.1).alias("c")).collect()] == [None, 0.1, 0.005]
+
+
+def test_external_batch_scorer_and_rescore(spark):
+    import pandas as pd
+    from sentibar.operators import scoring as SC
+
+    def model(texts: pd.Series) -> pd.DataFrame:
+        # Toy batch model: long texts are positive with prob 0.9.
+        long = texts.str.len() > 5
+        return pd.DataFrame({"label": long.map({True: "positive", False: "neutral"}),
+                             "prob": 0.9})
+
+    df = spark.createDataFrame([(1, "short", None), (2, "a longer text", None), (3, "x", 0.25)],
+                               "id int, text string, score double")
+    scored = SC.score_articles(df, F.col("text"), SC.pandas_scorer(model), prefix="m")
+    got = {r.id: (r.m_label, r.m_sentiment) for r in scored.collect()}
+    assert got[2] == ("positive", 0.9) and got[1] == ("neutral", 0.0)
+    res = {r.id: r.score for r in SC.rescore_pending(df, "id", F.col("text"), "score",
+                                                       SC.pandas_scorer(model)).collect()}
+    assert res == {1: 0.0, 2: 0.9, 3: 0.25}              # only pending rows are scored
