@@ -17,15 +17,19 @@ from .numeric import col_
 # in practice (ASCII whitespace, vertical tab, no-break space).
 WS_CLASS = r"[\t\n\x{0B}\f\r \x{A0}]"
 
-# Removal patterns of clean_html, applied in this order.
+# Markup removed by clean_html, as one leftmost-first alternation scanned in
+# a single pass: script/style/template elements with their bodies, comments,
+# declarations, processing instructions, then any other tag.  At each
+# position the first listed form wins, as in an HTML tokenizer (a comment
+# hides the tags inside it).
 HTML_DROP_PATTERNS = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
-    r"(?s)<!--.*?-->",
-    r"(?s)<![^>]*>",
-    r"(?s)<\?[^>]*>",
-    r"(?s)</?[A-Za-z][^>]*>",
+    r"(?is)<script\b[^>]*>.*?</script\s*>"
+    r"|<style\b[^>]*>.*?</style\s*>"
+    r"|<template\b[^>]*>.*?</template\s*>"
+    r"|<!--.*?-->"
+    r"|<![^>]*>"
+    r"|<\?[^>]*>"
+    r"|</?[A-Za-z][^>]*>",
 )
 
 
@@ -100,9 +104,17 @@ def embedded_json(c) -> Column:
     return F.regexp_extract(col_(c), r"(?s)\{.*\}", 0)
 
 
-def reply_fields(c) -> dict[str, Column]:
-    """Parse the scorer reply; every field NULL when the JSON is invalid."""
-    v = F.try_parse_json(F.nullif(embedded_json(c), F.lit("")))
+def reply_variant(c) -> Column:
+    """B11 step 2: the embedded object parsed strictly; NULL when invalid."""
+    return F.try_parse_json(F.nullif(embedded_json(c), F.lit("")))
+
+
+def reply_fields(v) -> dict[str, Column]:
+    """B11 step 3: typed fields of a parsed reply (``reply_variant``).
+
+    Project the variant once as a column and read the fields from it, so the
+    JSON is parsed once per row, not once per field."""
+    v = col_(v)
     return {
         "asset": F.try_variant_get(v, "$.asset", "string"),
         "reasoning": F.try_variant_get(v, "$.reasoning", "string"),
@@ -125,13 +137,19 @@ def words(c) -> Column:
     return F.filter(F.split(F.lower(col_(c)), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def lexicon_counts(c, positive=FV.POSITIVE_WORDS, negative=FV.NEGATIVE_WORDS):
-    w = words(c)
-    pos = F.lit(list(positive))
-    neg = F.lit(list(negative))
-    n_pos = F.size(F.filter(w, lambda t: F.array_contains(pos, t)))
-    n_neg = F.size(F.filter(w, lambda t: F.array_contains(neg, t)))
-    return n_pos, n_neg
+def lexicon_counts(w, positive=FV.POSITIVE_WORDS, negative=FV.NEGATIVE_WORDS):
+    """Occurrences of lexicon words in a word array (``words``).
+
+    ``arrays_overlap`` (hash based) rules out most texts at once; only texts
+    that contain a lexicon word are scanned word by word."""
+    w = col_(w)
+
+    def count(lex):
+        arr = F.lit(list(lex))
+        return F.when(F.arrays_overlap(w, arr),
+                      F.size(F.filter(w, lambda t: F.array_contains(arr, t)))).otherwise(F.lit(0))
+
+    return count(positive), count(negative)
 
 
 def tags_flatten(c) -> Column:

@@ -1,7 +1,8 @@
 """Article scoring (B8-B13): a pluggable scorer stage.
 
-``score_articles`` takes any scorer that maps a text column to a label and a
-probability.  Two implementations:
+``score_articles`` takes any scorer: a step ``scorer(df, text) -> df`` that
+adds a struct column ``_s`` with a label and a probability.  Two
+implementations:
 
 * ``lexicon_scorer`` - the built-in default, native column expressions
   (split + filter + size), stays inside whole-stage codegen;
@@ -24,24 +25,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as FV
-from ..functions.text import lexicon_counts, polar_score
+from ..functions.text import lexicon_counts, polar_score, reply_fields, reply_variant
 from .keys import keyed_update
 
 SCORE_TYPE = T.StructType([T.StructField("label", T.StringType()),
                            T.StructField("prob", T.DoubleType())])
 
 
-def lexicon_scorer(text: Column, positive=FV.POSITIVE_WORDS,
-                   negative=FV.NEGATIVE_WORDS) -> Column:
+def lexicon_scorer(positive=FV.POSITIVE_WORDS, negative=FV.NEGATIVE_WORDS):
     """Label by majority of lexicon hits over the whole text; probability is
-    the Laplace-smoothed share of the majority class."""
-    n_pos, n_neg = lexicon_counts(text, positive, negative)
-    label = (F.when(n_pos > n_neg, F.lit("positive"))
-             .when(n_neg > n_pos, F.lit("negative"))
-             .otherwise(F.lit("neutral")))
-    prob = (F.greatest(n_pos, n_neg) + 1).cast("double") / (n_pos + n_neg + 2).cast("double")
-    return F.struct(label.alias("label"), prob.alias("prob"),
-                    n_pos.alias("n_pos"), n_neg.alias("n_neg"))
+    the Laplace-smoothed share of the majority class.  The word array is
+    projected once and shared by both counts."""
+
+    def step(df: DataFrame, text: Column) -> DataFrame:
+        # Letter runs of the lower-cased text; empty tokens never match a
+        # lexicon word, so the raw split is counted directly.
+        w = df.withColumn("_w", F.split(F.lower(text), r"[^\p{L}]+"))
+        n_pos, n_neg = lexicon_counts(F.col("_w"), positive, negative)
+        counted = w.withColumn("_c", F.struct(n_pos.alias("p"), n_neg.alias("n"))).drop("_w")
+        p, n = F.col("_c.p"), F.col("_c.n")
+        label = (F.when(p > n, F.lit("positive")).when(n > p, F.lit("negative"))
+                 .otherwise(F.lit("neutral")))
+        prob = (F.greatest(p, n) + 1).cast("double") / (p + n + 2).cast("double")
+        return (counted.withColumn("_s", F.struct(label.alias("label"), prob.alias("prob"),
+                                                  p.alias("n_pos"), n.alias("n_neg")))
+                .drop("_c"))
+
+    return step
 
 
 def pandas_scorer(fn: Callable[[pd.Series], pd.DataFrame]):
@@ -54,21 +64,29 @@ def pandas_scorer(fn: Callable[[pd.Series], pd.DataFrame]):
             out = fn(texts.fillna(""))
             yield out[["label", "prob"]].reset_index(drop=True)
 
-    return lambda text: _score(text)
+    return lambda df, text: df.withColumn("_s", _score(text))
 
 
-def score_articles(df: DataFrame, text: Column, scorer=lexicon_scorer,
+def score_articles(df: DataFrame, text: Column, scorer=None,
                    prefix: str = "lexicon") -> DataFrame:
-    s = scorer(text)
-    return (df.withColumn("_s", s)
+    scorer = scorer or lexicon_scorer()
+    return (scorer(df, text)
             .withColumn(f"{prefix}_label", F.col("_s.label"))
             .withColumn(f"{prefix}_prob", F.col("_s.prob"))
             .withColumn(f"{prefix}_sentiment", polar_score(F.col("_s.label"), F.col("_s.prob")))
             .drop("_s"))
 
 
+def with_reply_fields(df: DataFrame, reply: str, keep_valid_only: bool = False) -> DataFrame:
+    """B11 on a DataFrame: parse each reply once, then project its fields."""
+    v = df.withColumn("_v", reply_variant(reply))
+    if keep_valid_only:
+        v = v.filter(F.col("_v").isNotNull())
+    return v.withColumns(reply_fields("_v")).drop("_v")
+
+
 def rescore_pending(articles: DataFrame, key: str, text: Column, target_col: str,
-                    scorer=lexicon_scorer) -> DataFrame:
+                    scorer=None) -> DataFrame:
     """Score rows whose ``target_col`` is NULL and merge the values back."""
     todo = articles.filter(F.col(target_col).isNull())
     scored = score_articles(todo.select(key, text.alias("_text")), F.col("_text"),

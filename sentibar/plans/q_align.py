@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
+from ..operators import scoring as SC
 from ..operators import calendar as CA
 from ..operators import keys as K
 from ..sources import fixtures as FX
@@ -182,12 +182,10 @@ FROM news n LEFT JOIN (
           ctes=("news", "replies"), rnd=("gemma_sentiment_score",), dates=())
 def q_keyed_update(t):
     target = news(t).select("news_id", "asset_tag", "headline")
-    rep = FX.reply_text_from_orders(t.orders)
-    f = TX.reply_fields("reply")
-    parsed = (rep.select("news_id", F.try_parse_json(F.nullif(TX.embedded_json("reply"), F.lit("")))
-                         .alias("_v"), f["sentiment_score"].alias("gemma_sentiment_score"),
-                         f["impact_type"].alias("gemma_impact_type"))
-              .filter(F.col("_v").isNotNull()).drop("_v"))
+    rep = FX.reply_text_from_orders(t.orders).select("news_id", "reply")
+    parsed = (SC.with_reply_fields(rep, "reply", keep_valid_only=True)
+              .select("news_id", F.col("sentiment_score").alias("gemma_sentiment_score"),
+                      F.col("impact_type").alias("gemma_impact_type")))
     out = K.keyed_update(target, parsed, "news_id", ["gemma_sentiment_score", "gemma_impact_type"])
     return out.select("news_id", "gemma_sentiment_score", "gemma_impact_type")
 

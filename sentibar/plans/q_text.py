@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..operators import pages as PG
 from ..operators import scoring as SC
 from ..sources import fixtures as FX
+from ..sources.tables import spread
 from .catalog import register
 from .oracle import clean_html_sql, cte, q, strip_sql
 
@@ -41,8 +42,8 @@ cte("page_clean", f"  SELECT page_id, url, {_H} AS h FROM pages")
           sql=f"SELECT page_id, {clean_html_sql('html')} AS text, "
               f"length({clean_html_sql('html')}) AS n_chars FROM pages", dates=())
 def q_clean_html(t):
-    txt = TX.clean_html("html")
-    return t.pages.select("page_id", txt.alias("text"), F.length(txt).alias("n_chars"))
+    txt = spread(t.pages).select("page_id", TX.clean_html("html").alias("text"))
+    return txt.withColumn("n_chars", F.length("text"))
 
 
 @register("page_fields", ops="A17 B22 B23",
@@ -57,7 +58,7 @@ def q_clean_html(t):
        coalesce(url, '') AS url
 FROM page_clean""", ctes=("page_clean",), dates=())
 def q_page_fields(t):
-    return PG.page_fields(t.pages)
+    return PG.page_fields(spread(t.pages))
 
 
 @register("page_links", ops="A18 G2",
@@ -67,7 +68,7 @@ def q_page_fields(t):
   FROM (SELECT page_id, unnest(regexp_extract_all(html, {q(r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>')}, 0)) AS a
         FROM pages)) WHERE length(href) > 0 AND length(label) > 0""", dates=())
 def q_page_links(t):
-    return PG.page_links(t.pages)
+    return PG.page_links(spread(t.pages))
 
 
 @register("tags_flatten", ops="B22",
@@ -78,7 +79,7 @@ def q_tags(t):
     nav = F.filter(F.transform(F.regexp_extract_all(PG.section(h, "nav"),
                                                     F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1),
                                lambda x: TX.clean_html(x)), lambda x: F.length(x) > 0)
-    return t.pages.select("page_id", TX.tags_flatten(nav).alias("tags"),
+    return spread(t.pages).select("page_id", TX.tags_flatten(nav).alias("tags"),
                           F.size(nav).cast("long").alias("n_tags"))
 
 
@@ -95,9 +96,8 @@ _REPLY_J = "regexp_extract(reply, '(?s)\\{.*\\}')"
 FROM (SELECT news_id, {_REPLY_J} AS j FROM replies)""",
           ctes=("replies",), rnd=("sentiment_score", "confidence_score"), dates=())
 def q_llm_reply(t):
-    rep = FX.reply_text_from_orders(t.orders)
-    f = TX.reply_fields("reply")
-    return rep.select("news_id", *[v.alias(k) for k, v in f.items()])
+    rep = FX.reply_text_from_orders(spread(t.orders)).select("news_id", "reply")
+    return SC.with_reply_fields(rep, "reply").drop("reply")
 
 
 def _asset_name():
@@ -129,7 +129,7 @@ def _prompt_sql(asset: str, text: str) -> str:
          {_prompt_sql(_ASSET_NAME_SQL, _LONG_SQL)} AS p FROM news)""",
           ctes=("news",), dates=())
 def q_prompt(t):
-    n = news(t).withColumn("asset", _asset_name())
+    n = FX.news_from_orders(spread(t.orders)).withColumn("asset", _asset_name())
     p = TX.render_prompt("asset", TX.long_scorer_text("summary", "headline", "content"))
     return n.select("news_id", "asset", F.length(p).alias("prompt_len"), F.md5(p).alias("prompt_md5"))
 
@@ -143,7 +143,7 @@ FROM (SELECT doc_id, headline,
       FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS headline FROM documents))""",
           dates=())
 def q_scorer_text(t):
-    d = FX.documents_as_articles(t.documents)
+    d = FX.documents_as_articles(spread(t.documents))
     lt = TX.long_scorer_text("summary", "headline", "content")
     st = TX.long_scorer_text("summary", "headline", "content", limit=FV.RETRY_TEXT_LIMIT)
     return d.select(F.col("news_id").alias("doc_id"),
@@ -177,10 +177,10 @@ FROM (SELECT doc_id, n_pos, n_neg,
                    CAST({_lex_sql(FV.NEGATIVE_WORDS)} AS INTEGER) AS n_neg FROM documents))""",
           rnd=("prob", "lexicon_sentiment"), dates=())
 def q_lexicon(t):
-    d = t.documents.select("doc_id", SC.lexicon_scorer(F.col("text")).alias("s"))
-    return d.select("doc_id", F.col("s.n_pos").alias("n_pos"), F.col("s.n_neg").alias("n_neg"),
-                    F.col("s.label").alias("label"), F.col("s.prob").alias("prob"),
-                    TX.polar_score(F.col("s.label"), F.col("s.prob")).alias("lexicon_sentiment"))
+    d = SC.lexicon_scorer()(spread(t.documents).select("doc_id", "text"), F.col("text"))
+    return d.select("doc_id", F.col("_s.n_pos").alias("n_pos"), F.col("_s.n_neg").alias("n_neg"),
+                    F.col("_s.label").alias("label"), F.col("_s.prob").alias("prob"),
+                    TX.polar_score(F.col("_s.label"), F.col("_s.prob")).alias("lexicon_sentiment"))
 
 
 _RAW_TS_SQL = ("CASE WHEN news_id % 13 = 0 THEN 'n/a' ELSE strftime(time, '%Y-%m-%dT%H:%M:%S') || "

@@ -14,6 +14,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least as many partitions as the session has cores.
+
+    Used in front of CPU-heavy per-row work (regex HTML cleaning, JSON
+    parsing, tokenising whole texts): a single-row-group file is one split,
+    so that work would run in one task.  Large inputs already have more
+    splits than cores and are returned unchanged; column pruning and
+    filters still reach the scan below the repartition.  Aggregation inputs
+    are not spread: their partial aggregation is cheap per row."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).orders`` is a parquet scan."""
 

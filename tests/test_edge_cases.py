@@ -178,7 +178,7 @@ def test_reply_json_variants(spark):
     df = spark.createDataFrame([
         ('Sure: {"asset": "A", "sentiment_score": 0.5, "impact_type": "Direct"} thanks',),
         ("no json here",), ('{"asset": "A", "sentiment_score": 0.5',)], "reply string")
-    f = TX.reply_fields("reply")
+    f = TX.reply_fields(TX.reply_variant("reply"))
     out = df.select(f["sentiment_score"].alias("s"), f["asset"].alias("a")).collect()
     assert out[0].s == 0.5 and out[0].a == "A"
     assert out[1].s is None and out[2].s is None
