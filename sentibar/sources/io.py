@@ -112,8 +112,10 @@ def flatten_tags(tags) -> F.Column:
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """UTF-8 JSON output (one object per line)."""
-    df.write.mode("overwrite").option("encoding", "UTF-8").json(path)
+    """UTF-8 JSON output (one object per line); every kept key is
+    written, also when its value is null."""
+    (df.write.mode("overwrite").option("encoding", "UTF-8")
+     .option("ignoreNullFields", False).json(path))
 
 
 # ------------------------------------------------------------ table sinks
