@@ -204,7 +204,8 @@ ANTI JOIN (SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour FROM events WHERE ev
      USING (day, hour)""",
           dates=("day",))
 def q_anti_days(t):
-    ev = t.events.select(F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "event_type")
+    ev = t.events.select(F.to_date("ts").alias("day"), F.hour("ts").cast("long").alias("hour"),
+                         "event_type")
     done = ev.filter(F.col("event_type") == "error")
     return K.anti(ev.select("day", "hour").distinct(), done, ["day", "hour"])
 

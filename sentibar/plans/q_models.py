@@ -207,7 +207,7 @@ def q_two_factor(t):
           sql="SELECT asset_tag, regr_slope(next_day_abs_return, gemma_dispersion) AS slope, "
               "regr_intercept(next_day_abs_return, gemma_dispersion) AS intercept, "
               "regr_r2(next_day_abs_return, gemma_dispersion) AS r2, "
-              "regr_count(next_day_abs_return, gemma_dispersion) AS n FROM features "
+              "CAST(regr_count(next_day_abs_return, gemma_dispersion) AS BIGINT) AS n FROM features "
               "WHERE gemma_dispersion > 0 AND next_day_abs_return IS NOT NULL GROUP BY asset_tag",
           ctes=("features",), rnd=("slope", "intercept", "r2"), dates=())
 def q_trend(t):

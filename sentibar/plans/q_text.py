@@ -43,7 +43,7 @@ cte("page_clean", f"  SELECT page_id, url, {_H} AS h FROM pages")
               f"length({clean_html_sql('html')}) AS n_chars FROM pages", dates=())
 def q_clean_html(t):
     txt = spread(t.pages).select("page_id", TX.clean_html("html").alias("text"))
-    return txt.withColumn("n_chars", F.length("text"))
+    return txt.withColumn("n_chars", F.length("text").cast("long"))
 
 
 @register("page_fields", ops="A17 B22 B23",
@@ -131,7 +131,8 @@ def _prompt_sql(asset: str, text: str) -> str:
 def q_prompt(t):
     n = FX.news_from_orders(spread(t.orders)).withColumn("asset", _asset_name())
     p = TX.render_prompt("asset", TX.long_scorer_text("summary", "headline", "content"))
-    return n.select("news_id", "asset", F.length(p).alias("prompt_len"), F.md5(p).alias("prompt_md5"))
+    return n.select("news_id", "asset", F.length(p).cast("long").alias("prompt_len"),
+                    F.md5(p).alias("prompt_md5"))
 
 
 @register("scorer_text", ops="B1 B8 B9",
@@ -148,8 +149,8 @@ def q_scorer_text(t):
     st = TX.long_scorer_text("summary", "headline", "content", limit=FV.RETRY_TEXT_LIMIT)
     return d.select(F.col("news_id").alias("doc_id"),
                     TX.short_scorer_text("summary", "headline").alias("short_text"),
-                    F.length(lt).alias("long_len"), F.md5(lt).alias("long_md5"),
-                    F.length(st).alias("retry_len"))
+                    F.length(lt).cast("long").alias("long_len"), F.md5(lt).alias("long_md5"),
+                    F.length(st).cast("long").alias("retry_len"))
 
 
 @register("polar_score", ops="B12",
