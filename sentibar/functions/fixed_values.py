@@ -119,6 +119,9 @@ PROMPT_CASCADE = (
 )
 PROMPT_INPUT_SEPARATOR = "\n\nINPUT TEXT:\n"
 
+# --- FIXED VALUES: page noise containers removed before field extraction --
+NOISE_CLASSES = ("ad", "syndigate_disclaimer", "footnote-disclaimer")
+
 # --- FIXED VALUES: HTML entities decoded by clean_html ---------------------
 # (&amp; is decoded last so that "&amp;lt;" yields the text "&lt;").
 HTML_ENTITIES = (

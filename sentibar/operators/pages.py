@@ -14,7 +14,8 @@ from ..functions import fixed_values as FV
 from ..functions.text import clean_html, strip_ws, tags_flatten
 
 # Noise blocks removed before extraction (disclaimer / advert containers).
-NOISE_PATTERN = r'(?is)<div class="(?:ad|syndigate_disclaimer|footnote-disclaimer)"[^>]*>.*?</div>'
+NOISE_PATTERN = (r'(?is)<div class="(?:' + "|".join(FV.NOISE_CLASSES)
+                 + r')"[^>]*>.*?</div>')
 
 
 def section(html: Column, tag: str) -> Column:
@@ -70,6 +71,3 @@ def page_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> Da
             .filter((F.length("href") > 0) & (F.length("_label") > 0))
             .select(key, "href").distinct())
 
-
-def merged_record_keys() -> tuple:
-    return FV.MERGE_KEEP_KEYS

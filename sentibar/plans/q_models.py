@@ -163,7 +163,8 @@ def capm_input(t):
     fa = pr.filter(F.col("symbol") == "F").select(F.col("date").alias("trading_session"),
                                                   F.col("rm").alias("_xf"))
     j = f.join(m, "trading_session").join(fa, "trading_session", "left")
-    x2 = F.when(F.col("asset_tag") == "N", F.col("x1")).otherwise(F.col("_xf"))
+    copies = [a for a, sym in FACTOR_OF.items() if sym == "O"]      # factor = market copy
+    x2 = F.when(F.col("asset_tag").isin(copies), F.col("x1")).otherwise(F.col("_xf"))
     return j.select("asset_tag", "trading_session", F.col("log_return_1d").alias("y"), "x1",
                     x2.alias("x2"))
 
