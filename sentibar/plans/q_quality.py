@@ -14,6 +14,7 @@ from ..operators import features as FE
 from ..operators import quality as QU
 from ..operators import sentiment as SE
 from ..sources import fixtures as FX
+from ..sources.tables import spread
 from .catalog import register
 from .oracle import cte, q
 
@@ -234,7 +235,7 @@ def q_union(t):
 def q_distinct_links(t):
     pairs = F.regexp_extract_all(F.col("html"),
                                  F.lit(r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'), 0)
-    x = t.pages.select(F.explode(pairs).alias("_a"))
+    x = spread(t.pages).select(F.explode(pairs).alias("_a"))
     href = F.regexp_extract("_a", r'href="([^"]*)"', 1)
     return x.select(href.alias("href")).filter(F.length("href") > 0).distinct()
 
