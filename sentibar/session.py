@@ -53,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage: "
+                               "checkpoints and scratch output must survive executor loss")
         d = tempfile.mkdtemp(prefix="sentibar-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
