@@ -308,3 +308,19 @@ def q_date_range(t):
 def q_recent100(t):
     f = features(t).select("asset_tag", "trading_session", "close", "realized_vol_22d")
     return B.top_n_per_group(f, ["asset_tag"], [F.col("trading_session").desc()], 100)
+
+
+@register("app_histogram", ops="D14 (30 bins, feature table)",
+          sql="""SELECT asset_tag, scorer, bin, CAST(count(*) AS BIGINT) AS count,
+       any_value(lo) + bin * any_value((hi - lo) / 30.0) AS bin_lo FROM (
+  SELECT v.asset_tag, v.scorer, r.lo, r.hi,
+         CASE WHEN r.hi > r.lo THEN CAST(least(floor((v.v - r.lo) / (r.hi - r.lo) * 30), 29) AS INTEGER)
+              ELSE 0 END AS bin
+  FROM (SELECT asset_tag, 'gemma_mean' AS scorer, gemma_mean AS v FROM features WHERE gemma_mean IS NOT NULL) v
+  JOIN (SELECT asset_tag, 'gemma_mean' AS scorer, min(gemma_mean) AS lo, max(gemma_mean) AS hi
+        FROM features WHERE gemma_mean IS NOT NULL GROUP BY asset_tag) r USING (asset_tag, scorer))
+GROUP BY asset_tag, scorer, bin""",
+          ctes=("features",), rnd=("bin_lo",), dates=())
+def q_app_hist(t):
+    """The dashboard's 30-bin distribution of daily mean sentiment per asset."""
+    return QU.fixed_bin_histogram(features(t), "asset_tag", ["gemma_mean"], bins=30)
