@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_wins(df: DataFrame, key, order, keep=None) -> DataFrame:
@@ -21,6 +22,14 @@ def first_wins(df: DataFrame, key, order, keep=None) -> DataFrame:
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     keep = [c for c in (keep or df.columns) if c not in key]
+    fixed = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+             T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if len(order) == 1 and all(isinstance(types[c], fixed) for c in keep + order):
+        # One total-order column and fixed-width values: one min_by per
+        # column (all pick the same row) keeps a fixed-width buffer, so
+        # Spark aggregates in a hash map instead of sorting.
+        return df.groupBy(*key).agg(*[F.min_by(c, order[0]).alias(c) for c in keep])
     best = F.min_by(F.struct(*keep), F.struct(*order))
     return df.groupBy(*key).agg(best.alias("_row")).select(*key, "_row.*")
 

@@ -57,3 +57,14 @@ def test_alignment_is_the_first_session_closing_at_or_after(spark, offsets):
                      if (d > t.date() or (d == t.date() and t <= c))
                      and d <= t.date() + dt.timedelta(days=7)), None)
         assert got[i] == want
+
+
+@SETTINGS
+@given(data=rows)
+def test_first_wins_single_order_column(spark, data):
+    # Fixed-width values and one total-order column: the per-column path.
+    data = [(k, v, o * 1000 + i) for i, (k, o, v) in enumerate(data)]
+    df = spark.createDataFrame(data, "k int, v int, o long")
+    got = {r.k: r.v for r in K.first_wins(df, "k", "o").collect()}
+    pdf = pd.DataFrame(data, columns=["k", "v", "o"]).sort_values("o")
+    assert got == {r.k: r.v for r in pdf.drop_duplicates("k").itertuples()}
