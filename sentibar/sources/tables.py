@@ -23,10 +23,12 @@ def spread(df: DataFrame) -> DataFrame:
     splits than cores and are returned unchanged; column pruning and
     filters still reach the scan below the repartition.  Aggregation inputs
     are not spread: their partial aggregation is cheap per row."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 class Tables:
