@@ -182,7 +182,7 @@ def np_loglik(model: str, y, P: dict):
     return np.where(valid & np.isfinite(out), out, np.nan)
 
 
-def fit_series(y, model: str, rounds: int = 4):
+def fit_series(y, model: str, rounds: int = 6):
     """Grid search: the coarse grid, then ``rounds - 1`` local 5-point grids
     per parameter, each a third of the previous spacing, around the best."""
     import numpy as np
@@ -208,7 +208,7 @@ def fit_series(y, model: str, rounds: int = 4):
     return best, best_ll, k
 
 
-def fit_grid(resid: DataFrame, model: str, rounds: int = 4, group: str = "asset_tag",
+def fit_grid(resid: DataFrame, model: str, rounds: int = 6, group: str = "asset_tag",
              order: str = "trading_session", value: str = "e") -> DataFrame:
     """Fit ``model`` in {garch, egarch, tgarch, arma} per series.
 
