@@ -46,6 +46,20 @@ def anchored_window(df: DataFrame, days: int, asset: str = "asset_tag",
             .drop("_last"))
 
 
+def anchored_windows(df: DataFrame, frames: dict, asset: str = "asset_tag",
+                     session: str = "trading_session") -> DataFrame:
+    """B26 for several time frames at once: each asset's newest session is
+    expanded to one row per frame (len(frames) rows per asset) and joined
+    back, so the input is scanned once for all frames."""
+    last = df.groupBy(asset).agg(F.max(session).alias("_last"))
+    fr = F.explode(F.array(*[F.struct(F.lit(k).alias("time_frame"), F.lit(v).alias("_days"))
+                             for k, v in frames.items()]))
+    bounds = last.select(asset, "_last", fr.alias("_f")).select(
+        asset, F.col("_f.time_frame").alias("time_frame"),
+        F.date_sub(F.col("_last"), F.col("_f._days")).alias("_from"))
+    return (df.join(bounds, asset).filter(F.col(session) >= F.col("_from")).drop("_from"))
+
+
 def card_columns(df: DataFrame, score: str = "gemma_mean") -> DataFrame:
     """Meter position (score+1)*50, whole percent (round half up),
     sign class."""

@@ -324,3 +324,18 @@ GROUP BY asset_tag, scorer, bin""",
 def q_app_hist(t):
     """The dashboard's 30-bin distribution of daily mean sentiment per asset."""
     return QU.fixed_bin_histogram(features(t), "asset_tag", ["gemma_mean"], bins=30)
+
+
+_FRAMES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS time_frame, {v} AS days"
+                                 for k, v in FV.APP_TIME_FRAMES.items())
+
+
+@register("anchored_windows", ops="B26 (all app time frames)",
+          sql=f"""SELECT f.asset_tag, f.trading_session, f.close, fr.time_frame
+FROM features f
+JOIN (SELECT asset_tag, max(trading_session) AS last FROM features GROUP BY 1) l USING (asset_tag)
+JOIN ({_FRAMES_SQL}) fr ON f.trading_session >= l.last - fr.days""",
+          ctes=("features",), rnd=("close",))
+def q_anchored_all(t):
+    f = features(t).select("asset_tag", "trading_session", "close")
+    return AP.anchored_windows(f, FV.APP_TIME_FRAMES)
