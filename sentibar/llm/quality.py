@@ -171,8 +171,8 @@ def order_rules(docs: DataFrame, text_col: str, rules: tuple[Rule, ...],
 
     The driver takes the sample (a bounded number of rows) and times each rule
     on a fresh view, so a rule pays for the statistics that it needs."""
-    rows = docs.select(quoted(text_col).alias("text")).limit(sample_docs).toArrow()
-    data, at = W.text_buffer(rows.column("text"))
+    rows = docs.select(quoted(text_col).alias("text")).take(sample_docs)
+    data, at = W.text_buffer(pa.array([r.text for r in rows], pa.string()))
     cost, rejected, seen = ([0.0] * len(rules), [0] * len(rules), 0)
     for _, _, part, off in W.slices(data, at):
         seen += len(off) - 1

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import pieces, quality, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 
