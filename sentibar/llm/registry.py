@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, simhash
+from . import decontam, pieces, quality, simhash, substring
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_decontamination": decontam.op4_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_substring_dedup": substring.op7_substring_dedup,
 }
 
 SQL = {
     "op6_quality_rules": quality.SQL,
+    "op7_substring_dedup": substring.SQL,
 }
