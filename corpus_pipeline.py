@@ -2,27 +2,64 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet in the shared folder and reread as the next stage's ``docs``.  Every
-stage but the last returns the columns of ``documents``.
+stage but the last returns the columns of ``documents``; extra columns pass
+through.  An empty table goes through every stage and gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sentibar.llm.common import read, saved
+from sentibar.llm.decontam import drop_contaminated
+from sentibar.llm.pieces import digests, encode_decode, model_path
 from sentibar.llm.quality import quality_filter
+from sentibar.llm.simhash import simhash_keep_one
+from sentibar.llm.substring import drop_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that a rule rejects go."""
     return quality_filter(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: that of the smallest id
+    (three-word shingles, at most three differing bits)."""
+    return simhash_keep_one(docs, k=3, bits=3)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 13-word windows that also start in an earlier document go;
+    ``n_chars`` follows the new text."""
+    cut = drop_repeats(docs, k=13)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a benchmark item contaminates go."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every remaining document (little-endian unsigned 32-bit integers
+    with begin and end), their count, and digests of ids and decoded text."""
+    coded = encode_decode(docs, model_path())
+    return coded.select(*digests(coded), "ids")
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece_encode),
 ]
 
-#: DuckDB has no 64-bit xxHash with a seed and no sentencepiece, so the stages
+#: DuckDB has neither seeded 64-bit xxHash nor sentencepiece, so the stages
 #: cannot be stated in SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
