@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, pieces, quality, simhash, substring
+from . import decontam, html_text, langid, pieces, quality, simhash, substring
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_decontamination": decontam.op4_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_substring_dedup": substring.op7_substring_dedup,
+    "op8_language_id": langid.op8_language_id,
+    "op9_html_text": html_text.op9_html_text,
 }
 
 SQL = {
