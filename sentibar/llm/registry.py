@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, langid, pieces, quality, simhash, substring
+from . import decontam, html_text, interp, langid, pieces, quality, simhash, substring
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_language_id": langid.op8_language_id,
     "op9_html_text": html_text.op9_html_text,
+    "op10_interpolated_lm": interp.op10_interpolated_lm,
 }
 
 SQL = {
