@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, interp, langid, pieces, quality, simhash, substring
+from . import decontam, html_text, interp, langid, pieces, quality, simhash, substring, suffixes
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_decontamination": decontam.op4_decontamination,

@@ -26,7 +26,7 @@ gives an empty result; extra columns pass through the row-keeping form.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +58,10 @@ def bucket(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return (h * U(ROW_FACTORS[row])) >> U(64 - width)
 
 
-def sketch(src: DataFrame, k: int, width: int) -> DataFrame:
-    """``(row, chunk, bits)``: the buckets of two or more windows, one bit each;
-    only chunks with such a bucket."""
+def sketch(src: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """``(row, chunk, bits)``: the buckets of two or more hashes, one bit each;
+    only chunks with such a bucket.  ``hashes`` maps the bytes and offsets of
+    some texts to the hashes to count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -90,7 +91,7 @@ def sketch(src: DataFrame, k: int, width: int) -> DataFrame:
         for batch in batches:
             data, at = W.text_buffer(batch.column("text"))
             for _, _, part, off in W.slices(data, at):
-                h = windows(part, off, k)[0]
+                h = hashes(part, off)
                 if len(h):
                     held.append(h)
                     n += len(h)
@@ -127,19 +128,29 @@ def sketch(src: DataFrame, k: int, width: int) -> DataFrame:
             .mapInArrow(merge, "row int, chunk long, bits binary"))
 
 
-def repeated_bits(src: DataFrame, k: int, width: int) -> list[np.ndarray]:
+def repeated_bits(src: DataFrame, hashes, width: int) -> list[np.ndarray]:
     """The merged sketch as one bit array a row: ``2**width / 8`` bytes each."""
     size = 1 << max(0, CHUNK_BITS - 3)
     out = [np.zeros(max(1 << width, 1 << CHUNK_BITS) >> 3, np.uint8) for _ in ROW_FACTORS]
-    for r in sketch(src, k, width).toLocalIterator(prefetchPartitions=True):
+    for r in sketch(src, hashes, width).toLocalIterator(prefetchPartitions=True):
         out[r.row][r.chunk * size:(r.chunk + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def estimated_repeated(h: np.ndarray, rows: list[np.ndarray], width: int) -> np.ndarray:
+    """True where every sketch row estimates two or more."""
+    keep = np.ones(len(h), bool)
+    for row, have in enumerate(rows):
+        b = bucket(h, row, width)
+        keep &= (have[(b >> U(3)).astype(np.int64)] >> (b & U(7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
 def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
     """``(id, seen)``: packed hashes of the windows of a document that also
     start in a document with a smaller id; several rows a document."""
-    bits = src.sparkSession.sparkContext.broadcast(repeated_bits(src, k, width))
+    bits = src.sparkSession.sparkContext.broadcast(
+        repeated_bits(src, lambda data, at: windows(data, at, k)[0], width))
 
     def pack(ids: np.ndarray, h: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -177,11 +188,8 @@ def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
             ids = batch.column("id").to_numpy()
             for lo, hi, part, off in W.slices(data, at):
                 h, doc, _, _ = windows(part, off, k)
-                for row, have in enumerate(rows):
-                    if len(h):
-                        b = bucket(h, row, width)
-                        keep = (have[(b >> U(3)).astype(np.int64)] >> (b & U(7)).astype(np.uint8)) & 1 == 1
-                        h, doc = h[keep], doc[keep]
+                keep = estimated_repeated(h, rows, width)
+                h, doc = h[keep], doc[keep]
                 if len(h):
                     held.append((h, ids[lo:hi][doc]))
                     n += len(h)
