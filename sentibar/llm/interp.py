@@ -276,6 +276,8 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, vocab: int, rounds: int = 20
     p2, p1 = ((cells >> s & 0xFFFF) - 1 for s in (16, 0))
     p = np.stack([np.where(x >= 0, np.exp2(-x / GRID), 0.0) for x in (p2, p1)] +
                  [np.full(len(cells), 1 / (vocab + 1))], axis=1)
+    if not len(cells):
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     weights = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(rounds):
         part = weights[bucket] * p
@@ -291,9 +293,9 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, vocab: int, rounds: int = 20
     weights = np.maximum(weights, 1e-6)                 # nothing is impossible
     weights[0, 0] = 0.0                                 # an unseen context predicts nothing
     weights /= weights.sum(1, keepdims=True)
-    seen = np.bincount(bucket, n, BUCKETS) > 0 if len(cells) else np.zeros(BUCKETS, bool)
-    for b in range(1, BUCKETS):
-        if not seen[b] and b > 1:
+    seen = np.bincount(bucket, n, BUCKETS) > 0
+    for b in range(2, BUCKETS):
+        if not seen[b]:
             weights[b] = weights[b - 1]
     return weights
 

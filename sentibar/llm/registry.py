@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, interp, langid, pieces, quality, simhash, substring, suffixes
+from . import decontam, html_text, interp, langid, pieces, quality, simhash, substring, suffixes, token_store
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_token_files": token_store.op5_token_files,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_language_id": langid.op8_language_id,
