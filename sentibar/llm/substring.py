@@ -41,7 +41,7 @@ U = np.uint64
 CHUNK_BITS = 16
 MIN_WIDTH, MAX_WIDTH = 20, 29     # log2 of the buckets of a sketch row
 BYTES_PER_BUCKET = 4              # of text; about 1.5 windows to 2 buckets
-FLUSH = 4 << 20                   # windows held by a task
+FLUSH = 2 << 20                   # windows held by a task
 ROW_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -148,16 +148,24 @@ def estimated_repeated(h: np.ndarray, rows: list[np.ndarray], width: int) -> np.
 
 def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
     """``(id, seen)``: packed hashes of the windows of a document that also
-    start in a document with a smaller id; several rows a document."""
+    start in a document with a smaller id; one row a document."""
     bits = src.sparkSession.sparkContext.broadcast(
         repeated_bits(src, lambda data, at: windows(data, at, k)[0], width))
 
-    def pack(ids: np.ndarray, h: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        ids, h = ids[order], h[order]
-        cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        ends = np.append(cut[1:], len(ids))
-        return ids[cut], [h[x:y].tobytes() for x, y in zip(cut, ends)]
+    parts = parts_for(src)
+    buckets = 4 * parts
+
+    def pack(ids: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        """Covered windows as one row per bucket of documents."""
+        bucket_of = (W.mix(ids.view(U) + U(1)) % U(buckets)).astype(np.int64)
+        order = np.lexsort((ids, bucket_of))
+        ids, h, bucket_of = ids[order], h[order], bucket_of[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket_of[1:] != bucket_of[:-1])))
+        spans = list(zip(cut, np.append(cut[1:], len(ids))))
+        return pa.record_batch([
+            pa.array(W.mix(bucket_of[cut].astype(U)).view(np.int64)), pa.array(bucket_of[cut]),
+            pa.array([ids[x:y].tobytes() for x, y in spans], pa.binary()),
+            pa.array([h[x:y].tobytes() for x, y in spans], pa.binary())], names=["h", "id", "ids", "seen"])
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = bits.value
@@ -172,16 +180,14 @@ def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
             least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
             own = first.copy()
             other = (d > least) & np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-            ids, seen = pack(d[other], h[other]) if other.any() else (np.zeros(0, np.int64), [])
-            for lo in range(0, int(own.sum()), 1 << 16):
-                hs, ds = h[own][lo:lo + (1 << 16)], d[own][lo:lo + (1 << 16)]
-                yield pa.record_batch([pa.array(hs.view(np.int64)), pa.array(ds), pa.nulls(len(hs), pa.binary())],
-                                      names=["h", "id", "seen"])
-            for lo in range(0, len(ids), 1 << 12):
-                part = ids[lo:lo + (1 << 12)]
-                spread = W.mix(part.view(U) + U(1)).view(np.int64)
-                yield pa.record_batch([pa.array(spread), pa.array(part),
-                                       pa.array(seen[lo:lo + (1 << 12)], pa.binary())], names=["h", "id", "seen"])
+            hs, ds = h[own], d[own]
+            for lo in range(0, len(hs), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                none = pa.nulls(len(hs[part]), pa.binary())
+                yield pa.record_batch([pa.array(hs[part].view(np.int64)), pa.array(ds[part]), none, none],
+                                      names=["h", "id", "ids", "seen"])
+            if other.any():
+                yield pack(d[other], h[other])
 
         for batch in batches:
             data, at = W.text_buffer(batch.column("text"))
@@ -204,13 +210,13 @@ def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
         last, least, held, n = None, None, [], 0
 
         def flush():
-            ids, seen = pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            yield pa.record_batch([pa.array(ids), pa.array(seen, pa.binary())], names=["id", "seen"])
+            yield pack(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])).select(
+                ["id", "ids", "seen"])
 
         for batch in batches:
             packed = batch.column("seen").is_valid().to_numpy(zero_copy_only=False)
             if packed.any():
-                yield batch.filter(pa.array(packed)).select(["id", "seen"])
+                yield batch.filter(pa.array(packed)).select(["id", "ids", "seen"])
             h = batch.column("h").to_numpy()[~packed]
             d = batch.column("id").to_numpy()[~packed]
             if not len(h):
@@ -229,9 +235,35 @@ def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
         if held:
             yield from flush()
 
-    claims = src.where("id IS NOT NULL").mapInArrow(claim, "h long, id long, seen binary")
-    return (claims.repartition(parts_for(src), "h").sortWithinPartitions("h", "id")
-            .mapInArrow(settle, "id long, seen binary"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket: one row per document."""
+        now, held = None, []
+
+        def done():
+            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in held])
+            h = np.concatenate([np.frombuffer(r["seen"], U) for r in held])
+            order = np.argsort(ids, kind="stable")
+            ids, h = ids[order], h[order]
+            cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            spans = zip(cut, np.append(cut[1:], len(ids)))
+            yield pa.record_batch([pa.array(ids[cut]), pa.array([h[x:y].tobytes() for x, y in spans], pa.binary())],
+                                  names=["id", "seen"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["id"] != now:
+                    if held:
+                        yield from done()
+                    now, held = row["id"], []
+                held.append(row)
+        if held:
+            yield from done()
+
+    claims = src.where("id IS NOT NULL").mapInArrow(claim, "h long, id long, ids binary, seen binary")
+    settled = (claims.repartition(parts, "h").sortWithinPartitions("h", "id")
+               .mapInArrow(settle, "id long, ids binary, seen binary"))
+    return (settled.repartition(parts, "id").sortWithinPartitions("id")
+            .mapInArrow(gather, "id long, seen binary"))
 
 
 def width_for(docs: DataFrame, text: str = "text") -> int:
@@ -248,7 +280,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     seen = covered_windows(src, k, width_for(src))
     name, key = own_name(docs, "seen"), own_name(docs, "seen_id")
-    per = seen.groupBy(F.col("id").alias(key)).agg(F.collect_list("seen").alias(name))
+    per = seen.select(F.col("id").alias(key), F.col("seen").alias(name))
     joined = docs.join(per, quoted(id_col).cast("long") == F.col(key), "left").drop(key)
     at_text, at_seen = joined.columns.index(text_col), len(joined.columns) - 1
     schema = T.StructType(list(docs.schema.fields))
@@ -271,7 +303,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         bound = np.searchsorted(doc, np.arange(hi - lo + 1))
                         touched = np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False))
                         for i in touched:
-                            mine = np.frombuffer(b"".join(some[i].as_py()), U)
+                            mine = np.frombuffer(some[i].as_py(), U)
                             hit[bound[i]:bound[i + 1]] = np.isin(h[bound[i]:bound[i + 1]], mine)
                         gone = W.cover(pos[hit], k, len(start))
                         removed = W.per_doc(gone, first)
