@@ -33,8 +33,8 @@ EG_OPEN = (10, 0)
 
 # --- FIXED VALUES: categories ----------------------------------------------
 IMPACT_TYPES = ("Direct", "Indirect", "None")
-SCORER_LABELS = ("positive", "negative", "neutral")
-ASSET_ORDER = ("NVDA", "USO", "EGX")
+US_ASSETS = ("NVDA", "USO")          # New York calendar
+EG_ASSETS = ("EGX",)                 # Sunday to Thursday
 SYMBOL_TO_ASSET = {
     "NASDAQ:NVDA": "NVDA",
     "ICEEUR:BRN1!": "USO",
@@ -122,14 +122,6 @@ PROMPT_INPUT_SEPARATOR = "\n\nINPUT TEXT:\n"
 # --- FIXED VALUES: page noise containers removed before field extraction --
 NOISE_CLASSES = ("ad", "syndigate_disclaimer", "footnote-disclaimer")
 
-# --- FIXED VALUES: HTML entities decoded by clean_html ---------------------
-# (&amp; is decoded last so that "&amp;lt;" yields the text "&lt;").
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&middot;", "·"), ("&amp;", "&"),
-)
-
 # --- FIXED VALUES: default lexicon of the built-in scorer -----------------
 # The built-in scorer is a stand-in for an external model; any scorer that
 # maps text to (label, probability) can replace it (see operators.scoring).

@@ -89,8 +89,11 @@ def rebased_prices(bars: DataFrame, asset="asset_tag", session="trading_session"
     """
     w = Window.partitionBy(asset).orderBy(session)
     t_max = bars.agg(F.max(session)).scalar()
-    t0 = bars.groupBy(asset).agg(F.min(session).alias("_m")).agg(F.max("_m")).scalar()
-    seg = bars.select(asset, F.col(session).alias("_s"), close,
+    t0 = (bars.filter(F.col(close).isNotNull()).groupBy(asset)
+          .agg(F.min(session).alias("_m")).agg(F.max("_m")).scalar())
+    # A session without a close carries the previous one forward.
+    known = bars.filter(F.col(close).isNotNull())
+    seg = known.select(asset, F.col(session).alias("_s"), close,
                       F.coalesce(F.date_sub(F.lead(session).over(w), 1), t_max).alias("_e"))
     filled = seg.select(asset, F.explode(F.sequence("_s", "_e")).alias(session), close)
     dates = bars.select(session).distinct()
@@ -100,22 +103,14 @@ def rebased_prices(bars: DataFrame, asset="asset_tag", session="trading_session"
 
 
 def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int,
-                    salt_buckets: int = 16, rank_col: str | None = None) -> DataFrame:
+                    rank_col: str | None = None) -> DataFrame:
     """Top-n rows per group by ``order_cols`` (Column expressions).
 
-    Two phases so a hot group never sorts in a single task: rank inside
-    (group, salt) and keep n, then rank the at most n * salt_buckets survivors
-    per group.  Ties must be broken by ``order_cols`` for a stable result.
-    """
-    group_cols = list(group_cols)
-    order_cols = list(order_cols)
-    salt = F.abs(F.xxhash64(*df.columns)) % salt_buckets
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
-    stage1 = (df.withColumn("_salt", salt)
-              .withColumn("_r1", F.row_number().over(w1))
-              .filter(F.col("_r1") <= n)
-              .drop("_r1", "_salt"))
-    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    A rank filter over one window: Spark plants a group limit below the
+    exchange, so each task sends at most ``n`` rows of a group and a hot group
+    is never sorted whole in one task.  Ties must be broken by ``order_cols``
+    for a stable result."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     name = rank_col or "_rank"
-    out = stage1.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= n)
+    out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
     return out if rank_col else out.drop(name)

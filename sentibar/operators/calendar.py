@@ -35,9 +35,8 @@ def day_table(calendar: DataFrame, search_days: int = FV.CALENDAR_SEARCH_DAYS,
 
 
 def _lookup(articles: DataFrame, days: DataFrame, ts: str, calendar_id: str,
-            calendar_col: str | None, max_rows: int | None,
-            known_rows: int | None) -> DataFrame:
-    d = broadcast_if_bounded(days, max_rows=max_rows, known_rows=known_rows)
+            calendar_col: str | None, known_rows: int | None) -> DataFrame:
+    d = broadcast_if_bounded(days, known_rows=known_rows)
     day = F.to_date(F.col(ts))
     if calendar_col is None:
         cond = day == F.col("_cal.day")
@@ -50,7 +49,6 @@ def align_to_sessions(articles: DataFrame, calendar: DataFrame, ts: str = "time"
                       out: str = "trading_session",
                       search_days: int = FV.CALENDAR_SEARCH_DAYS,
                       calendar_id: str = "calendar_id", calendar_col: str | None = None,
-                      max_broadcast_rows: int = 5_000_000,
                       calendar_rows: int | None = None) -> DataFrame:
     """session = the article's own UTC date when that date is a session
     and the article is not after its close, else the first later session
@@ -58,11 +56,11 @@ def align_to_sessions(articles: DataFrame, calendar: DataFrame, ts: str = "time"
 
     ``calendar_col`` names the article column selecting the calendar when the
     calendar table holds several; ``calendar_rows`` (if known on the driver)
-    bounds the day table without a count.
+    bounds the day table, which is broadcast then.
     """
     days = day_table(calendar, search_days, calendar_id)
     known = calendar_rows * (search_days + 1) if calendar_rows is not None else None
-    j = _lookup(articles, days, ts, calendar_id, calendar_col, max_broadcast_rows, known)
+    j = _lookup(articles, days, ts, calendar_id, calendar_col, known)
     t = F.col(f"_a.{ts}")
     session = F.when(F.col("_cal.close_ts").isNotNull() & (t <= F.col("_cal.close_ts")),
                      F.col("_cal.day")).otherwise(F.col("_cal.next_session"))
@@ -83,7 +81,7 @@ def after_close_shift_us(articles: DataFrame, calendar: DataFrame, ts: str = "ti
     published pipeline compares the UTC clock with the local close)."""
     days = day_table(calendar, search_days, calendar_id)
     known = calendar_rows * (search_days + 1) if calendar_rows is not None else None
-    j = _lookup(articles, days, ts, calendar_id, None, 5_000_000, known)
+    j = _lookup(articles, days, ts, calendar_id, None, known)
     t = F.col(f"_a.{ts}")
     nxt = F.col("_cal.next_session")
     opened = F.make_timestamp_ntz(F.year(nxt), F.month(nxt), F.dayofmonth(nxt),
@@ -110,3 +108,29 @@ def weekmask_roll(articles: DataFrame, ts: str = "time", out: str = "trading_ses
     d = F.to_date(F.col(ts))
     wd = F.weekday(d)
     return articles.withColumn(out, F.date_add(d, F.when(wd == 4, 2).when(wd == 5, 1).otherwise(0)))
+
+
+def align_by_asset(articles: DataFrame, calendar: DataFrame, ts: str = "time",
+                   out: str = "trading_session", asset: str = "asset_tag",
+                   us_assets=FV.US_ASSETS, eg_assets=FV.EG_ASSETS,
+                   calendar_rows: int | None = None) -> DataFrame:
+    """C7 + C10 in one pass: each article on its own market's calendar (session
+    table, or Sunday-Thursday week); other assets stay unassigned."""
+    both = weekmask_roll(align_to_sessions(articles, calendar, ts=ts, out="_us", calendar_rows=calendar_rows),
+                         ts=ts, out="_eg")
+    a = F.col(asset)
+    return both.withColumn(out, F.when(a.isin(list(us_assets)), F.col("_us"))
+                           .when(a.isin(list(eg_assets)), F.col("_eg"))).drop("_us", "_eg")
+
+
+def shift_by_asset(articles: DataFrame, calendar: DataFrame, ts: str = "time",
+                   out: str = "shifted_time", asset: str = "asset_tag",
+                   us_assets=FV.US_ASSETS, eg_assets=FV.EG_ASSETS,
+                   calendar_rows: int | None = None) -> DataFrame:
+    """C8 + C9 in one pass: the after-close shift of each article's own market;
+    other assets keep their time."""
+    both = after_close_shift_eg(after_close_shift_us(articles, calendar, ts=ts, out="_us",
+                                                     calendar_rows=calendar_rows), ts=ts, out="_eg")
+    a = F.col(asset)
+    return both.withColumn(out, F.when(a.isin(list(us_assets)), F.col("_us"))
+                           .when(a.isin(list(eg_assets)), F.col("_eg")).otherwise(F.col(ts))).drop("_us", "_eg")

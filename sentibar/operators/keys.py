@@ -45,13 +45,19 @@ def insert_ignore(target: DataFrame | None, incoming: DataFrame, key, order) ->
     return fresh.join(target.select(*key), key, "left_anti")
 
 
-def keyed_update(target: DataFrame, updates: DataFrame, key, cols) -> DataFrame:
+def keyed_update(target: DataFrame, updates: DataFrame, key, cols, order=None) -> DataFrame:
     """Set ``cols`` from ``updates`` where the key matches; unmatched
     target rows keep their value; columns absent in target are added.
-    ``updates`` must be unique on the key (dedupe with ``first_wins``)."""
+
+    Never multiplies target rows: of several updates of a key the first by
+    ``order`` applies (without ``order``, the one with the smallest values).
+    The reduction is a partial aggregate on the join key, so the join reuses
+    its shuffle."""
     key = [key] if isinstance(key, str) else list(key)
-    u = updates.select(*key, F.lit(True).alias("_matched"),
-                       *[F.col(c).alias(f"_new_{c}") for c in cols])
+    cols = list(cols)
+    one = first_wins(updates, key, order if order is not None else cols, keep=cols)
+    u = one.select(*key, F.lit(True).alias("_matched"),
+                   *[F.col(c).alias(f"_new_{c}") for c in cols])
     j = target.join(u, key, "left")
     out = {}
     for c in cols:
@@ -82,7 +88,11 @@ def two_step_lookup(rows: DataFrame, feed: DataFrame, tag: str = "asset_tag",
                        keep=[value]).withColumnRenamed(value, "_v_id")
     by_text = first_wins(feed.filter(F.col(id_col).isNull()), [tag, text], order,
                          keep=[value]).withColumnRenamed(value, "_v_text")
-    j = (rows.join(by_id, [tag, id_col], "left")
-         .join(by_text, [tag, text], "left"))
+    # Rows without an id cannot match by id: they skip that join, so a feed
+    # without ids does not hash to one key per asset.
+    with_id = rows.filter(F.col(id_col).isNotNull()).join(by_id, [tag, id_col], "left")
+    without = rows.filter(F.col(id_col).isNull()).withColumn(
+        "_v_id", F.lit(None).cast(feed.schema[value].dataType))
+    j = with_id.unionByName(without).join(by_text, [tag, text], "left")
     return (j.withColumn(value, F.coalesce("_v_id", "_v_text"))
             .filter(F.col(value).isNotNull()).drop("_v_id", "_v_text"))

@@ -11,20 +11,17 @@ small thread pool so several Spark jobs run concurrently.
 from __future__ import annotations
 
 import math
-import random
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed_values as FV
 from ..functions.numeric import ensure_columns, sanitize
-from .stats import chrono_split, error_metrics, lookback_sequences, standardize
+from ..sources.io import replace_table, scratch_path
+from .stats import chrono_split, error_metrics, lookback_sequences, standardize, unstandardize
 
 FEATURE_SETS = {"Baseline": FV.FEATURES_BASELINE, "FinBERT": FV.FEATURES_FINBERT,
                 "Gemma": FV.FEATURES_GEMMA}
@@ -52,15 +49,13 @@ def model_frame(features: DataFrame, cols, target: str = "realized_vol_22d",
     return chrono_split(df, group=group)
 
 
-def sized(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
-    """Cache a training set with partitions sized to its row count.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Materialise a training input once in the shared folder.
 
-    Tree learners run several jobs per iteration; on a small series, many
-    near-empty partitions make every job pay per-task overhead.  Large
-    series keep one partition per ``rows_per_partition`` rows."""
-    n = df.count()
-    parts = max(1, -(-n // rows_per_partition))
-    return df.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    Iterative learners scan their input once per iteration; a written table
+    serves them and every later fit, needs no release and survives lost
+    executors."""
+    return replace_table(df, scratch_path(df.sparkSession, name))
 
 
 def _assets(df: DataFrame, group: str) -> list:
@@ -74,15 +69,13 @@ def fit_predict(frame: DataFrame, cols, estimator_factory, pred_col: str,
     """Fit one model per series on train rows, predict its test rows.
     Returns (predictions DataFrame, {asset: model})."""
     asm = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
-    # Iterative learners scan their input once per iteration: materialise it
-    # once (memory, spilling to disk) instead of re-running the feature plan.
-    data = asm.transform(frame).withColumn("label", F.col(target)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = stored(asm.transform(frame).select(group, *keys, "split", "features", F.col(target).alias("label")),
+                  "training")
     assets = _assets(data, group)
 
     def one(a):
         sub = data.filter(F.col(group) == a)
-        train = sized(sub.filter(F.col("split") == "train"))
-        model = estimator_factory().fit(train)
+        model = estimator_factory().fit(sub.filter(F.col("split") == "train"))
         pred = (model.transform(sub.filter(F.col("split") == "test"))
                 .select(group, *keys, F.col("prediction").alias(pred_col)))
         return a, model, pred
@@ -103,7 +96,7 @@ def feature_set_compare(features: DataFrame, sets=None, models=("XGBoost", "Rand
     a missing value in any feature of the richest set)."""
     sets = sets or FEATURE_SETS
     widest = sorted({c for s in sets.values() for c in s})
-    frame = model_frame(features, widest, target, group).persist(StorageLevel.MEMORY_AND_DISK)
+    frame = stored(model_frame(features, widest, target, group), "model-frame")
     factories = {"XGBoost": ("xgb", boosted), "RandomForest": ("rf", forest)}
     test = frame.filter(F.col("split") == "test").select(group, "trading_session", "close",
                                                          "log_return_1d", target)
@@ -131,52 +124,43 @@ def feature_set_compare(features: DataFrame, sets=None, models=("XGBoost", "Rand
     return out, wide
 
 
-def shapley_attribution(frame: DataFrame, model, cols, group_value, n_perm: int = 8,
-                        seed: int = 42, group: str = "asset_tag") -> DataFrame:
-    """Permutation-sampled Shapley values of a fitted model on the test
-    rows of one series, relative to the train-mean baseline.
+def shapley_attribution(frame: DataFrame, model, cols, group_value,
+                        group: str = "asset_tag") -> DataFrame:
+    """Exact Shapley values of a fitted model on the test rows of one
+    series, relative to the train-mean baseline, with the feature's value
+    (which is what a dependence plot shows).
 
-    Each (row, permutation) is a chain of p+1 points switching features from
-    the baseline to the row's value in permutation order; consecutive
-    prediction differences are the feature contributions.  All evaluation
-    points are one ``model.transform`` over an exploded DataFrame.
+    Every subset of the features is one evaluation point: features inside take
+    the row's value, the others the baseline.  A feature's value is a weighted
+    sum of the 2**p predictions, so all of them come out of one pre-aggregated
+    ``groupBy`` per row; meant for the published sets of about ten features.
     """
     p = len(cols)
-    rng = random.Random(seed)
-    perms = [rng.sample(range(p), p) for _ in range(n_perm)]
+    if p > 12:
+        raise ValueError("exact attribution evaluates 2**p subsets; p is at most 12")
     sub = frame.filter(F.col(group) == group_value)
     base = sub.filter(F.col("split") == "train").agg(*[F.avg(c).alias(f"_b_{c}") for c in cols])
     test = sub.filter(F.col("split") == "test").select(group, "trading_session", *cols)
     # Baseline values as scalar subqueries: stay lazy, nothing is collected.
     b = [base.select(f"_b_{c}").scalar() for c in cols]
-    # (perm id, step) pairs with the set of switched features per step.
-    chains = []
-    for k, perm in enumerate(perms):
-        for step in range(p + 1):
-            switched = set(perm[:step])
-            feat = perm[step - 1] if step > 0 else -1
-            chains.append((k, step, feat, [i in switched for i in range(p)]))
-    chain_col = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("perm"), F.lit(s).alias("step"), F.lit(f).alias("feat"),
-                 F.array(*[F.lit(x) for x in mask]).alias("mask"))
-        for k, s, f, mask in chains]))
-    pts = test.select(group, "trading_session", *cols, chain_col.alias("_c"))
-    vals = [F.when(F.col("_c.mask")[i], F.col(c)).otherwise(b[i]).alias(f"_v{i}")
-            for i, c in enumerate(cols)]
-    pts = pts.select(group, "trading_session", F.col("_c.perm").alias("perm"),
-                     F.col("_c.step").alias("step"), F.col("_c.feat").alias("feat"), *vals)
+    pts = test.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit((1 << p) - 1))))
+    inside = [F.col("_m").bitwiseAND(F.lit(1 << i)) > 0 for i in range(p)]
+    pts = pts.withColumns({f"_v{i}": F.when(inside[i], F.col(c)).otherwise(b[i]) for i, c in enumerate(cols)})
     asm = VectorAssembler(inputCols=[f"_v{i}" for i in range(p)], outputCol="features",
                           handleInvalid="keep")
-    pred = model.transform(asm.transform(pts)).select(group, "trading_session", "perm", "step",
-                                                      "feat", "prediction")
-    w = Window.partitionBy(group, "trading_session", "perm").orderBy("step")
-    contrib = (pred.withColumn("phi", F.col("prediction") - F.lag("prediction").over(w))
-               .filter(F.col("step") > 0))
-    names = F.array(*[F.lit(c) for c in cols])
-    return (contrib.groupBy(group, "trading_session", "feat")
-            .agg(F.avg("phi").alias("shap"))
-            .select(group, "trading_session", F.element_at(names, F.col("feat") + 1).alias("feature"),
-                    "shap"))
+    pred = model.transform(asm.transform(pts))
+    # weight of a subset of s others: s! (p - s - 1)! / p!
+    weight = [math.factorial(s) * math.factorial(p - s - 1) / math.factorial(p) for s in range(p)]
+    size = F.bit_count("_m")
+    w_in = F.element_at(F.array(*[F.lit(w) for w in weight]), F.greatest(size, F.lit(1)))
+    w_out = F.element_at(F.array(*[F.lit(w) for w in weight]), F.least(size + 1, F.lit(p)))
+    aggs = [F.sum(F.when(inside[i], F.col("prediction") * w_in).otherwise(-F.col("prediction") * w_out))
+            .alias(f"_s{i}") for i in range(p)]
+    wide = pred.groupBy(group, "trading_session", *cols).agg(*aggs)
+    long = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
+                              F.col(f"_s{i}").alias("shap")) for i, c in enumerate(cols)])
+    return wide.select(group, "trading_session", F.explode(long).alias("_f")).select(
+        group, "trading_session", "_f.*")
 
 
 def attribution_summary(shap: DataFrame, group: str = "asset_tag") -> DataFrame:
@@ -203,8 +187,7 @@ def lookback_regression(features: DataFrame, cols, target: str = "realized_vol_2
     data = seq.select(group, "trading_session", "split", target, f"_m_{target}", f"_s_{target}",
                       F.col("y").alias("label"), flat.alias("_flat"))
     from pyspark.ml.functions import array_to_vector
-    data = (data.withColumn("features", array_to_vector(F.col("_flat")))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    data = stored(data.withColumn("features", array_to_vector(F.col("_flat"))).drop("_flat"), "sequences")
     assets = _assets(data, group)
 
     def one(a):
@@ -218,49 +201,39 @@ def lookback_regression(features: DataFrame, cols, target: str = "realized_vol_2
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)
-    sd = F.when(F.col(f"_s_{target}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{target}"))
-    out = pred.select(group, "trading_session", target,
-                      (F.col("prediction") * sd + F.col(f"_m_{target}")).alias(f"{name}_pred"))
-    return out
+    back = unstandardize(F.col("prediction"), F.col(f"_m_{target}"), F.col(f"_s_{target}"))
+    return pred.select(group, "trading_session", target, back.alias(f"{name}_pred"))
 
 
 def season_fit(df: DataFrame, y: str = "close", day: str = "trading_session",
                group: str = "asset_tag", period: float = 365.25) -> DataFrame:
     """y = b0 + b1 t + b2 sin(2 pi t / P) + b3 cos(2 pi t / P) per series.
 
-    The normal equations (Gram matrix and X'y, 14 sums) are one grouped
-    aggregate; the 4x4 solve runs per series inside ``applyInPandas`` on that
-    one-row-per-series table."""
+    Regressors and target are centred on the series means first (so no sum
+    cancels), the centred cross products are one grouped aggregate, and the
+    3x3 normal equations are solved by Cramer's rule in column expressions."""
     t = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("double")
     ang = F.lit(2 * math.pi / period) * t
-    t0 = df.groupBy(group).agg(F.min(t).alias("_t0"))
-    x = df.join(t0, group).select(group, (t - F.col("_t0")).alias("t"), F.sin(ang).alias("s"),
-                                  F.cos(ang).alias("c"), F.col(y).alias("y"))
-    names = ["one", "t", "s", "c"]
-    cols = {"one": F.lit(1.0), "t": F.col("t"), "s": F.col("s"), "c": F.col("c")}
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy")]
-    for i, a in enumerate(names):
-        aggs.append(F.sum(cols[a] * F.col("y")).alias(f"xy_{a}"))
-        for b_ in names[i:]:
-            aggs.append(F.sum(cols[a] * cols[b_]).alias(f"xx_{a}_{b_}"))
-    gram = x.groupBy(group).agg(*aggs)
-    schema = T.StructType([T.StructField(group, T.StringType()), T.StructField("n", T.LongType()),
-                           *[T.StructField(f"b_{a}", T.DoubleType()) for a in names],
-                           T.StructField("rmse", T.DoubleType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        rows = []
-        for _, r in pdf.iterrows():
-            xx = np.zeros((4, 4))
-            for i, a in enumerate(names):
-                for j, b_ in enumerate(names):
-                    key = f"xx_{a}_{b_}" if i <= j else f"xx_{b_}_{a}"
-                    xx[i, j] = r[key]
-            xy = np.array([r[f"xy_{a}"] for a in names])
-            beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-            ssr = r["yy"] - 2 * beta @ xy + beta @ xx @ beta
-            rows.append([r[group], int(r["n"]), *beta.tolist(), math.sqrt(max(ssr, 0.0) / r["n"])])
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return gram.groupBy(group).applyInPandas(solve, schema)
+    x = df.filter(F.col(y).isNotNull()).select(
+        group, t.alias("t"), F.sin(ang).alias("s"), F.cos(ang).alias("c"), F.col(y).cast("double").alias("y"))
+    means = x.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("_t0"),
+                                 *[F.avg(v).alias(f"_m{v}") for v in "tscy"])
+    z = x.join(means, group).select(group, *[(F.col(v) - F.col(f"_m{v}")).alias(v) for v in "tscy"])
+    pairs = [a + b for i, a in enumerate("tscy") for b in "tscy"[i:]]
+    gram = z.groupBy(group).agg(*[F.sum(F.col(p[0]) * F.col(p[1])).alias(p) for p in pairs]).join(means, group)
+
+    def g(a, b):
+        return F.col("".join(sorted((a, b), key="tscy".index)))
+
+    def det(cols):
+        (a, b, c) = [[g(r, k) for r in "tsc"] for k in cols]
+        return (a[0] * (b[1] * c[2] - b[2] * c[1]) - b[0] * (a[1] * c[2] - a[2] * c[1])
+                + c[0] * (a[1] * b[2] - a[2] * b[1]))
+
+    whole = det("tsc")
+    out = gram.select("*", *[F.try_divide(det("tsc".replace(v, "y")), whole).alias(f"b_{v}") for v in "tsc"])
+    mean = F.col("_my") - sum(F.col(f"b_{v}") * F.col(f"_m{v}") for v in "sc")
+    ssr = F.col("yy") - sum(F.col(f"b_{v}") * g(v, "y") for v in "tsc")
+    one = mean - F.col("b_t") * (F.col("_mt") - F.col("_t0"))
+    return out.select(group, "n", one.alias("b_one"), "b_t", "b_s", "b_c",
+                      F.sqrt(F.greatest(ssr, F.lit(0.0)) / F.col("n")).alias("rmse"))

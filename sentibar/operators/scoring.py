@@ -11,8 +11,8 @@ implementations:
   Arrow-batched iterator pandas UDF, so model weights load once per task
   and inference runs on executor batches, never on the driver.
 
-Only rows whose score is still NULL are scored (A14), and the result is
-joined back by the article key (A13) - see ``rescore_pending``.
+Only rows whose score is still NULL are scored (A14); the others pass
+through unchanged, and no key or join is involved - see ``rescore_pending``.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as FV
-from ..functions.text import lexicon_counts, polar_score, reply_fields, reply_variant
-from .keys import keyed_update
+from ..functions.text import lexicon_counts, polar_score, reply_fields, reply_object
 
 SCORE_TYPE = T.StructType([T.StructField("label", T.StringType()),
                            T.StructField("prob", T.DoubleType())])
@@ -79,17 +78,20 @@ def score_articles(df: DataFrame, text: Column, scorer=None,
 
 def with_reply_fields(df: DataFrame, reply: str, keep_valid_only: bool = False) -> DataFrame:
     """B11 on a DataFrame: parse each reply once, then project its fields."""
-    v = df.withColumn("_v", reply_variant(reply))
+    v = df.withColumn("_v", reply_object(reply))
     if keep_valid_only:
         v = v.filter(F.col("_v").isNotNull())
     return v.withColumns(reply_fields("_v")).drop("_v")
 
 
-def rescore_pending(articles: DataFrame, key: str, text: Column, target_col: str,
+def rescore_pending(articles: DataFrame, text: Column, target_col: str,
                     scorer=None) -> DataFrame:
-    """Score rows whose ``target_col`` is NULL and merge the values back."""
-    todo = articles.filter(F.col(target_col).isNull())
-    scored = score_articles(todo.select(key, text.alias("_text")), F.col("_text"),
-                            scorer, prefix="_new")
-    upd = scored.select(key, F.col("_new_sentiment").alias(target_col))
-    return keyed_update(articles, upd, key, [target_col])
+    """Score rows whose ``target_col`` is NULL; the others stay as they are.
+
+    Row-wise: rows with NULL or repeated keys are scored like any other, no
+    row is lost or multiplied, and nothing is shuffled."""
+    kind = articles.schema[target_col].dataType
+    todo = articles.filter(F.col(target_col).isNull()).withColumn("_text", text)
+    scored = (score_articles(todo, F.col("_text"), scorer, prefix="_new")
+              .withColumn(target_col, F.col("_new_sentiment").cast(kind)))
+    return articles.filter(F.col(target_col).isNotNull()).unionByName(scored.select(*articles.columns))

@@ -18,6 +18,18 @@ DAILY_COLS = ("news_volume", "finbert_mean", "gemma_mean", "gemma_dispersion",
               "gemma_conf_weighted", "article_impact_index")
 
 
+def impact_types(news: DataFrame, impact: str = "gemma_impact_type") -> list[str]:
+    """The impact types that occur, lower-cased, in order: one small aggregate
+    (a scorer has a handful of types; the driver sees names only)."""
+    rows = (news.filter(F.col(impact).isNotNull()).select(F.lower(impact).alias("t"))
+            .distinct().orderBy("t").collect())
+    return [r.t for r in rows]
+
+
+def _of_type(impact: str, t: str) -> Column:
+    return F.lower(F.col(impact)) == t.lower()
+
+
 def pivot_cols(types=FV.IMPACT_TYPES):
     return [f"{t.lower()}_{m}" for m in ("mean_score", "impact_index") for t in types]
 
@@ -37,8 +49,12 @@ def daily_sentiment(news: DataFrame, asset="asset_tag", session="trading_session
                     fill_zero: bool = True) -> DataFrame:
     """D1-D5 (+ D6/D7 pivot) per (asset, session); NULL session/asset dropped.
 
+    Types are matched without regard to case.  The feature table has columns
+    for ``FV.IMPACT_TYPES``; ``types=None`` pivots whatever types occur.
+
     ``fill_zero`` reproduces the pipeline's zero-fill of empty measures.
     """
+    types = impact_types(news, impact) if types is None else types
     n = F.count(F.lit(1))
     aggs = [
         n.alias("news_volume"),
@@ -50,7 +66,7 @@ def daily_sentiment(news: DataFrame, asset="asset_tag", session="trading_session
     ]
     if with_pivot:
         for t in types:
-            s_t = F.when(F.col(impact) == t, F.col(score))
+            s_t = F.when(_of_type(impact, t), F.col(score))
             aggs.append(F.avg(s_t).alias(f"{t.lower()}_mean_score"))
             aggs.append((F.avg(s_t) * F.ln(F.lit(1.0) + F.count(s_t))).alias(f"{t.lower()}_impact_index"))
     out = (news.filter(F.col(session).isNotNull() & F.col(asset).isNotNull())
@@ -63,8 +79,9 @@ def daily_sentiment(news: DataFrame, asset="asset_tag", session="trading_session
 
 def impact_pivot(news: DataFrame, asset="asset_tag", session="trading_session",
                  score="gemma_sentiment_score", impact="gemma_impact_type",
-                 types=FV.IMPACT_TYPES) -> DataFrame:
-    """D6 + D7 alone: per-type mean and impact index as columns, absent -> 0.
+                 types=None) -> DataFrame:
+    """D6 + D7 alone: per-type mean and impact index as columns, absent -> 0;
+    the types that occur in the data unless ``types`` names them.
 
     Only (asset, session) groups with at least one typed, scored article
     appear: NULL types are dropped before grouping and a group whose every
@@ -73,8 +90,8 @@ def impact_pivot(news: DataFrame, asset="asset_tag", session="trading_session",
     typed = news.filter(F.col(session).isNotNull() & F.col(asset).isNotNull()
                         & F.col(impact).isNotNull())
     aggs = []
-    for t in types:
-        s_t = F.when(F.col(impact) == t, F.col(score))
+    for t in impact_types(news, impact) if types is None else types:
+        s_t = F.when(_of_type(impact, t), F.col(score))
         aggs.append(F.coalesce(F.avg(s_t), F.lit(0.0)).alias(f"{t.lower()}_mean_score"))
         aggs.append(F.coalesce(F.avg(s_t) * F.ln(F.lit(1.0) + F.count(s_t)), F.lit(0.0))
                     .alias(f"{t.lower()}_impact_index"))

@@ -27,15 +27,20 @@ def info_criteria(ll: Column, k: Column, n: Column):
 
 
 def market_model(df: DataFrame, y: str, x: str, group: str = "asset_tag") -> DataFrame:
-    """H1: y = a + b x + e per group; beta, alpha, AIC, BIC (k = 2)."""
+    """H1: y = a + b x + e per group; beta, alpha, AIC, BIC (k = 2).
+
+    A constant regressor leaves the model (beta 0, k = 1); its group keeps its
+    row."""
     n = F.regr_count(y, x).cast("double")
     sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
     agg = df.groupBy(group).agg(n.alias("n"), sxx.alias("sxx"), syy.alias("syy"),
-                                sxy.alias("sxy"), F.regr_intercept(y, x).alias("alpha"))
-    ssr = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
-    ll = ols_loglik(F.col("n"), ssr)
-    aic, bic = info_criteria(ll, F.lit(2.0), F.col("n"))
-    return agg.select(group, (F.col("sxy") / F.col("sxx")).alias("beta"), "alpha",
+                                sxy.alias("sxy"), F.regr_avgy(y, x).alias("my"),
+                                F.regr_avgx(y, x).alias("mx"))
+    flat = ~F.coalesce(F.col("sxx") > 0, F.lit(False))
+    beta = F.when(flat, F.lit(0.0)).otherwise(F.try_divide("sxy", "sxx"))
+    ll = ols_loglik(F.col("n"), F.col("syy") - beta * F.col("sxy"))
+    aic, bic = info_criteria(ll, F.when(flat, F.lit(1.0)).otherwise(F.lit(2.0)), F.col("n"))
+    return agg.select(group, beta.alias("beta"), (F.col("my") - beta * F.col("mx")).alias("alpha"),
                       F.col("n").cast("long").alias("n"), ll.alias("loglik"),
                       aic.alias("aic"), bic.alias("bic"))
 
@@ -44,7 +49,8 @@ def two_factor(df: DataFrame, y: str, x1: str, x2: str, group: str = "asset_tag"
                collinear_tol: float = 1e-10) -> DataFrame:
     """H2: y = a + b1 x1 + b2 x2 + e.  Solved from centred cross products;
     when x2 is (numerically) collinear with x1 the factor is dropped and the
-    model is the one-factor fit with k = 2, as a rank-aware OLS reports."""
+    model is the one-factor fit with k = 2, as a rank-aware OLS reports.  A
+    constant regressor leaves the model the same way (both constant: k = 1)."""
     agg = df.groupBy(group).agg(
         F.regr_count(y, x1).cast("double").alias("n"),
         F.regr_sxx(y, x1).alias("s11"), F.regr_sxx(y, x2).alias("s22"),
@@ -52,13 +58,18 @@ def two_factor(df: DataFrame, y: str, x1: str, x2: str, group: str = "asset_tag"
         F.regr_sxy(y, x2).alias("s2y"), F.regr_syy(y, x1).alias("syy"))
     s11, s22, s12 = F.col("s11"), F.col("s22"), F.col("s12")
     det = s11 * s22 - s12 * s12
-    collinear = F.abs(det) <= F.lit(collinear_tol) * s11 * s22
-    b1 = F.when(collinear, F.col("s1y") / s11).otherwise((s22 * F.col("s1y") - s12 * F.col("s2y")) / det)
-    b2 = F.when(collinear, F.lit(0.0)).otherwise((s11 * F.col("s2y") - s12 * F.col("s1y")) / det)
-    out = agg.select(group, "n", "syy", "s1y", "s2y", collinear.alias("collinear"),
+    collinear = F.coalesce(F.abs(det) <= F.lit(collinear_tol) * s11 * s22, F.lit(True))
+    use1 = F.coalesce(s11 > 0, F.lit(False))
+    use2 = F.when(collinear, ~use1 & F.coalesce(s22 > 0, F.lit(False))).otherwise(F.lit(True))
+    b1 = (F.when(~use1, F.lit(0.0)).when(collinear, F.try_divide(F.col("s1y"), s11))
+          .otherwise(F.try_divide(s22 * F.col("s1y") - s12 * F.col("s2y"), det)))
+    b2 = (F.when(~use2, F.lit(0.0)).when(collinear, F.try_divide(F.col("s2y"), s22))
+          .otherwise(F.try_divide(s11 * F.col("s2y") - s12 * F.col("s1y"), det)))
+    rank = F.lit(1.0) + use1.cast("double") + use2.cast("double")
+    out = agg.select(group, "n", "syy", "s1y", "s2y", collinear.alias("collinear"), rank.alias("k"),
                      b1.alias("beta_market"), b2.alias("beta_factor"))
     ssr = F.col("syy") - F.col("beta_market") * F.col("s1y") - F.col("beta_factor") * F.col("s2y")
-    k = F.when(F.col("collinear"), F.lit(2.0)).otherwise(F.lit(3.0))
+    k = F.col("k")
     ll = ols_loglik(F.col("n"), ssr)
     aic, bic = info_criteria(ll, k, F.col("n"))
     return out.select(group, "beta_market", "beta_factor", "collinear",

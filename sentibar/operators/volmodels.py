@@ -3,14 +3,17 @@
 A likelihood at given parameters is a left fold over one ordered array per
 series (``series_arrays``) with ``F.aggregate``: the recursion runs inside
 the executor that holds the row, and arrays are bounded by the number of
-sessions of one series.  Fitting is a grid search per series inside
-``groupBy(series).applyInPandas``: Spark distributes the series, and each
-task evaluates all grid points of a round in one numpy recursion vectorised
-over the points (a refinement round re-centres a finer grid on the best).
+sessions of one series.  Fitting is a multi-start pattern search: Spark
+distributes (series x start block) rows, each searches from its own part of
+a coarse grid, and an aggregate keeps the best per series.  A search step
+evaluates a small grid around the best point in one numpy recursion
+vectorised over the points; the grid widens while the best point lies on its
+edge, so nothing confines it to the coarse box, and narrows otherwise.
 
 Conventions (documented deviations from a numerical optimiser):
 * GARCH-family start value h_1 = sample variance of the residuals;
-* variance targeting fixes the intercept from the other parameters;
+* the intercept is ``level`` times the one that variance targeting gives;
+  ``level`` is searched like the other parameters;
 * the mean is the sample mean of the (scaled) returns.
 """
 
@@ -110,13 +113,14 @@ def _linspace(lo: float, hi: float, k: int):
     return [lo + (hi - lo) * i / (k - 1) for i in range(k)]
 
 
-# Coarse grids and parameter counts k (the mean counts as a parameter).
+# Coarse grids and parameter counts k (the mean counts as a parameter; the
+# intercept of the GARCH family is free through ``level``).
 GRID_SPECS = {
-    "garch": ({"alpha": _linspace(0.01, 0.3, 10), "beta": _linspace(0.5, 0.98, 13)}, 4),
+    "garch": ({"alpha": _linspace(0.01, 0.3, 10), "beta": _linspace(0.5, 0.98, 13), "level": [0.7, 1.0, 1.3]}, 4),
     "egarch": ({"alpha": _linspace(0.0, 0.4, 6), "gamma": _linspace(-0.2, 0.2, 5),
-                "beta": _linspace(0.7, 0.99, 8)}, 5),
+                "beta": _linspace(0.7, 0.99, 8), "level": [0.7, 1.0, 1.3]}, 5),
     "tgarch": ({"alpha": _linspace(0.0, 0.2, 6), "gamma": _linspace(0.0, 0.2, 5),
-                "beta": _linspace(0.7, 0.98, 8)}, 5),
+                "beta": _linspace(0.7, 0.98, 8), "level": [0.7, 1.0, 1.3]}, 5),
     "arma": ({"phi": _linspace(-0.9, 0.9, 19), "theta": _linspace(-0.9, 0.9, 19)}, 4),
 }
 
@@ -133,9 +137,9 @@ def np_loglik(model: str, y, P: dict):
     ll = np.zeros(g)
     with np.errstate(all="ignore"):
         if model == "garch":
-            a, b = P["alpha"], P["beta"]
-            valid = (a >= 0) & (b >= 0) & (a + b < 1)
-            om = h0 * (1 - a - b)
+            a, b, lv = P["alpha"], P["beta"], P["level"]
+            valid = (a >= 0) & (b >= 0) & (a + b < 1) & (lv > 0)
+            om = lv * h0 * (1 - a - b)
             h = np.full(g, h0)
             for t in range(n):
                 if t > 0:
@@ -143,9 +147,9 @@ def np_loglik(model: str, y, P: dict):
                 ll += LN_2PI + np.log(h) + y[t] ** 2 / h
             out = -0.5 * ll
         elif model == "egarch":
-            a, gm, b = P["alpha"], P["gamma"], P["beta"]
-            valid = np.abs(b) < 1
-            om = (1 - b) * np.log(h0)
+            a, gm, b, lv = P["alpha"], P["gamma"], P["beta"], P["level"]
+            valid = (np.abs(b) < 1) & (lv > 0)
+            om = (1 - b) * np.log(lv * h0)
             lnh = np.full(g, np.log(h0))
             z = np.zeros(g)
             for t in range(n):
@@ -156,10 +160,10 @@ def np_loglik(model: str, y, P: dict):
                 ll += LN_2PI + lnh + y[t] ** 2 / h
             out = -0.5 * ll
         elif model == "tgarch":
-            a, gm, b = P["alpha"], P["gamma"], P["beta"]
+            a, gm, b, lv = P["alpha"], P["gamma"], P["beta"], P["level"]
             persist = b + (a + gm / 2) * SQRT_2_OVER_PI
-            valid = (a >= 0) & (gm >= 0) & (b >= 0) & (persist < 1)
-            om = np.sqrt(h0) * (1 - persist)
+            valid = (a >= 0) & (gm >= 0) & (b >= 0) & (persist < 1) & (lv > 0)
+            om = lv * np.sqrt(h0) * (1 - persist)
             sig = np.full(g, np.sqrt(h0))
             for t in range(n):
                 if t > 0:
@@ -182,63 +186,78 @@ def np_loglik(model: str, y, P: dict):
     return np.where(valid & np.isfinite(out), out, np.nan)
 
 
-def fit_series(y, model: str, rounds: int = 6):
-    """Grid search: the coarse grid, then ``rounds - 1`` local 5-point grids
-    per parameter, each a third of the previous spacing, around the best."""
+def _points(axes: dict) -> dict:
+    import numpy as np
+
+    mesh = np.meshgrid(*[np.asarray(v, dtype=float) for v in axes.values()], indexing="ij")
+    return {n: m.ravel() for n, m in zip(axes, mesh)}
+
+
+def fit_series(y, model: str, steps: int = 40, tol: float = 1e-5, block: int | None = None):
+    """Pattern search from the best coarse point (of one ``block``: one value of
+    the first parameter).  Each step tries a 3-point grid per parameter around
+    the best; a parameter's step doubles when the best moved to the edge and
+    halves when it stayed, until every step is below ``tol``."""
     import numpy as np
 
     grid, k = GRID_SPECS[model]
     names = list(grid)
-    mesh = np.meshgrid(*[np.asarray(grid[n]) for n in names], indexing="ij")
-    pts = {n: m.ravel() for n, m in zip(names, mesh)}
-    spans = {n: (max(v) - min(v)) / (len(v) - 1) for n, v in grid.items()}
+    axes = dict(grid)
+    if block is not None:
+        axes[names[0]] = [grid[names[0]][block]]
+    width = {n: (max(v) - min(v)) / (len(v) - 1) / 2 for n, v in grid.items()}
     best, best_ll = None, -np.inf
-    for r in range(rounds):
-        if r > 0:
-            offs = np.linspace(-1.0, 1.0, 5)
-            local = np.meshgrid(*[best[n] + offs * spans[n] / (3 ** r) for n in names],
-                                indexing="ij")
-            pts = {n: m.ravel() for n, m in zip(names, local)}
+    pts = _points(axes)
+    for _ in range(steps + 1):
         ll = np_loglik(model, y, pts)
-        if np.all(np.isnan(ll)):
+        moved = {n: 0.0 for n in names}
+        if not np.all(np.isnan(ll)):
+            i = int(np.nanargmax(ll))
+            if ll[i] > best_ll:
+                new = {n: float(pts[n][i]) for n in names}
+                if best is not None:
+                    moved = {n: abs(new[n] - best[n]) for n in names}
+                    width = {n: w * (2.0 if moved[n] else 0.5) for n, w in width.items()}
+                best, best_ll = new, float(ll[i])
+            elif best is not None:
+                width = {n: w * 0.5 for n, w in width.items()}
+        if best is None or max(width.values()) < tol:
             break
-        i = int(np.nanargmax(ll))
-        if ll[i] > best_ll:
-            best_ll, best = float(ll[i]), {n: float(pts[n][i]) for n in names}
+        pts = _points({n: (best[n] - width[n], best[n], best[n] + width[n]) for n in names})
     return best, best_ll, k
 
 
-def fit_grid(resid: DataFrame, model: str, rounds: int = 6, group: str = "asset_tag",
+def fit_grid(resid: DataFrame, model: str, group: str = "asset_tag",
              order: str = "trading_session", value: str = "e") -> DataFrame:
     """Fit ``model`` in {garch, egarch, tgarch, arma} per series.
 
-    ``groupBy(series).applyInPandas``: each task receives one series (its
-    length is the number of sessions) and evaluates every grid point of a
-    round as one vectorised numpy recursion; only parameters come back.
-    """
-    import math as _m
-
+    One row per (series, start block) carries the series (its length is the
+    number of sessions); rows are dealt over the cluster, each runs its own
+    search, and ``max_by`` keeps the best of each series."""
     import pandas as pd
-    from pyspark.sql import types as T
-
-    names = list(GRID_SPECS[model][0])
-    schema = T.StructType(
-        [T.StructField(group, T.StringType()), T.StructField("model", T.StringType())]
-        + [T.StructField(n, T.DoubleType()) for n in names]
-        + [T.StructField("loglik", T.DoubleType()), T.StructField("k", T.IntegerType()),
-           T.StructField("n", T.LongType()), T.StructField("aic", T.DoubleType()),
-           T.StructField("bic", T.DoubleType())])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y = pdf[value].to_numpy(dtype=float)
-        best, ll, k = fit_series(y, model, rounds)
-        n = len(y)
-        if best is None:
-            return pd.DataFrame([], columns=[f.name for f in schema.fields])
-        row = [pdf[group].iloc[0], model, *[best[p] for p in names], ll, k, n,
-               -2 * ll + 2 * k, -2 * ll + k * _m.log(n)]
-        return pd.DataFrame([row], columns=[f.name for f in schema.fields])
-
-    return (resid.select(group, order, value).filter(F.col(value).isNotNull())
-            .groupBy(group).applyInPandas(fit, schema))
+
+    grid, k = GRID_SPECS[model]
+    names = list(grid)
+    blocks = len(grid[names[0]])
+    clean = resid.filter(F.col(value).isNotNull())
+    mu = F.lit(0.0).alias("mu")
+    arrays = series_arrays(clean.select(group, order, value, mu), value, group, order).select(group, "y", "n")
+    starts = (arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+              .repartition(F.col(group), F.col("block")))
+    schema = ", ".join([f"`{group}` string", "n long", *[f"{n} double" for n in names], "loglik double"])
+
+    def search(frames):
+        for pdf in frames:
+            rows = []
+            for g, y, n, block in pdf[[group, "y", "n", "block"]].itertuples(index=False):
+                best, ll, _ = fit_series(y, model, block=block)
+                if best is not None:
+                    rows.append((g, n, *[best[p] for p in names], ll))
+            yield pd.DataFrame(rows, columns=[group, "n", *names, "loglik"])
+
+    found = starts.select(group, "y", "n", "block").mapInPandas(search, schema)
+    best = found.groupBy(group).agg(
+        F.max_by(F.struct("n", *names, "loglik"), F.struct("loglik", *names)).alias("b")).select(group, "b.*")
+    aic, bic = -2 * F.col("loglik") + 2 * k, -2 * F.col("loglik") + k * F.ln(F.col("n").cast("double"))
+    return best.select(group, F.lit(model).alias("model"), *names, "loglik", F.lit(k).alias("k"), "n",
+                       aic.alias("aic"), bic.alias("bic"))

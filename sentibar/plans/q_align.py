@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as SC
 from ..operators import calendar as CA
+from ..operators import ingest as IN
 from ..operators import keys as K
 from ..sources import fixtures as FX
 from .catalog import register
-from .oracle import cte
+from .oracle import clean_html_sql, cte
 
 CAL_ROWS = FX.calendar_day_count()
 
@@ -74,6 +75,70 @@ def q_after_close_eg(t):
     return CA.after_close_shift_eg(news(t).select("news_id", "time"))
 
 
+_EG_SHIFT = ("CASE WHEN hour({t}) * 60 + minute({t}) >= 870 THEN {t} + to_days(CAST(1 + CASE "
+             "isodow(CAST({t} AS DATE) + 1) WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS INTEGER)) "
+             "+ to_hours(CAST(10 - hour({t}) AS BIGINT)) - to_minutes(CAST(minute({t}) AS BIGINT)) "
+             "- to_seconds(CAST(second({t}) AS BIGINT)) ELSE {t} END")
+_US_SHIFT = ("CASE WHEN hour({t}) * 60 + minute({t}) >= 960 THEN {next} + INTERVAL 570 MINUTE ELSE {t} END")
+
+
+def _shift_sql(asset: str, t: str) -> str:
+    return (f"CASE {asset} WHEN 'R' THEN {_EG_SHIFT.format(t=t)} "
+            f"ELSE {_US_SHIFT.format(t=t, next=_next_sql(t))} END")
+
+
+# Fixture assets: A and N trade in New York, R from Sunday to Thursday.
+US, EG = ("A", "N"), ("R",)
+
+
+@register("asset_alignment", ops="C7 C10",
+          sql=f"""SELECT n.news_id, n.asset_tag, n.time, CASE n.asset_tag
+  WHEN 'R' THEN CAST(n.time AS DATE) + CASE isodow(CAST(n.time AS DATE)) WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END
+  ELSE {_asof_sql('n.time')} END AS trading_session FROM news n""",
+          ctes=("news", "calendar"), dates=("time", "trading_session"))
+def q_asset_alignment(t):
+    n = news(t).select("news_id", "asset_tag", "time")
+    return CA.align_by_asset(n, calendar(t), us_assets=US, eg_assets=EG, calendar_rows=CAL_ROWS)
+
+
+@register("asset_shift", ops="C8 C9",
+          sql=f"SELECT n.news_id, n.asset_tag, n.time, {_shift_sql('n.asset_tag', 'n.time')} AS shifted_time FROM news n",
+          ctes=("news", "calendar"), dates=("time", "shifted_time"))
+def q_asset_shift(t):
+    n = news(t).select("news_id", "asset_tag", "time")
+    return CA.shift_by_asset(n, calendar(t), us_assets=US, eg_assets=EG, calendar_rows=CAL_ROWS)
+
+
+# Each article twice under another id: the first delivery wins.
+cte("raw_news", """  SELECT news_id, asset_tag, headline, summary, content, time, 0 AS delivery FROM news
+  UNION ALL
+  SELECT news_id + 1000000000 AS news_id, asset_tag, headline, 'again' AS summary, 'again' AS content, time, 1 AS delivery
+  FROM news WHERE news_id % 3 = 0""", "news")
+
+
+@register("ingest_news", ops="A3 B1 B2 B3 B4 B5 C8 C9 D23",
+          sql=f"""SELECT time, arg_min(news_id, k) AS news_id, asset_tag, headline,
+       nullif(arg_min(content, k), '~') AS content, nullif(arg_min(summary, k), '~') AS summary
+FROM (SELECT {_shift_sql('r.asset_tag', 'r.time')} AS time, news_id, asset_tag, headline, (delivery, news_id) AS k,
+             coalesce({clean_html_sql('content')}, '~') AS content, coalesce({clean_html_sql('summary')}, '~') AS summary
+      FROM raw_news r WHERE r.time >= TIMESTAMP '1996-01-01' AND news_id % 13 <> 0) GROUP BY time, headline, asset_tag""",
+          ctes=("raw_news", "calendar"), dates=("time",))
+def q_ingest(t):
+    n = news(t).select("news_id", "asset_tag", "headline", "summary", "content", "time", F.lit(0).alias("delivery"))
+    again = n.filter(F.col("news_id") % 3 == 0).select(
+        (F.col("news_id") + 1000000000).alias("news_id"), "asset_tag", "headline", F.lit("again").alias("summary"),
+        F.lit("again").alias("content"), "time", F.lit(1).alias("delivery"))
+    both = n.unionByName(again)
+    # Three spellings of the time; one article in 13 has none.
+    raw_time = (F.when(F.col("news_id") % 13 == 0, "n/a")
+                .when(F.col("news_id") % 3 == 0, F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+                .when(F.col("news_id") % 3 == 1, F.date_format("time", "MMMM d, yyyy HH:mm"))
+                .otherwise(F.date_format("time", "dd MMM yyyy HH:mm:ss '+0000'")))
+    raw = both.withColumn("raw_time", raw_time).withColumnRenamed("news_id", "id").withColumn("seq", F.col("id"))
+    return IN.ingest_news(raw, calendar(t), ["delivery", "seq"], us_assets=US, eg_assets=EG, cutoff="1996-01-01",
+                          calendar_rows=CAL_ROWS)
+
+
 @register("weekmask_roll", ops="C10",
           sql="SELECT event_id, ts, CAST(ts AS DATE) + CASE isodow(CAST(ts AS DATE)) WHEN 5 THEN 2 "
               "WHEN 6 THEN 1 ELSE 0 END AS trading_session FROM events",

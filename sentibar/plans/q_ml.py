@@ -1,11 +1,14 @@
-"""Registered rows-only queries: model fits.
+"""Registered queries: model fits (H9-H15, H19) and what follows from them.
 
-Model outputs depend on the training library, so these have no SQL twin;
-the tests check their shape and known-answer behaviour instead.
+Predictions are stored tables, as in the published chain: predict, store,
+evaluate.  Model outputs depend on the training library, so these have no SQL
+twin; tests hold the evaluation against SQL over the stored predictions.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as FV
@@ -15,7 +18,9 @@ from ..operators import features as FE
 from ..operators import keys as K
 from ..operators import ml as ML
 from ..operators import volmodels as VM
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources import io as IO
 from .catalog import register
 
 
@@ -29,55 +34,136 @@ def with_residual(t):
     return K.keyed_update(f, r, ["asset_tag", "trading_session"], ["garch_residual"])
 
 
-def _single(t, estimator, prefix, label):
-    cols = FV.FEATURES_GEMMA
-    frame = ML.model_frame(features(t), cols)
-    preds, _ = ML.fit_predict(frame, cols, estimator, f"{prefix}_pred_gemma")
-    test = frame.filter(F.col("split") == "test")
-    m = ML.error_metrics(preds.join(test, ["asset_tag", "trading_session"]), "realized_vol_22d",
-                         f"{prefix}_pred_gemma", ["asset_tag"])
-    return m.select("asset_tag", F.lit("Gemma").alias("variation"), F.lit(label).alias("model"),
-                    "rmse", "mae", "n")
+def stored_table(t, name: str, build):
+    """The named table of this application and data folder: read if an earlier
+    query stored it, else built and stored (predict once, evaluate often)."""
+    path = _store_path(t, name)
+    found = IO.read_optional(t.spark, path)
+    return found if found is not None else IO.replace_table(build(), path)
+
+
+def _store_path(t, name: str) -> str:
+    root = ensure_checkpoint_dir(t.spark).rstrip("/")
+    where = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:12]
+    return f"{root}/sentibar-store/{t.spark.sparkContext.applicationId}/{where}/{name}"
+
+
+def ml_predictions(t):
+    """Hold-out rows with the six tree predictions."""
+    return stored_table(t, "ml_predictions", lambda: ML.feature_set_compare(features(t))[1])
+
+
+def dl_predictions(t):
+    """Hold-out rows with the base and hybrid look-back predictions."""
+    def build():
+        key = ["asset_tag", "trading_session"]
+        base = ML.lookback_regression(features(t), FV.FEATURES_BASELINE, name="lookback_base")
+        hybrid = ML.lookback_regression(with_residual(t), FV.FEATURES_HYBRID, name="lookback_hybrid")
+        close = features(t).select(*key, "close")
+        return (base.join(hybrid.drop("realized_vol_22d"), key).join(close, key)
+                .select("trading_session", "asset_tag", "close", "realized_vol_22d",
+                        "lookback_base_pred", "lookback_hybrid_pred"))
+    return stored_table(t, "dl_predictions", build)
+
+
+@register("ml_predictions", ops="H9 H10 H11 A9")
+def q_ml_predictions(t):
+    return ml_predictions(t)
+
+
+@register("dl_predictions", ops="H13 H14 A9")
+def q_dl_predictions(t):
+    return dl_predictions(t)
+
+
+STRATEGIES = {"XGBoost Baseline": "xgb_pred_baseline", "XGBoost FinBERT": "xgb_pred_finbert",
+              "XGBoost Gemma": "xgb_pred_gemma", "RF Baseline": "rf_pred_baseline",
+              "RF FinBERT": "rf_pred_finbert", "RF Gemma": "rf_pred_gemma",
+              "Look-back Base": "lookback_base_pred", "Look-back Hybrid": "lookback_hybrid_pred"}
+
+
+def strategy_table(t):
+    """C4 + A20: tree predictions with the look-back predictions where that
+    table exists."""
+    dl_predictions(t)
+    root = IO.read_optional(t.spark, _store_path(t, "dl_predictions"))
+    preds = ml_predictions(t)
+    if root is None:
+        return preds
+    return preds.join(root.select("trading_session", "asset_tag", "lookback_base_pred", "lookback_hybrid_pred"),
+                      ["trading_session", "asset_tag"], "left")
+
+
+@register("prediction_backtest", ops="C4 H16 A20 D20 E8 E9")
+def q_prediction_backtest(t):
+    return BT.vol_target_backtest(strategy_table(t), STRATEGIES)
+
+
+def _metrics(t, columns: dict):
+    preds = ml_predictions(t)
+    out = None
+    for (variation, label), col in columns.items():
+        m = ML.error_metrics(preds, "realized_vol_22d", col, ["asset_tag"]).select(
+            "asset_tag", F.lit(variation).alias("variation"), F.lit(label).alias("model"), "rmse", "mae", "n")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @register("gbt_metrics", ops="H9 D21 E11")
 def q_gbt(t):
-    return _single(t, ML.boosted, "xgb", "XGBoost")
+    return _metrics(t, {("Gemma", "XGBoost"): "xgb_pred_gemma"})
 
 
 @register("rf_metrics", ops="H10 D21 E11")
 def q_rf(t):
-    return _single(t, ML.forest, "rf", "RandomForest")
+    return _metrics(t, {("Gemma", "RandomForest"): "rf_pred_gemma"})
 
 
 @register("feature_set_compare", ops="H11 A9")
 def q_compare(t):
-    metrics, _ = ML.feature_set_compare(features(t))
-    return metrics
+    return _metrics(t, {(v, m): f"{p}_pred_{v.lower()}" for v in ML.FEATURE_SETS
+                        for m, p in (("XGBoost", "xgb"), ("RandomForest", "rf"))}).drop("n")
+
+
+def attribution_rows(t):
+    """Exact attributions of the boosted trees, one row per hold-out row and feature."""
+    def build():
+        cols = FV.FEATURES_GEMMA
+        frame = ML.stored(ML.model_frame(features(t), cols), "attribution-frame")
+        _, models = ML.fit_predict(frame, cols, ML.boosted, "xgb_pred_gemma")
+        out = None
+        for a, m in models.items():
+            part = ML.shapley_attribution(frame, m, cols, a)
+            out = part if out is None else out.unionByName(part)
+        return out
+    return stored_table(t, "attribution", build)
+
+
+@register("attribution_rows", ops="H12")
+def q_attribution_rows(t):
+    return attribution_rows(t)
 
 
 @register("attribution", ops="H12")
 def q_attribution(t):
-    cols = FV.FEATURES_GEMMA
-    frame = ML.model_frame(features(t), cols).persist()
-    _, models = ML.fit_predict(frame, cols, ML.boosted, "xgb_pred_gemma")
-    parts = [ML.shapley_attribution(frame, m, cols, a) for a, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ML.attribution_summary(out)
+    return ML.attribution_summary(attribution_rows(t))
+
+
+@register("dependence", ops="H12")
+def q_dependence(t):
+    """One feature against its attribution (the dependence plot's points)."""
+    return attribution_rows(t).filter(F.col("feature") == "gemma_mean").select(
+        "asset_tag", "trading_session", "value", "shap")
 
 
 @register("lookback_regression", ops="H13 E12 D22 D21")
 def q_lookback(t):
-    p = ML.lookback_regression(features(t), FV.FEATURES_BASELINE, name="lookback_base")
-    return ML.error_metrics(p, "realized_vol_22d", "lookback_base_pred", ["asset_tag"])
+    return ML.error_metrics(dl_predictions(t), "realized_vol_22d", "lookback_base_pred", ["asset_tag"])
 
 
 @register("hybrid_regression", ops="H14 H8 E12 D22 D21")
 def q_hybrid(t):
-    p = ML.lookback_regression(with_residual(t), FV.FEATURES_HYBRID, name="lookback_hybrid")
-    return ML.error_metrics(p, "realized_vol_22d", "lookback_hybrid_pred", ["asset_tag"])
+    return ML.error_metrics(dl_predictions(t), "realized_vol_22d", "lookback_hybrid_pred", ["asset_tag"])
 
 
 @register("forward_return_model", ops="H15 H17 E6 E13 A20")
@@ -95,14 +181,30 @@ def q_forward(t):
     frame = train.unionByName(score, allowMissingColumns=True)
     preds, _ = ML.fit_predict(frame, cols, lambda: ML.boosted(step=0.05, depth=4),
                               "expected_return", target="target_return_5d")
-    vol = ML.lookback_regression(with_residual(t), FV.FEATURES_HYBRID, name="hybrid")
+    vol = dl_predictions(t).select("asset_tag", "trading_session", "lookback_hybrid_pred")
     row = (latest.join(preds, ["asset_tag", "trading_session"])
-           .join(vol.select("asset_tag", "trading_session", "hybrid_pred"),
-                 ["asset_tag", "trading_session"], "left")
-           .withColumn("sigma", F.coalesce("hybrid_pred", "realized_vol_22d")))
+           .join(vol, ["asset_tag", "trading_session"], "left")
+           .withColumn("sigma", F.coalesce("lookback_hybrid_pred", "realized_vol_22d")))
     return BT.insight_rows(row, mu="expected_return", sigma="sigma")
 
 
-@register("season_fit", ops="H19")
+@register("season_fit", ops="H19",
+          sql="""WITH x AS (SELECT asset_tag, CAST(trading_session - DATE '1970-01-01' AS DOUBLE) AS t, close AS y FROM features),
+z AS (SELECT asset_tag, count(*) OVER w AS n, t - min(t) OVER w AS t0, t - avg(t) OVER w AS t,
+             sin(2 * pi() / 365.25 * t) AS s0, cos(2 * pi() / 365.25 * t) AS c0, y AS y0,
+             sin(2 * pi() / 365.25 * t) - avg(sin(2 * pi() / 365.25 * t)) OVER w AS s,
+             cos(2 * pi() / 365.25 * t) - avg(cos(2 * pi() / 365.25 * t)) OVER w AS c, y - avg(y) OVER w AS y
+      FROM x WINDOW w AS (PARTITION BY asset_tag)),
+g AS (SELECT asset_tag, any_value(n) AS n, avg(t0) AS mt, avg(s0) AS ms, avg(c0) AS mc, avg(y0) AS my, sum(t*t) AS tt,
+             sum(t*s) AS ts, sum(t*c) AS tc, sum(s*s) AS ss, sum(s*c) AS sc, sum(c*c) AS cc,
+             sum(t*y) AS ty, sum(s*y) AS sy, sum(c*y) AS cy, sum(y*y) AS yy FROM z GROUP BY asset_tag),
+-- eliminate t, then s
+e AS (SELECT *, ss - ts*ts/tt AS ss1, sc - ts*tc/tt AS sc1, cc - tc*tc/tt AS cc1, sy - ts*ty/tt AS sy1, cy - tc*ty/tt AS cy1 FROM g),
+b AS (SELECT *, (cy1 - sc1*sy1/ss1) / (cc1 - sc1*sc1/ss1) AS b_c FROM e),
+b2 AS (SELECT *, (sy1 - sc1*b_c) / ss1 AS b_s FROM b),
+b3 AS (SELECT *, (ty - ts*b_s - tc*b_c) / tt AS b_t FROM b2)
+SELECT asset_tag, n, my - b_t*mt - b_s*ms - b_c*mc AS b_one, b_t, b_s, b_c,
+       sqrt(greatest(yy - b_t*ty - b_s*sy - b_c*cy, 0.0) / n) AS rmse FROM b3""",
+          ctes=("features",), rnd=("b_one", "b_t", "b_s", "b_c", "rmse"), dates=())
 def q_season(t):
     return ML.season_fit(features(t))

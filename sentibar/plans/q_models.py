@@ -294,6 +294,83 @@ def q_garch_loglik(t):
     return s.select("asset_tag", "n", F.round(ll, 3).alias("loglik"))
 
 
+def _fold_sql(first: str, step: str, state: str) -> str:
+    """A likelihood as a recursive walk over one series: ``state`` columns start
+    as ``first`` and move by ``step`` (which sees r.* and g.e)."""
+    return f"""WITH RECURSIVE st AS (SELECT asset_tag, var_samp(e) AS h0, count(*) AS n FROM gresid GROUP BY asset_tag),
+r(asset_tag, t, {state}, ll) AS (
+  SELECT g.asset_tag, g.t, x.*, {repr(ST.LN_2PI)} + ln(x.h) + g.e * g.e / x.h
+  FROM gresid g JOIN st USING (asset_tag), LATERAL (SELECT {first}) x WHERE g.t = 1
+  UNION ALL
+  SELECT g.asset_tag, g.t, x.*, r.ll + {repr(ST.LN_2PI)} + ln(x.h) + g.e * g.e / x.h
+  FROM r JOIN gresid g ON g.asset_tag = r.asset_tag AND g.t = r.t + 1
+  JOIN st ON st.asset_tag = r.asset_tag, LATERAL (SELECT {step}) x)
+SELECT r.asset_tag, st.n, round(-0.5 * arg_max(r.ll, r.t), 3) AS loglik
+FROM r JOIN st USING (asset_tag) GROUP BY r.asset_tag, st.n"""
+
+
+_ROOT = repr(VM.SQRT_2_OVER_PI)
+
+
+@register("egarch_loglik", ops="H5 (likelihood at fixed parameters)",
+          sql=_fold_sql("st.h0 AS h, g.e / sqrt(st.h0) AS z",
+                        f"exp(0.05 * ln(st.h0) + 0.1 * (abs(r.z) - {_ROOT}) - 0.05 * r.z + 0.95 * ln(r.h)) AS h, "
+                        f"g.e / sqrt(exp(0.05 * ln(st.h0) + 0.1 * (abs(r.z) - {_ROOT}) - 0.05 * r.z + 0.95 * ln(r.h))) AS z",
+                        "h, z"),
+          ctes=("gresid",), rnd=("loglik",), dates=())
+def q_egarch_loglik(t):
+    s = VM.series_arrays(VM.residual_series(features(t)))
+    ll = VM.egarch_loglik(F.col("y"), F.col("h0"), F.lit(0.05) * F.ln("h0"), F.lit(0.1), F.lit(-0.05), F.lit(0.95))
+    return s.select("asset_tag", "n", F.round(ll, 3).alias("loglik"))
+
+
+_SIG = "0.1 * sqrt(st.h0) + (0.05 + CASE WHEN r.p < 0 THEN 0.1 ELSE 0.0 END) * abs(r.p) + 0.8 * sqrt(r.h)"
+
+
+@register("tgarch_loglik", ops="H6 (likelihood at fixed parameters)",
+          sql=_fold_sql("st.h0 AS h, g.e AS p", f"({_SIG}) * ({_SIG}) AS h, g.e AS p", "h, p"),
+          ctes=("gresid",), rnd=("loglik",), dates=())
+def q_tgarch_loglik(t):
+    s = VM.series_arrays(VM.residual_series(features(t)))
+    ll = VM.tgarch_loglik(F.col("y"), F.col("h0"), F.lit(0.1) * F.sqrt("h0"), F.lit(0.05), F.lit(0.1), F.lit(0.8))
+    return s.select("asset_tag", "n", F.round(ll, 3).alias("loglik"))
+
+
+@register("arma_loglik", ops="H3 (likelihood at fixed parameters)",
+          sql=f"""WITH RECURSIVE r(asset_tag, t, y, i, s) AS (
+  SELECT asset_tag, t, e, e, e * e FROM gresid WHERE t = 1
+  UNION ALL
+  SELECT g.asset_tag, g.t, g.e, x.i, r.s + x.i * x.i
+  FROM r JOIN gresid g ON g.asset_tag = r.asset_tag AND g.t = r.t + 1,
+  LATERAL (SELECT g.e - 0.3 * r.y - 0.2 * r.i AS i) x)
+SELECT asset_tag, max(t) AS n, round(-max(t) / 2.0 * ({repr(ST.LN_2PI)} + ln(arg_max(s, t) / max(t)) + 1), 3) AS loglik
+FROM r GROUP BY asset_tag""",
+          ctes=("gresid",), rnd=("loglik",), dates=())
+def q_arma_loglik(t):
+    s = VM.series_arrays(VM.residual_series(features(t)))
+    sse = VM.arma_sse(F.col("y"), F.lit(0.0), F.lit(0.3), F.lit(0.2))
+    n = F.col("n").cast("double")
+    return s.select("asset_tag", "n", F.round(ST.ols_loglik(n, sse), 3).alias("loglik"))
+
+
+@register("persistence_series", ops="H20",
+          sql="SELECT trading_session, asset_tag, realized_vol_22d, sentiment_persistence_3d FROM features",
+          ctes=("features",), rnd=("realized_vol_22d", "sentiment_persistence_3d"))
+def q_persistence_series(t):
+    """Volatility against sentiment persistence, per asset and session."""
+    return features(t).select("trading_session", "asset_tag", "realized_vol_22d", "sentiment_persistence_3d")
+
+
+@register("dispersion_series", ops="H20 E5",
+          sql="SELECT trading_session, asset_tag, gemma_dispersion, next_day_abs_return FROM features "
+              "WHERE gemma_dispersion > 0 AND next_day_abs_return IS NOT NULL",
+          ctes=("features",), rnd=("gemma_dispersion", "next_day_abs_return"))
+def q_dispersion_series(t):
+    """Opinion dispersion against the next day's absolute return."""
+    return features(t).select("trading_session", "asset_tag", "gemma_dispersion", "next_day_abs_return").filter(
+        (F.col("gemma_dispersion") > 0) & F.col("next_day_abs_return").isNotNull())
+
+
 @register("residual_writeback", ops="H8 A11 A12",
           sql="SELECT f.asset_tag, f.trading_session, g.e AS garch_residual FROM features f "
               "LEFT JOIN gresid g USING (asset_tag, trading_session)",
@@ -348,7 +425,7 @@ def q_garchx(t):
                     - F.col("beta_factor") * (F.col("article_impact_index") - F.col("_m2"))).alias("e")))
     fit = VM.fit_grid(res, "garch")
     k = 6
-    return fit.select("asset_tag", F.lit("garch_x").alias("model"), "alpha", "beta", "loglik",
+    return fit.select("asset_tag", F.lit("garch_x").alias("model"), "alpha", "beta", "level", "loglik",
                       F.lit(k).alias("k"), "n",
                       (-2 * F.col("loglik") + 2 * k).alias("aic"),
                       (-2 * F.col("loglik") + k * F.ln(F.col("n").cast("double"))).alias("bic"))

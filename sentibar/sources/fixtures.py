@@ -26,6 +26,8 @@ CALENDAR_RANGES = (("1994-12-01", "2002-01-31"), ("2023-12-01", "2024-02-29"))
 CALENDAR_HOLIDAYS = ("01-01", "07-04", "12-25")
 CALENDAR_TZ = "America/New_York"
 CALENDAR_CLOSE = (16, 0)
+CALENDAR_HALF_DAYS = ("07-03", "12-24")
+CALENDAR_HALF_CLOSE = (13, 0)
 ASSET_NAMES = {"A": "NVDA", "N": "USO", "R": "EGX"}        # fixture asset -> name
 
 
@@ -124,8 +126,10 @@ def reply_text_from_orders(orders: DataFrame) -> DataFrame:
 
 def session_calendar(spark: SparkSession, ranges=CALENDAR_RANGES,
                      holidays=CALENDAR_HOLIDAYS, tz: str = CALENDAR_TZ,
-                     close=CALENDAR_CLOSE, calendar_id: str = "US") -> DataFrame:
-    """Weekday sessions in the given date ranges minus holidays.
+                     close=CALENDAR_CLOSE, calendar_id: str = "US",
+                     half_days=CALENDAR_HALF_DAYS, half_close=CALENDAR_HALF_CLOSE) -> DataFrame:
+    """Weekday sessions in the given date ranges minus holidays; half days
+    close early.
 
     close_ts is the local close converted to UTC (DST-aware), as a naive
     timestamp.  Size is bounded by the ranges: known on the driver.
@@ -135,8 +139,10 @@ def session_calendar(spark: SparkSession, ranges=CALENDAR_RANGES,
         d = spark.range(1).select(F.explode(F.sequence(F.lit(lo).cast("date"),
                                                        F.lit(hi).cast("date"))).alias("d"))
         days = d if days is None else days.unionByName(d)
-    local_close = F.make_timestamp_ntz(F.year("d"), F.month("d"), F.dayofmonth("d"),
-                                       F.lit(close[0]), F.lit(close[1]), F.lit(0))
+    half = F.date_format("d", "MM-dd").isin(list(half_days))
+    local_close = F.make_timestamp_ntz(
+        F.year("d"), F.month("d"), F.dayofmonth("d"),
+        F.when(half, half_close[0]).otherwise(close[0]), F.when(half, half_close[1]).otherwise(close[1]), F.lit(0))
     return (days
             .filter((F.weekday("d") < 5) & ~F.date_format("d", "MM-dd").isin(list(holidays)))
             .select(F.lit(calendar_id).alias("calendar_id"),

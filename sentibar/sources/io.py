@@ -23,8 +23,10 @@ BAR_CSV_SCHEMA = T.StructType([
     T.StructField("volume", T.DoubleType()),
 ])
 
+# Every field is read as text (any JSON value has a text form), so only a file
+# that is not JSON counts as undecodable.
 ARTICLE_JSON_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("headline", T.StringType()),
+    T.StructField("id", T.StringType()), T.StructField("headline", T.StringType()),
     T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()),
     T.StructField("lead", T.StringType()), T.StructField("content", T.StringType()),
     T.StructField("body", T.StringType()), T.StructField("created_at", T.StringType()),
@@ -52,43 +54,73 @@ def write_bars_csv(bars: DataFrame, path: str) -> None:
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
     """A1: header CSV with an explicit schema; ``datetime`` -> ``time``."""
-    raw = spark.read.schema(BAR_CSV_SCHEMA).option("header", True).csv(path)
+    return read_bars_csv_ordered(spark, path).drop(*FILE_ORDER)
+
+
+FILE_ORDER = ["_file", "_block", "_pos"]
+
+
+def read_bars_csv_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_bars_csv``, with the row's place: file path, byte offset of
+    its split, and position in the split (``FILE_ORDER``)."""
+    raw = (spark.read.schema(BAR_CSV_SCHEMA).option("header", True)
+           .option("recursiveFileLookup", True).csv(path))
     return raw.select(F.to_timestamp_ntz("datetime").alias("time"), "symbol", "open", "high",
-                      "low", "close", "volume").filter(F.col("time").isNotNull())
+                      "low", "close", "volume", F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_pos")).filter(F.col("time").isNotNull())
 
 
 # ------------------------------------------------------------- JSON files
-def write_json_arrays(df: DataFrame, path: str, file_key: str) -> None:
-    """Write one JSON array per ``file_key`` value (one file per value).
+def write_json_arrays(df: DataFrame, path: str, file_key: str, order: str) -> None:
+    """Write one JSON array per ``file_key`` value (one file per value), its
+    rows by ``order`` (which is not written).
 
     ``file_key`` must bound the rows per file (e.g. a day or a fixed-size
     bucket of ids): each file's rows are gathered into one array."""
-    arr = (df.groupBy(file_key)
-           .agg(F.to_json(F.collect_list(F.struct(*[c for c in df.columns if c != file_key])))
-                .alias("value")))
+    row = F.struct(*[c for c in df.columns if c not in (file_key, order)]).alias("row")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), row))), lambda x: x["row"])
+    arr = df.groupBy(file_key).agg(F.to_json(rows).alias("value"))
     arr.write.mode("overwrite").partitionBy(file_key).text(path)
 
 
 def read_json_articles(spark: SparkSession, path: str, schema=ARTICLE_JSON_SCHEMA) -> DataFrame:
     """A4/A5: JSON array files; a file that does not decode is skipped whole.
 
-    Each file is read unsplit, so ``(file, position)`` is the ingest order."""
-    raw = (spark.read.schema(schema).option("multiLine", True)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-           .option("recursiveFileLookup", True).json(path)
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_pos", F.monotonically_increasing_id()))
-    bad_files = file_stats(spark, path).filter("invalid").select("_file")
-    return raw.join(bad_files, "_file", "left_anti").drop("_corrupt_record")
+    The multi-line reader parses a file as one stream and turns one that is not
+    JSON into a single row with ``_corrupt_record``, so one pass reads the
+    records and marks bad files, whatever the file size.  Repeated keys of an
+    object keep the last value.  A file is one task, and ``(file, position)``
+    is the ingest order: feeds should deliver many files, not one huge one."""
+    return (_json_files(spark, path, schema).filter(~_is_bad(schema))
+            .drop("_corrupt_record").withColumn("id", F.expr("try_cast(id AS BIGINT)")))
+
+
+def _is_bad(schema) -> F.Column:
+    """The one row of an undecodable file: a corrupt record without data."""
+    data = next(n for n in schema.names if n != "_corrupt_record")
+    return F.col("_corrupt_record").isNotNull() & F.col(data).isNull()
+
+
+def _json_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    return (spark.read.schema(schema).option("multiLine", True)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("recursiveFileLookup", True).json(path)
+            .withColumn("_file", F.col("_metadata.file_path"))
+            .withColumn("_pos", F.monotonically_increasing_id()))
 
 
-def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """D24 inputs: per file, whether it is empty ('[]') or undecodable."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-             .select(F.col("_metadata.file_path").alias("_file"), "value"))
-    parsed = F.try_parse_json(F.col("value"))
-    return files.select("_file", parsed.isNull().alias("invalid"),
-                        (F.trim(F.col("value")) == "[]").alias("empty"))
+def file_stats(spark: SparkSession, path: str, schema=ARTICLE_JSON_SCHEMA) -> DataFrame:
+    """D24 inputs: per file, whether it is empty (no record) or undecodable.
+    The parser decides; the file list reads no content.  Files of zero bytes are
+    not part of a Spark listing."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select(F.col("_metadata.file_path").alias("_file"), "length"))
+    seen = (_json_files(spark, path, schema).groupBy("_file")
+            .agg(F.max(_is_bad(schema)).alias("_bad")))
+    j = files.join(seen, "_file", "left")
+    invalid = F.coalesce("_bad", F.lit(False))
+    return j.select("_file", invalid.alias("invalid"), (F.col("_bad").isNull() & ~invalid).alias("empty"))
 
 
 def normalise_articles(df: DataFrame) -> DataFrame:
@@ -99,6 +131,7 @@ def normalise_articles(df: DataFrame) -> DataFrame:
         first_nonempty("content", "body").alias("content"),
         first_nonempty("created_at", "time", "date").alias("raw_time"),
         "id", "_file", "_pos", flatten_tags(F.col("tags")).alias("tags"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("category", "author", "provider", "url")],
     )
 
 
@@ -136,8 +169,8 @@ def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
-def describe(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Column names and types (first ``limit`` columns)."""
+def describe(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Column names and types (of the first ``limit`` columns, if given)."""
     rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields[:limit]]
     return df.sparkSession.createDataFrame(rows, "column_name string, column_type string")
 

@@ -9,6 +9,10 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
                "benchmark", "labels", "conversations")
 
 
+#: Few enough splits that dealing their rows anew costs less than idle cores.
+SPREAD_MAX_SPLITS = 16
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -22,13 +26,13 @@ def spread(df: DataFrame) -> DataFrame:
     so that work would run in one task.  Large inputs already have more
     splits than cores and are returned unchanged; column pruning and
     filters still reach the scan below the repartition.  Aggregation inputs
-    are not spread: their partial aggregation is cheap per row."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target) if splits < target else df
+    are not spread: their partial aggregation is cheap per row.
+
+    Only an input of at most ``SPREAD_MAX_SPLITS`` splits is dealt anew, so a
+    large table is never shuffled because the cluster has still more cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(target) if splits < min(target, SPREAD_MAX_SPLITS) else df
 
 
 class Tables:

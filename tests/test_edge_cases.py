@@ -178,7 +178,7 @@ def test_reply_json_variants(spark):
     df = spark.createDataFrame([
         ('Sure: {"asset": "A", "sentiment_score": 0.5, "impact_type": "Direct"} thanks',),
         ("no json here",), ('{"asset": "A", "sentiment_score": 0.5',)], "reply string")
-    f = TX.reply_fields(TX.reply_variant("reply"))
+    f = TX.reply_fields(TX.reply_object("reply"))
     out = df.select(f["sentiment_score"].alias("s"), f["asset"].alias("a")).collect()
     assert out[0].s == 0.5 and out[0].a == "A"
     assert out[1].s is None and out[2].s is None
@@ -212,6 +212,84 @@ def test_external_batch_scorer_and_rescore(spark):
     scored = SC.score_articles(df, F.col("text"), SC.pandas_scorer(model), prefix="m")
     got = {r.id: (r.m_label, r.m_sentiment) for r in scored.collect()}
     assert got[2] == ("positive", 0.9) and got[1] == ("neutral", 0.0)
-    res = {r.id: r.score for r in SC.rescore_pending(df, "id", F.col("text"), "score",
+    res = {r.id: r.score for r in SC.rescore_pending(df, F.col("text"), "score",
                                                        SC.pandas_scorer(model)).collect()}
     assert res == {1: 0.0, 2: 0.9, 3: 0.25}              # only pending rows are scored
+
+
+def test_rescoring_null_and_repeated_keys(spark):
+    from sentibar.operators import scoring as SC
+    df = spark.createDataFrame([(None, "good gain", None), (7, "bad loss", None), (7, "good", None), (8, "x", 0.5)],
+                               "id int, text string, score double")
+    out = sorted((r.text, r.score is not None) for r in SC.rescore_pending(df, F.col("text"), "score").collect())
+    assert out == [("bad loss", True), ("good", True), ("good gain", True), ("x", True)]
+
+
+def test_repeated_updates_do_not_multiply_rows(spark):
+    target = spark.createDataFrame([(1, 0.0), (2, 0.0)], "k int, v double")
+    updates = spark.createDataFrame([(1, 5.0, 2), (1, 9.0, 1)], "k int, v double, o int")
+    assert sorted(tuple(r) for r in K.keyed_update(target, updates, "k", ["v"], order="o").collect()) == [(1, 9.0), (2, 0.0)]
+    assert sorted(tuple(r) for r in K.keyed_update(target, updates, "k", ["v"]).collect()) == [(1, 5.0), (2, 0.0)]
+
+
+def test_references_and_spaces(spark):
+    cases = [("&rsquo;&#8217;&#x2019;&ndash;&eacute;", "\u2019\u2019\u2019\u2013\u00e9"), ("&amp;lt; &nope; &copy", "&lt; &nope; \u00a9"),
+             ("a\u2003b\u3000c\u0085d", "a b c d"), ('<a title="x > y">t</a>', "t"), ("<b x='>'>z <i", "z <i"),
+             ("&#0;&#55296;&#x110000;&#150;", "\ufffd\ufffd\ufffd\u2013"), ("", ""), ("AT&T & co", "AT&T & co")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string")
+    assert [r.t for r in df.orderBy("i").select(TX.clean_html("h").alias("t")).collect()] == [w for _, w in cases]
+
+
+def test_reply_strictness(spark):
+    cases = [('{"asset": "A", "asset": "B", "sentiment_score": "0.25"}', ("B", 0.25)), ('{"asset": "A"} {"asset": "B"}', (None, None)),
+             ('{"asset": "A"},{"asset": "B"}', (None, None)), ("{'asset': 'A'}", (None, None)), (None, (None, None)),
+             ('pre {"asset": null, "sentiment_score": 1e-2} post', (None, 0.01))]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, reply string")
+    v = df.withColumn("_v", TX.reply_object("reply")).withColumns(TX.reply_fields("_v"))
+    assert [(r.asset, r.sentiment_score) for r in v.orderBy("i").collect()] == [w for _, w in cases]
+
+
+def test_tolerant_times(spark):
+    import datetime as dt
+    from sentibar.functions.times import parse_time
+    t = dt.datetime
+    cases = [("2024-01-05T10:00:00Z", t(2024, 1, 5, 10)), ("January 5, 2024", t(2024, 1, 5)), ("05 Jan 2024 10:00", t(2024, 1, 5, 10)),
+             ("Fri, 05 Jan 2024 10:00:00 +0200", t(2024, 1, 5, 8)), ("2024/01/05", t(2024, 1, 5)), ("1/5/2024 12:30 AM", t(2024, 1, 5, 0, 30)),
+             ("Jan 5, 2024 at 3:04 pm", t(2024, 1, 5, 15, 4)), ("20240105", t(2024, 1, 5)), ("2024-01-05T10:00:00.123-05:00", t(2024, 1, 5, 15, 0, 0, 123000)),
+             ("2024-13-05", None), ("2024-01-05 25:00", None), ("n/a", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, s string")
+    assert [r.p for r in df.orderBy("i").select(parse_time("s").alias("p")).collect()] == [w for _, w in cases]
+
+
+def test_impact_types_come_from_the_data(spark):
+    import datetime as dt
+    from sentibar.operators import sentiment as SE
+    d = dt.date(2024, 1, 5)
+    rows = [("A", d, "direct", 0.5), ("A", d, "Direct", 0.1), ("A", d, "Macro", -1.0), ("B", d, None, 0.3)]
+    news = spark.createDataFrame(rows, "asset_tag string, trading_session date, gemma_impact_type string, gemma_sentiment_score double")
+    r = SE.impact_pivot(news).collect()
+    assert len(r) == 1 and r[0].direct_mean_score == 0.3 and r[0].macro_mean_score == -1.0
+
+
+def test_missing_close_is_carried_forward(spark):
+    import datetime as dt
+    from sentibar.operators import bars as BA
+    d = [dt.date(2024, 1, i) for i in range(1, 5)]
+    rows = [("A", d[0], 10.0), ("A", d[1], None), ("A", d[2], 20.0), ("B", d[0], 5.0), ("B", d[3], 6.0)]
+    bars = spark.createDataFrame(rows, "asset_tag string, trading_session date, close double")
+    got = {(r.asset_tag, r.trading_session.day): r.rebased for r in BA.rebased_prices(bars).collect()}
+    assert got[("A", 2)] == 100.0 and got[("A", 3)] == 200.0 and got[("A", 4)] == 200.0 and got[("B", 3)] == 100.0
+
+
+def test_ingest_end_to_end(spark):
+    import datetime as dt
+    from sentibar.operators import ingest as IN
+    from sentibar.sources import fixtures as FX
+    rows = [(1, "NVDA", "up", "January 5, 2024 22:00", "s", "<p>a &amp; b</p>", 0), (2, "NVDA", "up", "2024-01-05T22:30:00Z", "x", "late", 1),
+            (3, "EGX", "eg", "2024-01-04 15:00:00", None, None, 2), (4, "NVDA", "", "2024-01-05", "s", "c", 3), (5, "NVDA", "old", "2019-01-05", "s", "c", 4),
+            (6, "XAU", "gold", "05 Jan 2024 22:00", "s", "c", 5), (7, "USO", "bad", "n/a", "s", "c", 6)]
+    raw = spark.createDataFrame(rows, "id long, asset_tag string, headline string, raw_time string, summary string, content string, o int")
+    cal = FX.session_calendar(spark, ranges=(("2023-12-01", "2024-02-29"),))
+    t = dt.datetime
+    got = {r.news_id: (r.time, r.content) for r in IN.ingest_news(raw, cal, "o").collect()}
+    assert got == {1: (t(2024, 1, 8, 9, 30), "a & b"), 3: (t(2024, 1, 7, 10, 0), None), 6: (t(2024, 1, 5, 22, 0), "c")}

@@ -137,9 +137,9 @@ def test_no_article_after_its_session_close(spark):
 
 
 @pytest.mark.parametrize("model,params", [
-    ("garch", {"alpha": 0.1, "beta": 0.8}),
-    ("egarch", {"alpha": 0.2, "gamma": -0.1, "beta": 0.9}),
-    ("tgarch", {"alpha": 0.05, "gamma": 0.1, "beta": 0.85}),
+    ("garch", {"alpha": 0.1, "beta": 0.8, "level": 1.0}),
+    ("egarch", {"alpha": 0.2, "gamma": -0.1, "beta": 0.9, "level": 1.0}),
+    ("tgarch", {"alpha": 0.05, "gamma": 0.1, "beta": 0.85, "level": 1.0}),
 ])
 def test_numpy_and_column_folds_agree(spark, model, params):
     e = _simulate_garch(400, 0.1, 0.1, 0.8, seed=9)
@@ -158,3 +158,67 @@ def test_numpy_and_column_folds_agree(spark, model, params):
         col = VM.tgarch_loglik(y, h0, F.sqrt(h0) * (1 - persist), lit["alpha"], lit["gamma"], lit["beta"])
     got = s.select(col.alias("ll")).collect()[0].ll
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_constant_regressors_keep_every_group(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60)
+    y = 0.5 + 2 * x + rng.normal(scale=0.1, size=60)
+    zero = np.zeros(60)
+    df = (_frame(spark, {"y": y, "x1": x, "x2": zero}, "A")
+          .unionByName(_frame(spark, {"y": y, "x1": zero, "x2": x}, "B"))
+          .unionByName(_frame(spark, {"y": y, "x1": zero, "x2": zero}, "C")))
+    m = {r.asset_tag: r for r in ST.market_model(df, "y", "x1").collect()}
+    assert m["A"].beta == pytest.approx(2, abs=0.1)
+    assert m["B"].beta == 0 and m["B"].alpha == pytest.approx(y.mean())
+    t = {r.asset_tag: r for r in ST.two_factor(df, "y", "x1", "x2").collect()}
+    assert [t[a].k for a in "ABC"] == [2, 2, 1]
+    assert t["A"].beta_market == pytest.approx(t["B"].beta_factor) and t["A"].aic == pytest.approx(t["B"].aic)
+    assert (t["C"].beta_market, t["C"].beta_factor) == (0, 0)
+
+
+def test_fits_leave_the_coarse_grid(spark):
+    rng = np.random.default_rng(6)
+    n = 1500
+    y, e = np.zeros(n), rng.normal(size=n)
+    for t in range(1, n):
+        y[t] = 0.985 * y[t - 1] + e[t] + 0.1 * e[t - 1]
+    r = _simulate_garch(n, 0.2, 0.6, 0.2)
+    df = _frame(spark, {"log_return_1d": y}, "A").unionByName(_frame(spark, {"log_return_1d": r}, "G"))
+    resid = VM.residual_series(df, scale=1.0)
+    true = {"arma": {"phi": [0.985], "theta": [0.1]}, "garch": {"alpha": [0.6], "beta": [0.2]}}
+    for model, asset in (("arma", "A"), ("garch", "G")):
+        fit = {x.asset_tag: x for x in VM.fit_grid(resid, model).collect()}[asset]
+        s = np.array([x.e for x in resid.filter(F.col("asset_tag") == asset).orderBy("trading_session").collect()])
+        point = {k: np.array(v) for k, v in true[model].items()}
+        if model == "garch":
+            point["level"] = np.array([0.2 / (np.var(s, ddof=1) * 0.2)])
+        assert fit.loglik >= VM.np_loglik(model, s, point)[0]
+
+
+def test_exact_attribution_adds_up(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from sentibar.operators import ml as ML
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 3))
+    df = _frame(spark, {"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": x @ [1.0, -2.0, 0.5] + 3})
+    frame = df.withColumn("split", F.when(F.col("trading_session") < D(2000, 2, 1), "train").otherwise("test"))
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(frame)
+    model = LinearRegression(labelCol="y").fit(data)
+    got = ML.shapley_attribution(frame, model, ["a", "b", "c"], "X").collect()
+    mean = x[:31].mean(0)
+    coef = dict(zip("abc", model.coefficients))
+    for r in got:                       # a linear model's values are coefficient x deviation
+        assert r.shap == pytest.approx(coef[r.feature] * (r.value - mean["abc".index(r.feature)]), abs=1e-9)
+
+
+def test_density_of_close_values_is_not_binned(spark):
+    from sentibar.operators import quality as QU
+    v = 0.5 + np.arange(200) * 1e-6
+    df = _frame(spark, {"s": v})
+    got = sorted((r.g, r.x, r.density) for r in QU.kde_curve(df, "asset_tag", ["s"], grid=50).collect())
+    h = v.std(ddof=1) * 200 ** -0.2
+    for _, x, d in got[::7]:
+        assert d == pytest.approx(np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (200 * h * math.sqrt(2 * math.pi)), rel=1e-9)
+    assert got[0][1] == pytest.approx(v[0]) and got[-1][1] == pytest.approx(v[-1])

@@ -23,8 +23,7 @@ def test_stream_drops_redelivered_rows_and_aligns(spark):
     cal = FX.session_calendar(spark, ranges=(("2023-12-01", "2024-02-29"),))
     stream = SA.event_stream(spark, src, schema, max_files=1)          # one file per batch
     out = scratch_path(spark, "stream-out")
-    SA.run_to_table(SA.aligned_stream(stream, cal, "news_id", "time"), out,
-                    scratch_path(spark, "stream-ckpt"))
+    SA.run_to_table(SA.aligned_stream(stream, cal, "time"), out, scratch_path(spark, "stream-ckpt"), "news_id")
     got = {r.news_id: r.trading_session for r in spark.read.parquet(out).collect()}
     batch = CA.align_to_sessions(spark.createDataFrame(first + second[1:], schema), cal)
     want = {r.news_id: r.trading_session for r in batch.collect()}
@@ -44,3 +43,19 @@ def test_daily_counts_stream_matches_batch(spark):
     want = {(r.d, r.event_type): r.n for r in
             df.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_rows_of_late_files_are_kept(spark):
+    src = scratch_path(spark, "late-src")
+    schema = "news_id long, asset_tag string, time timestamp_ntz"
+    days = [20, 3, 25, 1, 14]                    # files arrive out of time order
+    rows = [[(10 * d + i, "A", T(2024, 1, d, 9 + i)) for i in range(3)] for d in days]
+    rows[3].append((None, "A", T(2024, 1, 1, 12)))
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/part={i}")
+    cal = FX.session_calendar(spark, ranges=(("2023-12-01", "2024-02-29"),))
+    out = scratch_path(spark, "late-out")
+    SA.run_to_table(SA.aligned_stream(SA.event_stream(spark, src, schema, max_files=1), cal, "time"), out,
+                    scratch_path(spark, "late-ckpt"), "news_id")
+    got = sorted(r.news_id or 0 for r in spark.read.parquet(out).collect())
+    assert got == sorted(r[0] or 0 for part in rows for r in part)
