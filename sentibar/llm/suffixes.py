@@ -28,9 +28,10 @@ values are one more than the range minimum between the new neighbours.  After
 proves that the string starting ``d`` before the sample repeats.  Tuples that
 can reach ``span`` with no neighbour leave the order.
 
-A name with more than ``HOT`` distinct contexts is not sorted in one task: its
-strings are counted by hash, pre-aggregated in each task, which splits the
-group over the cluster.
+A name with more than ``HOT`` tuples is not sorted in one task.  Such names are
+found by pre-aggregated counts before anything is dealt out (there are at most
+``tuples / HOT``); their tuples are spread over all tasks, and their strings
+are counted by hash, pre-aggregated in each task.
 
 Strings are compared byte by byte inside a name, by 64-bit hashes for names
 and hot names.  Defined cases: null is the empty text; ids may be null or
@@ -55,9 +56,11 @@ from .substring import MAX_WIDTH, MIN_WIDTH, estimated_repeated, repeated_bits
 U = np.uint64
 SPAN, GAP = 400, 300
 CHUNK = 16384            # tuples induced at once
-HOT = 1 << 16            # distinct contexts of a name beyond which it is split
+HOT = 1 << 13            # tuples of a name beyond which it is split
+HOT_NAMES = 1 << 22      # most names sent to the tasks as hot; the limit above doubles until they fit
 
-TUPLE = "name long, id long, th long, pos long, ahead binary, back binary"
+TUPLE = "name long, id long, th long, pos long, ahead binary, back binary, hot boolean"
+FIELDS = ["name", "id", "th", "pos", "ahead", "back", "hot"]
 
 
 def samples(data: np.ndarray, at: np.ndarray, span: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +99,46 @@ def names_of(data: np.ndarray, at: np.ndarray, span: int, gap: int):
 
 
 def chunks_of(data: np.ndarray, at: np.ndarray):
-    """Slices for sampling; positions must fit in 32 bits."""
-    return W.slices(data, at, 4 << 20)
+    """Slices for sampling: whole documents; positions fit in 32 bits."""
+    return W.slices(data, at, W.SLICE_BYTES)
 
 
-def suffix_tuples(src: DataFrame, bits, width: int, span: int, gap: int) -> DataFrame:
+def hot_names(src: DataFrame, bits, width: int, span: int, gap: int, hot: int) -> np.ndarray:
+    """Names of more than ``hot`` samples, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, n = bits.value, [], 0
+
+        def flush():
+            name, count = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(count)], names=["name", "n"])
+
+        for batch in batches:
+            data, at = W.text_buffer(batch.column("text"))
+            for _, _, part, off in chunks_of(data, at):
+                name = names_of(part, off, span, gap)[2]
+                held.append(name[estimated_repeated(name, rows, width)])
+                n += len(held[-1])
+                if n >= 1 << 20:
+                    yield from flush()
+                    held, n = [], 0
+        if held:
+            yield from flush()
+
+    counts = (src.select("text").mapInArrow(run, "name long, n long").groupBy("name")
+              .agg(F.sum("n").alias("n")).where(F.col("n") > hot))
+    counts = saved(counts, "suffix-hot")
+    while counts.where(F.col("n") > hot).count() > HOT_NAMES:
+        hot *= 2
+    return np.sort(np.array([r.name for r in counts.where(F.col("n") > hot).toLocalIterator()], np.int64).view(U))
+
+
+def suffix_tuples(src: DataFrame, bits, hot, width: int, span: int, gap: int) -> DataFrame:
     """``src(id, th, text)`` -> tuples of repeated names, and rows with a null
     name for byte ranges already known to repeat (pos to the end in ``ahead``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = bits.value
+        rows, hot_now = bits.value, hot.value
         for batch in batches:
             data, at = W.text_buffer(batch.column("text"))
             ids, th = batch.column("id"), batch.column("th").to_numpy()
@@ -131,15 +164,15 @@ def suffix_tuples(src: DataFrame, bits, width: int, span: int, gap: int) -> Data
                         pa.array(name[some].view(np.int64)), own.take(pa.array(some)), pa.array(th[lo + doc[some]]),
                         pa.array(pos[some] - off[doc[some]]),
                         pa.array([raw[a:b] for a, b in zip(pos[some].tolist(), right[some].tolist())], pa.binary()),
-                        pa.array([raw[a:b][::-1] for a, b in zip(left[some].tolist(), pos[some].tolist())], pa.binary())],
-                        names=["name", "id", "th", "pos", "ahead", "back"])
+                        pa.array([raw[a:b][::-1] for a, b in zip(left[some].tolist(), pos[some].tolist())], pa.binary()),
+                        pa.array(np.isin(name[some], hot_now))], names=FIELDS)
                 if len(known):
                     ends = (right[known] - off[doc[known]]).astype("<i8")
                     yield pa.record_batch([
                         pa.nulls(len(known), pa.int64()), own.take(pa.array(known)), pa.array(th[lo + doc[known]]),
                         pa.array(left[known] - off[doc[known]]),
-                        pa.array([e.tobytes() for e in ends], pa.binary()), pa.nulls(len(known), pa.binary())],
-                        names=["name", "id", "th", "pos", "ahead", "back"])
+                        pa.array([e.tobytes() for e in ends], pa.binary()), pa.nulls(len(known), pa.binary()),
+                        pa.array(np.zeros(len(known), bool))], names=FIELDS)
 
     return src.mapInArrow(run, TUPLE)
 
@@ -242,6 +275,10 @@ def induced_places(tuples: DataFrame, span: int, gap: int, chunk: int, hot: int)
                 yield places(done.column("id"), done.column("th").to_numpy(), done.column("pos").to_numpy(),
                              np.frombuffer(b"".join(done.column("ahead").to_pylist()), "<i8"))
                 batch = batch.filter(pc.invert(known))
+            is_hot = batch.column("hot")
+            if is_hot.true_count:
+                yield from spill(pa.Table.from_batches([batch.filter(is_hot)]))
+                batch = batch.filter(pc.invert(is_hot))
             if flood is not None and len(batch):
                 more = pc.equal(batch.column("name"), flood)
                 yield from spill(pa.Table.from_batches([batch.filter(more)]))
@@ -268,15 +305,32 @@ def induced_places(tuples: DataFrame, span: int, gap: int, chunk: int, hot: int)
             yield from work(pa.Table.from_batches(held))
 
     n = parts_for(tuples)
-    spread = F.coalesce("name", F.xxhash64("id", "th", "pos"))
+    spread = F.when(F.col("name").isNull() | F.col("hot"), F.xxhash64("id", "th", "pos")).otherwise(F.col("name"))
     return (tuples.repartition(n, spread).sortWithinPartitions("name", "ahead")
             .mapInArrow(run, "name long, id long, th long, lo long, hi long, ahead binary, back binary"))
 
 
+def own_starts(text: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per context (sample at column ``gap - 1``): least and most ``d`` for which
+    the sample is the one of the string that starts ``d`` before it.  So a string
+    is counted at one sample only, however many it holds."""
+    n = text.shape[0]
+    gram = np.zeros((n, 2 * gap - 1), U)
+    for o in range(8):
+        gram |= text[:, o:o + 2 * gap - 1].astype(U) << U(8 * o)
+    rank = W.mix(gram.ravel()).reshape(gram.shape) >> U(32)
+    own = rank[:, gap - 1:gap]
+    left, right = rank[:, gap - 2::-1] > own if gap > 1 else np.zeros((n, 0), bool), rank[:, gap:] >= own
+    # how far each side stays above the sample; a tie goes to the first place
+    stop = np.ones((n, 1), bool)
+    most = np.argmax(np.concatenate((~left, stop), axis=1), axis=1)
+    return gap - 1 - np.argmax(np.concatenate((~right, stop), axis=1), axis=1), most
+
+
 def hot_places(hot: DataFrame, span: int, gap: int) -> DataFrame:
     """Covered byte ranges of hot names: every string of their tuples is counted
-    by hash.  A task settles what repeats among its own tuples and sends one
-    claim a string; a claim that meets another is repeated."""
+    by hash, at its own sample.  A task settles what repeats among its own tuples
+    and sends one claim a string; a claim that meets another is repeated."""
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,10 +338,11 @@ def hot_places(hot: DataFrame, span: int, gap: int) -> DataFrame:
                 b = batch.slice(lo, 4096)
                 back, before = matrix(b.column("back"), gap - 1)
                 ahead, room = matrix(b.column("ahead"), span)
-                text = np.concatenate((back[:, ::-1], ahead), axis=1).ravel()
                 width = gap - 1 + span
+                text = np.concatenate((back[:, ::-1], ahead), axis=1).ravel()
                 d = np.arange(gap)
-                ok = (d <= before[:, None]) & (span - d <= room[:, None])
+                low, high = own_starts(text.reshape(-1, width), gap)
+                ok = (d <= before[:, None]) & (span - d <= room[:, None]) & (d >= low[:, None]) & (d <= high[:, None])
                 row, d = np.nonzero(ok)
                 start = row * width + gap - 1 - d
                 h = W.span_hash(text, start, start + span)
@@ -330,8 +385,11 @@ def repeated_places(src: DataFrame, span: int = SPAN, gap: int = GAP, chunk: int
         return np.concatenate([names_of(p, o, span, gap)[2] for _, _, p, o in chunks_of(data, at)] or
                               [np.zeros(0, U)])
 
-    bits = src.sparkSession.sparkContext.broadcast(repeated_bits(src, names, width))
-    out = saved(induced_places(suffix_tuples(src, bits, width, span, gap), span, gap, chunk, hot), "suffix-places")
+    sc = src.sparkSession.sparkContext
+    bits = sc.broadcast(repeated_bits(src, names, width))
+    large = sc.broadcast(hot_names(src, bits, width, span, gap, hot))
+    tuples = suffix_tuples(src, bits, large, width, span, gap)
+    out = saved(induced_places(tuples, span, gap, chunk, 8 * hot), "suffix-places")
     places = out.where("name IS NULL").select("id", "th", "lo", "hi")
     large = out.where("name IS NOT NULL")
     return places if large.isEmpty() else places.unionByName(hot_places(large, span, gap))

@@ -53,6 +53,7 @@ def test_against_brute_force(spark):
 def test_small_chunks_and_hot_names(spark):
     check(spark, texts(), chunk=2)
     check(spark, texts(), chunk=2, hot=3)
+    check(spark, texts(), chunk=2, hot=0)
 
 
 def test_short_spans(spark):
@@ -79,3 +80,8 @@ def test_registered_query(spark):
 
 def test_empty_table(spark):
     assert S.op1_frame(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_a_name_not_foreseen_as_hot_is_still_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "hot_names", lambda *a: np.zeros(0, np.uint64))
+    check(spark, texts(), chunk=1, hot=0)
