@@ -157,12 +157,11 @@ def _ll_sql(ssr: str) -> str:
 
 def capm_input(t):
     f = features(t).filter(F.col("log_return_1d").isNotNull())
-    pr = proxy_returns(t)
-    m = pr.filter(F.col("symbol") == "O").select(F.col("date").alias("trading_session"),
-                                                 F.col("rm").alias("x1"))
-    fa = pr.filter(F.col("symbol") == "F").select(F.col("date").alias("trading_session"),
-                                                  F.col("rm").alias("_xf"))
-    j = f.join(m, "trading_session").join(fa, "trading_session", "left")
+    # Market and factor from one conditional aggregate per date: the proxies are built once.
+    both = proxy_returns(t).groupBy(F.col("date").alias("trading_session")).agg(
+        F.max(F.when(F.col("symbol") == "O", F.col("rm"))).alias("x1"),
+        F.max(F.when(F.col("symbol") == "F", F.col("rm"))).alias("_xf"))
+    j = f.join(both.filter(F.col("x1").isNotNull()), "trading_session")
     copies = [a for a, sym in FACTOR_OF.items() if sym == "O"]      # factor = market copy
     x2 = F.when(F.col("asset_tag").isin(copies), F.col("x1")).otherwise(F.col("_xf"))
     return j.select("asset_tag", "trading_session", F.col("log_return_1d").alias("y"), "x1",
