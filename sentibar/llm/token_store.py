@@ -47,6 +47,7 @@ END_ID = 0
 SEGMENT = 8 << 20
 BLOCK = 4096
 TABLE_CHUNKS = 200_000
+START_BYTES, BROADCAST_BYTES = 64, 64 << 20     # a segment's start in a broadcast table, and its bound
 
 # ---------------------------------------------------------------- text to ids
 
@@ -236,11 +237,10 @@ def split_first(m: Lanes, first: np.ndarray, second: np.ndarray):
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Blocks of ids below 2**16: length, words, crc32 (unsigned 32 bit each),
     then the 16-bit words of the code."""
-    ids = np.asarray(ids, np.int64)
     n = -(-len(ids) // block)
     if not n:
         return b""
-    grid = np.zeros((n, block), np.int64)
+    grid = np.zeros((n, block), "<u2")
     grid.ravel()[:len(ids)] = ids
     size = np.full(n, block)
     size[-1] = len(ids) - (n - 1) * block
@@ -258,7 +258,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
     two = one = np.zeros(n, np.int64)
     for t in range(int(size[0])):
         k = n if t < size[-1] else n - 1
-        x = steps[t, :k]
+        x = steps[t, :k].astype(np.int64)
         m.sums(k)
         m.predict(k, slot2(two[:k], one[:k]), slot1(one[:k]))
         first = m.c2 == x
@@ -278,10 +278,9 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
     for _ in range(4):                     # the whole low end
         shift(m.lane)
         ends.low = (ends.low << 16) & MASK
-    raw = grid.astype("<u2")
     parts = []
     for i in range(n):
-        head = np.array([size[i], used[i], zlib.crc32(raw[i, :size[i]].tobytes())], "<u4")
+        head = np.array([size[i], used[i], zlib.crc32(grid[i, :size[i]].tobytes())], "<u4")
         parts += [head.tobytes(), out[i, :used[i]].astype("<u2").tobytes()]
     return b"".join(parts)
 
@@ -308,7 +307,7 @@ def decode_blocks(raw: bytes) -> np.ndarray:
     for j in range(3):
         code = (code << 16) | words[:, j]
     code = (code << (16 - spare)) | (words[:, 3] >> spare)
-    out = np.zeros((int(size[0]), n), np.int64)
+    out = np.zeros((int(size[0]), n), "<u2")
 
     def shift(at: np.ndarray) -> None:
         both = (words[at, used[at] - 1].astype(np.int64) << 16) | words[at, used[at]]
@@ -345,7 +344,7 @@ def decode_blocks(raw: bytes) -> np.ndarray:
         m.count[m.lane[:k], x >> GROUP] += GAIN
         m.update(k, x)
         two, one = one, x
-    ids = np.concatenate([out[:size[i], i] for i in range(n)]).astype("<u2")
+    ids = np.concatenate([out[:size[i], i] for i in range(n)])
     last = np.cumsum(size)
     for i in range(n):
         if zlib.crc32(ids[last[i] - size[i]:last[i]].tobytes()) != heads[i][2]:
@@ -431,7 +430,10 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         names=["part", "seq", "id", "offset", "ids"])
 
     docs = files.mapInArrow(run, "part int, seq int, id long, offset long, ids binary")
-    return (docs.join(segment_starts(files), ["part", "seq"])
+    starts = segment_starts(files)
+    if files.count() * START_BYTES <= BROADCAST_BYTES:     # else the ids are shuffled to their segment's start
+        starts = F.broadcast(starts)
+    return (docs.join(starts, ["part", "seq"])
             .select("id", (F.col("offset") + F.col("before")).alias("start"), "ids"))
 
 
