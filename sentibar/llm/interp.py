@@ -37,7 +37,7 @@ from .common import parts_for, pick, quoted, read, saved
 from .langid import fold
 
 U = np.uint64
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 END = U(0xE17A1465B9C4D3F1)       # the end token, and the context before a text
 BUCKETS = 64
 GRID = 8                          # steps per factor of two in the EM histogram
@@ -111,9 +111,12 @@ class Keys:
         raw = pa.decompress(row["texts"], decompressed_size=int(self.sizes.sum()), codec="zstd", asbytes=True) \
             if self.sizes.sum() else b""
         word, pair, before, self.first = tokens(self.sizes, raw)
-        self.uni, self.of_word = np.unique(word, return_inverse=True)
-        self.bi, self.of_pair = np.unique(pair, return_inverse=True)
-        self.of_context = np.searchsorted(self.uni, before)   # END is always there
+        self.uni, at = np.unique(word, return_inverse=True)
+        self.of_word = at.astype(np.int32)
+        self.of_context = np.searchsorted(self.uni, before).astype(np.int32)   # END is always there
+        del word, before, at
+        self.bi, at = np.unique(pair, return_inverse=True)
+        self.of_pair = at.astype(np.int32)
         self.token_learns = np.repeat(self.learn, np.diff(self.first))
 
     def own_counts(self) -> list[np.ndarray]:
@@ -121,6 +124,12 @@ class Keys:
                 for keys, at in ((self.uni, self.of_word), (self.bi, self.of_pair))]
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: a row may hold megabytes."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def pack_counts(n: np.ndarray) -> bytes:
     """Counts below 255 in a byte each, the others after them."""
     big = n >= 255
@@ -161,7 +170,7 @@ def corpus_counts(batches: DataFrame) -> DataFrame:
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 k = Keys(row)
                 for order, keys, own in zip((1, 2), (k.uni, k.bi), k.own_counts()):
                     cut = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits))
@@ -198,7 +207,7 @@ def corpus_counts(batches: DataFrame) -> DataFrame:
                                    pa.array(out, pa.binary())], names=["batch", "ngram", "shard", "n", "counts"])
 
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if (row["shard"], row["ngram"]) != now:
                     if group:
                         yield from reply()
@@ -255,7 +264,7 @@ def deleted_histogram(joined: DataFrame, n: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 k, c12, c1, c2 = token_counts(row)
                 on = k.token_learns
                 if not on.any():
@@ -305,7 +314,7 @@ def scores(joined: DataFrame, weights: np.ndarray, n: int, vocab: int) -> DataFr
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 k, c12, c1, c2 = token_counts(row)
                 w = weights[bucket_of(c1)]
                 p = w[:, 0] * (c12 / np.maximum(c1, 1)) + w[:, 1] * (c2 / max(1, n)) + w[:, 2] / (vocab + 1)
@@ -325,7 +334,7 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     src = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"), learn.alias("learn"))
     batches = saved(packed(src), "lm-batches")
     counts = saved(corpus_counts(batches), "lm-counts")
-    sums = [np.frombuffer(r.counts, "<i8") for r in counts.where("batch < 0").select("counts").toLocalIterator()]
+    sums = [np.frombuffer(r.counts, "<i8") for r in counts.where("batch < 0").select("counts").collect()]  # one a shard
     n, vocab = (int(sum(s[i] for s in sums)) for i in (0, 1))
     joined = saved(with_counts(batches, counts), "lm-joined")
     cells = deleted_histogram(joined, n).toArrow()
