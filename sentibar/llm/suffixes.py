@@ -130,7 +130,8 @@ def hot_names(src: DataFrame, bits, width: int, span: int, gap: int, hot: int) -
     counts = saved(counts, "suffix-hot")
     while counts.where(F.col("n") > hot).count() > HOT_NAMES:
         hot *= 2
-    return np.sort(np.array([r.name for r in counts.where(F.col("n") > hot).toLocalIterator()], np.int64).view(U))
+    names = counts.where(F.col("n") > hot).select("name").toArrow().column("name").to_numpy()
+    return np.sort(names.astype(np.int64).view(U))
 
 
 def suffix_tuples(src: DataFrame, bits, hot, width: int, span: int, gap: int) -> DataFrame:
