@@ -30,9 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
 from .common import own_name, parts_for, pick, quoted, read, saved
@@ -132,7 +134,7 @@ def repeated_bits(src: DataFrame, hashes, width: int) -> list[np.ndarray]:
     """The merged sketch as one bit array a row: ``2**width / 8`` bytes each."""
     size = 1 << max(0, CHUNK_BITS - 3)
     out = [np.zeros(max(1 << width, 1 << CHUNK_BITS) >> 3, np.uint8) for _ in ROW_FACTORS]
-    for r in sketch(src, hashes, width).toLocalIterator(prefetchPartitions=True):
+    for r in sketch(src, hashes, width).collect():      # at most as many bytes as the arrays
         out[r.row][r.chunk * size:(r.chunk + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -147,17 +149,17 @@ def estimated_repeated(h: np.ndarray, rows: list[np.ndarray], width: int) -> np.
 
 
 def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
-    """``(id, seen)``: packed hashes of the windows of a document that also
-    start in a document with a smaller id; one row a document."""
+    """``(bucket, ids, seen)``: packed pairs of a document and the hash of one of
+    its windows that also starts in a document with a smaller id; several rows a
+    bucket of documents (the id modulo ``buckets_for``)."""
     bits = src.sparkSession.sparkContext.broadcast(
         repeated_bits(src, lambda data, at: windows(data, at, k)[0], width))
 
-    parts = parts_for(src)
-    buckets = 4 * parts
+    parts, buckets = parts_for(src), buckets_for(src)
 
     def pack(ids: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         """Covered windows as one row per bucket of documents."""
-        bucket_of = (W.mix(ids.view(U) + U(1)) % U(buckets)).astype(np.int64)
+        bucket_of = np.mod(ids, buckets)
         order = np.lexsort((ids, bucket_of))
         ids, h, bucket_of = ids[order], h[order], bucket_of[order]
         cut = np.flatnonzero(np.concatenate(([True], bucket_of[1:] != bucket_of[:-1])))
@@ -235,35 +237,19 @@ def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket: one row per document."""
-        now, held = None, []
+    claims = src.where("id IS NOT NULL").mapInArrow(claim, "h long, id long, ids binary, seen binary")
+    return (claims.repartition(parts, "h").sortWithinPartitions("h", "id")
+            .mapInArrow(settle, "id long, ids binary, seen binary")
+            .select(F.col("id").alias("bucket"), "ids", "seen"))
 
-        def done():
-            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in held])
-            h = np.concatenate([np.frombuffer(r["seen"], U) for r in held])
-            order = np.argsort(ids, kind="stable")
-            ids, h = ids[order], h[order]
-            cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            spans = zip(cut, np.append(cut[1:], len(ids)))
-            yield pa.record_batch([pa.array(ids[cut]), pa.array([h[x:y].tobytes() for x, y in spans], pa.binary())],
-                                  names=["id", "seen"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["id"] != now:
-                    if held:
-                        yield from done()
-                    now, held = row["id"], []
-                held.append(row)
-        if held:
-            yield from done()
-
-    claims = src.where("id IS NOT NULL").mapInArrow(claim, "h long, id long, ids binary, seen binary")
-    settled = (claims.repartition(parts, "h").sortWithinPartitions("h", "id")
-               .mapInArrow(settle, "id long, ids binary, seen binary"))
-    return (settled.repartition(parts, "id").sortWithinPartitions("id")
-            .mapInArrow(gather, "id long, seen binary"))
+def buckets_for(df: DataFrame) -> int:
+    """A prime of about four times the partitions: buckets are small, and ids in
+    steps spread over all of them."""
+    n = 4 * parts_for(df) + 1
+    while any(n % d == 0 for d in range(2, int(n ** 0.5) + 1)):
+        n += 2
+    return n
 
 
 def width_for(docs: DataFrame, text: str = "text") -> int:
@@ -279,56 +265,71 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_words`` and ``n_removed``."""
     src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     seen = covered_windows(src, k, width_for(src))
-    name, key = own_name(docs, "seen"), own_name(docs, "seen_id")
-    per = seen.select(F.col("id").alias(key), F.col("seen").alias(name))
-    joined = docs.join(per, quoted(id_col).cast("long") == F.col(key), "left").drop(key)
-    at_text, at_seen = joined.columns.index(text_col), len(joined.columns) - 1
+    key, n = own_name(docs, "bucket"), buckets_for(src)
+    at = quoted(id_col).cast("long")
+    # rows without an id have nothing to lose: they are spread by their text
+    dealt = docs.withColumn(key, F.when(at.isNull(), F.pmod(F.xxhash64(quoted(text_col)), F.lit(n)))
+                            .otherwise(F.pmod(at, F.lit(n))))
+    at_id, at_text, width = docs.columns.index(id_col), docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType(list(docs.schema.fields))
     if counts:
         schema = schema.add("n_words", "long").add("n_removed", "long")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(at_text)
-            lists = batch.column(at_seen)
-            data, at = W.text_buffer(text)
-            for lo, hi, part, off in W.slices(data, at):
-                new = text.slice(lo, hi - lo)
-                some = lists.slice(lo, hi - lo)
-                removed = np.zeros(hi - lo, np.int64)
-                if counts or some.null_count < hi - lo:
-                    if some.null_count < hi - lo:
-                        h, doc, pos, (start, _, first) = windows(part, off, k)
-                        hit = np.zeros(len(h), bool)
-                        bound = np.searchsorted(doc, np.arange(hi - lo + 1))
-                        touched = np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False))
-                        for i in touched:
-                            mine = np.frombuffer(some[i].as_py(), U)
-                            hit[bound[i]:bound[i + 1]] = np.isin(h[bound[i]:bound[i + 1]], mine)
-                        gone = W.cover(pos[hit], k, len(start))
-                        removed = W.per_doc(gone, first)
-                        word_doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                        to = np.append(start[1:], len(part))
-                        to = np.minimum(to, off[1:][word_doc]) if len(start) else to[:0]
-                        change = np.zeros(len(part) + 1, np.int32)
-                        np.add.at(change, start[gone], 1)
-                        np.subtract.at(change, to[gone], 1)
-                        stay = np.cumsum(change[:-1]) == 0
-                        size = W.per_doc(stay, off)
-                        end = np.concatenate(([0], np.cumsum(size)))
-                        raw = part[stay].tobytes()
-                        texts = [raw[x:y].decode() if r else None for x, y, r in zip(end[:-1], end[1:], removed > 0)]
-                        new = pa.array([t if t is not None else o for t, o in zip(texts, new.to_pylist())], new.type)
-                        n_words = np.diff(first)
-                    else:
-                        n_words = np.diff(W.words(part, off)[2])
-                cols = [batch.column(j).slice(lo, hi - lo) for j in range(at_seen)]
-                cols[at_text] = new
+    def cut(rows: pa.Table, covered: pa.Table) -> pa.Table:
+        """One bucket: its documents, and their covered windows."""
+        none = np.zeros(0, np.int64)
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in covered.column("ids").to_pylist()] or [none])
+        h = np.concatenate([np.frombuffer(x, U) for x in covered.column("seen").to_pylist()] or [none.view(U)])
+        order = np.argsort(ids, kind="stable")
+        ids, h = ids[order], h[order]
+        out = []
+        for batch in rows.combine_chunks().to_batches():
+            data, off = W.text_buffer(batch.column(at_text))
+            number = pc.cast(batch.column(at_id), pa.int64())
+            valid = number.is_valid().to_numpy(zero_copy_only=False)
+            number = number.fill_null(0).to_numpy()
+            first, last = np.searchsorted(ids, number), np.searchsorted(ids, number, side="right")
+            first[~valid] = last[~valid]
+            for lo, hi, part, at in W.slices(data, off):
+                old = batch.column(at_text).slice(lo, hi - lo)
+                text, n_words, removed = _cut_slice(part, at, old, k, h, first[lo:hi], last[lo:hi])
+                cols = [batch.column(j).slice(lo, hi - lo) for j in range(width)]
+                cols[at_text] = text
                 if counts:
-                    cols += [pa.array(n_words.astype(np.int64)), pa.array(removed)]
-                yield pa.record_batch(cols, names=schema.names)
-
-    return joined.mapInArrow(cut, schema)
+                    cols += [pa.array(n_words), pa.array(removed)]
+                out.append(pa.record_batch(cols, names=schema.names))
+        return pa.Table.from_batches(out) if out else to_arrow_schema(schema).empty_table()
+
+    return dealt.groupBy(key).cogroup(seen.groupBy("bucket")).applyInArrow(cut, schema)
+
+
+def _cut_slice(part: np.ndarray, at: np.ndarray, old: pa.Array, k: int, h: np.ndarray, first: np.ndarray,
+               last: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts without their covered words (``h[first:last]`` per document), words
+    and removed words."""
+    touched = np.flatnonzero(last > first)
+    if not len(touched):
+        n_words = np.diff(W.words(part, at)[2]).astype(np.int64)
+        return old, n_words, np.zeros(len(at) - 1, np.int64)
+    g, doc, pos, (start, _, begin) = windows(part, at, k)
+    hit = np.zeros(len(g), bool)
+    bound = np.searchsorted(doc, np.arange(len(at)))
+    for i in touched:
+        hit[bound[i]:bound[i + 1]] = np.isin(g[bound[i]:bound[i + 1]], h[first[i]:last[i]])
+    gone = W.cover(pos[hit], k, len(start))
+    removed = W.per_doc(gone, begin)
+    # a word goes with the bytes up to the next word or the text's end
+    word_doc = np.repeat(np.arange(len(at) - 1), np.diff(begin))
+    to = np.minimum(np.append(start[1:], len(part)), at[1:][word_doc])
+    change = np.zeros(len(part) + 1, np.int32)
+    np.add.at(change, start[gone], 1)
+    np.subtract.at(change, to[gone], 1)
+    stay = np.cumsum(change[:-1]) == 0
+    end = np.concatenate(([0], np.cumsum(W.per_doc(stay, at))))
+    raw = part[stay].tobytes()
+    texts = [raw[x:y].decode() if r else o
+             for x, y, r, o in zip(end[:-1], end[1:], removed, old.to_pylist())]
+    return pa.array(texts, old.type), np.diff(begin).astype(np.int64), removed
 
 
 def op7_frame(docs: DataFrame) -> DataFrame:
