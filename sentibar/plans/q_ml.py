@@ -152,7 +152,7 @@ def q_attribution(t):
 @register("dependence", ops="H12")
 def q_dependence(t):
     """One feature against its attribution (the dependence plot's points)."""
-    return attribution_rows(t).filter(F.col("feature") == "gemma_mean").select(
+    return attribution_rows(t).filter(F.col("feature") == "gemma_dispersion").select(
         "asset_tag", "trading_session", "value", "shap")
 
 

@@ -222,3 +222,16 @@ def test_density_of_close_values_is_not_binned(spark):
     for _, x, d in got[::7]:
         assert d == pytest.approx(np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (200 * h * math.sqrt(2 * math.pi)), rel=1e-9)
     assert got[0][1] == pytest.approx(v[0]) and got[-1][1] == pytest.approx(v[-1])
+
+
+def test_dependence_has_one_row_per_hold_out_row(spark):
+    from sentibar.plans import load_all
+    from sentibar.session import prepare_session
+
+    prepare_session(spark)
+    rows = load_all()["attribution_rows"].run(spark, "/root/testdata/sf0.001")
+    key = ["asset_tag", "trading_session"]
+    got = load_all()["dependence"].run(spark, "/root/testdata/sf0.001").collect()
+    want = rows.filter("feature = 'gemma_dispersion'").collect()
+    assert len(got) == rows.select(*key).distinct().count() > 0
+    assert sorted(map(tuple, got)) == sorted((r.asset_tag, r.trading_session, r.value, r.shap) for r in want)
