@@ -13,8 +13,14 @@ above the threshold contributes the largest-sum subtree below it, and the
 search goes on in what that subtree leaves.
 
 Elements that hold no article text by their kind (menus, page headers,
-footers, sidebars, forms, scripts, styles) or by a word of their class, id or
-role (adverts, notices, comments, ...) are left out of the tree first.
+footers, sidebars, scripts, styles) are left out of the tree first.  Forms, and
+elements with a noise word in their class, id or role (adverts, notices,
+comments, ...), are only marked: a compound that tells of a state (has-sidebar,
+no-sidebar, comment-enabled) is no mark, and a marked element stays, for the
+density to judge, if an article or main element in it is at least as long as
+the longest one outside all marks, or if it holds most of the text outside
+links.  The second holds neither beside an article or main element with text
+of its own, nor for comments on a page with other text.
 
 Defined cases: a null or empty page, or one without text, gives an empty
 text; truncated pages give the text up to the cut; repeated rows give repeated
@@ -48,7 +54,7 @@ RAW = frozenset("script style textarea title noscript iframe template svg math x
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
     "small span strike strong sub sup time tt u var wbr".split())
-NO_TEXT = frozenset("nav footer aside form menu dialog button head".split())
+NO_TEXT = frozenset("nav footer aside menu dialog button head".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
@@ -63,19 +69,36 @@ NOISE_WORDS = frozenset(
     "popup modal overlay login signup search pagination pager toolbar widget contentinfo".split())
 
 
+#: In a compound, these tell of the page's state and not of what the element holds.
+STATE_WORDS = frozenset("has have no not non with without enabled disabled open closed".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+
+
 def is_noise(name: str, tag: str, in_article: bool) -> bool:
-    if name in NO_TEXT or (name == "header" and not in_article) or HIDDEN.search(tag):
-        return True
-    if "=" not in tag or name in ("body", "html", "article", "main"):
-        return name == "article" and "comment" in tag.lower() and "comment" in marks(tag)
-    found = marks(tag)
-    return not NOISE_WORDS.isdisjoint(found) or ("header" in found and not in_article)
+    """Whether an element holds no article text by its kind."""
+    return name in NO_TEXT or (name == "header" and not in_article) or bool(HIDDEN.search(tag))
+
+
+def noise_marks(name: str, tag: str, in_article: bool) -> set[str]:
+    """The words by which an element may be noise; empty if there is none."""
+    found = marks(tag) if "=" in tag and name not in ("body", "html", "main") else set()
+    if name == "article":
+        return found & {"comment"}
+    noise = found & NOISE_WORDS
+    if "header" in found and not in_article:
+        noise.add("header")
+    if name == "form":
+        noise.add("form")
+    return noise
 
 
 def marks(tag: str) -> set[str]:
     words: set[str] = set()
     for m in MARKS.finditer(tag):
-        words.update(MARK_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            found = MARK_WORD.findall(token)
+            if STATE_WORDS.isdisjoint(found):
+                words.update(found)
     return words
 
 
@@ -85,14 +108,18 @@ class Tree:
     def __init__(self, page: str):
         self.parent, self.links, self.last = [-1], [0], [0]
         self.pieces: list[tuple[int, str, bool]] = []   # node, raw text, in a link
+        self.marked: dict[int, set[str]] = {}           # node, its noise words
+        self.articles: set[int] = set()                 # article and main elements without marks
         self._read(page)
+        if self.marked:
+            self._drop(self._noise())
 
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements: name, node
         skip: list[str] = []                          # open elements inside a left-out one
         link, articles = 0, 0
         tag_at, pos, n = STRICT_TAG, 0, len(page)
-        parent, links, pieces = self.parent, self.links, self.pieces
+        parent, links, pieces, marked = self.parent, self.links, self.pieces, self.marked
 
         def close(depth: int) -> None:
             nonlocal link, articles
@@ -163,8 +190,8 @@ class Tree:
                     pos = n if gt < 0 else gt + 1
                 continue
             if skip:
-                if name in ("article", "main") and skip[0] in ("nav", "header", "footer", "aside", "form", "head") \
-                        and "comment" not in tag:
+                if name in ("article", "main") and skip[0] in ("nav", "header", "footer", "aside", "head") \
+                        and "comment" not in marks(tag):
                     skip.clear()            # an element left open before the article
                 elif name == "body" and skip[0] == "head":
                     skip.clear()
@@ -181,30 +208,79 @@ class Tree:
                 continue
             if name in CLOSES_P:
                 depth = next((i for i in range(len(stack) - 1, 0, -1)
-                              if stack[i][0] == "p" or stack[i][0] in HOLDERS), 0)
+                              if stack[i][0] == "p" or stack[i][0] in HOLDERS or stack[i][1] in marked), 0)
                 if depth and stack[depth][0] == "p":
                     close(depth)
             if name in SIBLINGS:
                 depth = next((i for i in range(len(stack) - 1, 0, -1)
-                              if stack[i][0] in SIBLINGS[name] or stack[i][0] in HOLDERS), 0)
+                              if stack[i][0] in SIBLINGS[name] or stack[i][0] in HOLDERS
+                              or stack[i][1] in marked), 0)
                 if depth and stack[depth][0] in SIBLINGS[name]:
                     close(depth)
             if is_noise(name, tag, articles > 0):
                 if not tag.endswith("/>"):
                     skip.append(name)
                 continue
-            node = stack[-1][1]
-            if name in INLINE:
-                if name == "a":
-                    link += 1
-                    links[node] += 1
-            else:
+            node, noise = stack[-1][1], noise_marks(name, tag, articles > 0)
+            if noise and tag.endswith("/>"):
+                continue
+            if noise or name not in INLINE:
                 parent.append(node)
                 links.append(0)
                 node = len(parent) - 1
                 articles += name in ("article", "main")
+                if noise:
+                    marked[node] = noise
+                elif name in ("article", "main"):
+                    self.articles.add(node)
+            if name == "a":
+                link += 1
+                links[node] += 1
             stack.append((name, node))
 
+    def _noise(self) -> set[int]:
+        """The marked nodes that do not hold the article."""
+        parent, n = self.parent, len(self.parent)
+        whole, free, inner = [0] * n, [0] * n, [0] * n  # text outside links; also outside marks; longest article
+        under, inside = [False] * n, [False] * n        # in a marked node; in an article or main element outside marks
+        for i in range(1, n):
+            under[i] = under[parent[i]] or i in self.marked
+            inside[i] = inside[parent[i]] or (i in self.articles and not under[i])
+        for node, text, in_link in self.pieces:
+            if not in_link:
+                size = len(" ".join(text.split()))
+                whole[node] += size
+                free[node] += 0 if under[node] else size
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            if i in self.articles:
+                inner[i] = max(inner[i], whole[i])
+            whole[p] += whole[i]
+            free[p] += free[i]
+            inner[p] = max(inner[p], inner[i])
+        rival = max((free[i] for i in self.articles if not under[i]), default=0)
+        noise = set()
+        for i, words in self.marked.items():
+            most = 2 * whole[i] > whole[0] and (inside[i] or not rival) and not (
+                free[0] and not COMMENT_WORDS.isdisjoint(words))
+            if not (most or inner[i] and inner[i] >= rival):
+                noise.add(i)
+        return noise
+
+    def _drop(self, noise: set[int]) -> None:
+        """Take the nodes and all below them out of the tree."""
+        number, parent, links = [0], [-1], [self.links[0]]  # new number of each node, -1 if it goes
+        for i in range(1, len(self.parent)):
+            up = number[self.parent[i]]
+            if up < 0 or i in noise:
+                number.append(-1)
+                continue
+            number.append(len(parent))
+            parent.append(up)
+            links.append(self.links[i])
+        self.parent, self.links = parent, links
+        self.pieces = [(number[i], text, in_link) for i, text, in_link in self.pieces if number[i] >= 0]
+
     def blocks(self) -> list[tuple[int, str, int]]:
         """(node, text, link characters) of each run of text between block borders."""
         out, node, raw, linked = [], None, [], 0

@@ -63,3 +63,26 @@ def test_odd_rows(spark):
     got = sorted((r.id or 0, r.url or "", r.text) for r in H.extract(df).collect())
     assert got == [(0, "u", "x"), (1, "", ""), (1, "u", "x")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Link number {i}</a></li>" for i in range(9)) + "</ul>"
+WRAPPED = [
+    (f'<div class="content has-sidebar"><p>{LONG}</p></div>', ARTICLE),
+    (f'<div id="page" class="no-sidebar"><p>{LONG}</p></div>', ARTICLE),
+    (f'<section class="post comment-enabled"><p>{LONG}</p></section>', ARTICLE),
+    (f'<article class="post comment-enabled"><p>{LONG}</p></article>', ARTICLE),
+    (f"<form id='aspnetForm'><div>{MENU}</div><div><p>{LONG}</p><p>{LONG}</p></div></form>", f"{ARTICLE} {ARTICLE}"),
+    (f'<div class="sidebar"><div class="widget"><p>{LONG}</p></div></div>', ARTICLE),
+    (f"<div class='sidebar-layout'><article><p>{LONG}</p><div class='share'>Share it</div></article></div>", ARTICLE),
+    (f"<main><h1>T</h1><div class='content sidebar-left'><p>{LONG}</p></div></main>", "T " + ARTICLE),
+    (f"<article><p>{LONG}</p><div id='comments'><p>{LONG}</p><p>{LONG}</p></div></article>", ARTICLE),
+    (f"<article><p>{LONG}</p></article><div class='related'><article>A short teaser</article></div>", ARTICLE),
+    (f"<article>Hi</article><div class='ad'>{LONG}</div>", "Hi"),
+    (f"<p>one <span class='ad'><div>x</div></span> two</p><p>{LONG}</p>", "one two " + ARTICLE),
+]
+
+
+@pytest.mark.parametrize("i", range(len(WRAPPED)))
+def test_marked_wrappers_keep_the_article(i):
+    page, want = WRAPPED[i]
+    assert H.main_text(page) == want
