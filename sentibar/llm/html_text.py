@@ -50,10 +50,14 @@ HIDDEN = re.compile(r"""\shidden(?=[\s>/=])""", re.I)
 MARK_WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp select".split())
+#: Without an end tag these run to the page's end; of the others only the start tag goes.
+TO_END = frozenset("script style textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
-    "small span strike strong sub sup time tt u var wbr".split())
+    "small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 NO_TEXT = frozenset("nav footer aside menu dialog button head".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -117,6 +121,7 @@ class Tree:
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements: name, node
         skip: list[str] = []                          # open elements inside a left-out one
+        unended: set[str] = set()                     # RAW names without an end tag from here on
         link, articles = 0, 0
         tag_at, pos, n = STRICT_TAG, 0, len(page)
         parent, links, pieces, marked = self.parent, self.links, self.pieces, self.marked
@@ -182,10 +187,13 @@ class Tree:
                     close(depth)
                 continue
             if name in RAW:
-                if not tag.endswith("/>"):
-                    end = re.compile(f"</{re.escape(name)}", re.I).search(page, pos)
+                if not tag.endswith("/>") and name not in unended:
+                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, pos)
                     if not end:
-                        break
+                        if name in TO_END:
+                            break
+                        unended.add(name)
+                        continue
                     gt = page.find(">", end.end())
                     pos = n if gt < 0 else gt + 1
                 continue

@@ -86,3 +86,21 @@ WRAPPED = [
 def test_marked_wrappers_keep_the_article(i):
     page, want = WRAPPED[i]
     assert H.main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["svg", "select", "noscript", "iframe", "template", "xmp"])
+def test_element_left_open_does_not_end_the_page(name):
+    assert H.main_text(f"<article><p>{LONG}</p><{name}><p>{LONG}</p></article>") == f"{ARTICLE} {ARTICLE}"
+    assert H.main_text(f"<article><p>{LONG}</p><{name}>x</{name}><p>{LONG}</p></article>") == f"{ARTICLE} {ARTICLE}"
+
+
+def test_math_is_text_of_its_paragraph():
+    tail = "<p>" + LONG + "</p></article>"
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>"
+    assert H.main_text(page + tail) == "so x=2 holds " + ARTICLE
+    assert H.main_text("<article><p>so <math><mi>x</mi></p>" + tail) == "so x " + ARTICLE
+
+
+def test_text_areas_run_to_the_end():
+    for name in ("script", "style", "textarea", "title"):
+        assert H.main_text(f"<article><p>{LONG}</p><{name}><p>{LONG}</p></article>") == ARTICLE
