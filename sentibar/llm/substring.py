@@ -34,7 +34,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
 from .common import own_name, parts_for, pick, quoted, read, saved
@@ -43,6 +42,7 @@ U = np.uint64
 CHUNK_BITS = 16
 MIN_WIDTH, MAX_WIDTH = 20, 29     # log2 of the buckets of a sketch row
 BYTES_PER_BUCKET = 4              # of text; about 1.5 windows to 2 buckets
+DOC_BUCKET = 8 << 20              # bytes of text to a bucket of documents
 FLUSH = 2 << 20                   # windows held by a task
 ROW_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -148,14 +148,14 @@ def estimated_repeated(h: np.ndarray, rows: list[np.ndarray], width: int) -> np.
     return keep
 
 
-def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
+def covered_windows(src: DataFrame, k: int, width: int, buckets: int) -> DataFrame:
     """``(bucket, ids, seen)``: packed pairs of a document and the hash of one of
     its windows that also starts in a document with a smaller id; several rows a
-    bucket of documents (the id modulo ``buckets_for``)."""
+    bucket of documents (the id modulo ``buckets``)."""
     bits = src.sparkSession.sparkContext.broadcast(
         repeated_bits(src, lambda data, at: windows(data, at, k)[0], width))
 
-    parts, buckets = parts_for(src), buckets_for(src)
+    parts = parts_for(src)
 
     def pack(ids: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         """Covered windows as one row per bucket of documents."""
@@ -243,18 +243,22 @@ def covered_windows(src: DataFrame, k: int, width: int) -> DataFrame:
             .select(F.col("id").alias("bucket"), "ids", "seen"))
 
 
-def buckets_for(df: DataFrame) -> int:
-    """A prime of about four times the partitions: buckets are small, and ids in
-    steps spread over all of them."""
-    n = 4 * parts_for(df) + 1
-    while any(n % d == 0 for d in range(2, int(n ** 0.5) + 1)):
+def buckets_for(df: DataFrame, size: int) -> int:
+    """A prime of four times the partitions or more, and of ``size`` bytes of
+    text over ``DOC_BUCKET``: buckets stay small at any number of partitions, and
+    ids in steps spread over all of them."""
+    n = max(4 * parts_for(df), size // DOC_BUCKET) | 1
+    while any(n % d == 0 for d in range(3, int(n ** 0.5) + 1, 2)):
         n += 2
     return n
 
 
-def width_for(docs: DataFrame, text: str = "text") -> int:
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+
+
+def width_for(size: int) -> int:
     """log2 of the sketch's buckets a row, from the bytes of all texts."""
-    size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
     return min(MAX_WIDTH, max(MIN_WIDTH, int(np.ceil(np.log2(max(1, size / BYTES_PER_BUCKET))))))
 
 
@@ -262,45 +266,77 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  counts: bool = False) -> DataFrame:
     """``docs`` with the covered words taken out of ``text_col``: each goes with
     the white space after it, all other bytes stay.  ``counts`` appends
-    ``n_words`` and ``n_removed``."""
+    ``n_words`` and ``n_removed``.
+
+    Documents meet their covered windows in tasks sorted by bucket, windows
+    first: a task holds the windows of one bucket, and documents stream past."""
     src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    seen = covered_windows(src, k, width_for(src))
-    key, n = own_name(docs, "bucket"), buckets_for(src)
-    at = quoted(id_col).cast("long")
-    # rows without an id have nothing to lose: they are spread by their text
-    dealt = docs.withColumn(key, F.when(at.isNull(), F.pmod(F.xxhash64(quoted(text_col)), F.lit(n)))
-                            .otherwise(F.pmod(at, F.lit(n))))
+    size = text_bytes(src)
+    n = buckets_for(src, size)
+    seen = covered_windows(src, k, width_for(size), n)
     at_id, at_text, width = docs.columns.index(id_col), docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType(list(docs.schema.fields))
     if counts:
         schema = schema.add("n_words", "long").add("n_removed", "long")
+    key, of, had = (own_name(docs, x) for x in ("bucket", "ids", "seen"))
+    at = quoted(id_col).cast("long")
+    none = F.lit(None).cast("binary")
+    rows = docs.where(at.isNotNull()).withColumns({key: F.pmod(at, F.lit(n)), of: none, had: none})
+    windows_of = seen.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields],
+                             F.col("bucket").alias(key), F.col("ids").alias(of), F.col("seen").alias(had))
+    mixed = (rows.union(windows_of).repartition(parts_for(src), key)
+             .sortWithinPartitions(quoted(key), quoted(of).isNull()))
+
+    def cut(batch: pa.RecordBatch, ids: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Documents without the covered windows ``h`` of ``ids`` (sorted)."""
+        data, off = W.text_buffer(batch.column(at_text))
+        number = pc.cast(batch.column(at_id), pa.int64())
+        valid = number.is_valid().to_numpy(zero_copy_only=False)
+        number = number.fill_null(0).to_numpy()
+        first, last = np.searchsorted(ids, number), np.searchsorted(ids, number, side="right")
+        first[~valid] = last[~valid]
+        for lo, hi, part, at in W.slices(data, off):
+            old = batch.column(at_text).slice(lo, hi - lo)
+            text, n_words, removed = _cut_slice(part, at, old, k, h, first[lo:hi], last[lo:hi])
+            cols = [batch.column(j).slice(lo, hi - lo) for j in range(width)]
+            cols[at_text] = text
+            if counts:
+                cols += [pa.array(n_words), pa.array(removed)]
+            yield pa.record_batch(cols, names=schema.names)
+
+    empty = np.zeros(0, np.int64), np.zeros(0, U)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, (ids, h) = None, [], empty
+        for batch in batches:
+            bucket_of = batch.column(width).to_numpy()
+            is_doc = batch.column(width + 1).is_null().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero((bucket_of[1:] != bucket_of[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
+            for x, y in zip([0, *edge], [*edge, len(bucket_of)]):
+                if x == y:
+                    continue
+                if bucket_of[x] != now:
+                    now, held, (ids, h) = bucket_of[x], [], empty
+                run = batch.slice(x, y - x)
+                if not is_doc[x]:
+                    held += zip(run.column(width + 1).to_pylist(), run.column(width + 2).to_pylist())
+                    continue
+                if held:
+                    ids = np.concatenate([np.frombuffer(i, np.int64) for i, _ in held])
+                    h = np.concatenate([np.frombuffer(w, U) for _, w in held])
+                    held = []
+                    order = np.lexsort((h, ids))
+                    ids, h = ids[order], h[order]
+                    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])))
+                    ids, h = ids[new], h[new]
+                yield from cut(run, ids, h)
+
+    def unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from cut(batch, *empty)
 
-    def cut(rows: pa.Table, covered: pa.Table) -> pa.Table:
-        """One bucket: its documents, and their covered windows."""
-        none = np.zeros(0, np.int64)
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in covered.column("ids").to_pylist()] or [none])
-        h = np.concatenate([np.frombuffer(x, U) for x in covered.column("seen").to_pylist()] or [none.view(U)])
-        order = np.argsort(ids, kind="stable")
-        ids, h = ids[order], h[order]
-        out = []
-        for batch in rows.combine_chunks().to_batches():
-            data, off = W.text_buffer(batch.column(at_text))
-            number = pc.cast(batch.column(at_id), pa.int64())
-            valid = number.is_valid().to_numpy(zero_copy_only=False)
-            number = number.fill_null(0).to_numpy()
-            first, last = np.searchsorted(ids, number), np.searchsorted(ids, number, side="right")
-            first[~valid] = last[~valid]
-            for lo, hi, part, at in W.slices(data, off):
-                old = batch.column(at_text).slice(lo, hi - lo)
-                text, n_words, removed = _cut_slice(part, at, old, k, h, first[lo:hi], last[lo:hi])
-                cols = [batch.column(j).slice(lo, hi - lo) for j in range(width)]
-                cols[at_text] = text
-                if counts:
-                    cols += [pa.array(n_words), pa.array(removed)]
-                out.append(pa.record_batch(cols, names=schema.names))
-        return pa.Table.from_batches(out) if out else to_arrow_schema(schema).empty_table()
-
-    return dealt.groupBy(key).cogroup(seen.groupBy("bucket")).applyInArrow(cut, schema)
+    # rows without an id have nothing to lose: they stay where they are
+    return mixed.mapInArrow(meet, schema).union(docs.where(at.isNull()).mapInArrow(unmet, schema))
 
 
 def _cut_slice(part: np.ndarray, at: np.ndarray, old: pa.Array, k: int, h: np.ndarray, first: np.ndarray,

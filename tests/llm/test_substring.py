@@ -75,3 +75,19 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert S.op7_frame(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_no_task_holds_a_bucket_of_documents(spark):
+    shared = prose(random.Random(7), 40)
+    ids = [None] * 200 + [3] * 200 + list(range(4, 104))
+    t = [shared] * 200 + [shared] * 200 + [shared + " " + prose(random.Random(i), 40) for i in range(100)]
+    out = S.drop_repeats(frame(spark, t, ids=ids).repartition(4), counts=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and "MapInArrow" in plan
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([x[:3] for x in plain(list(zip(ids, t)))], key=str)
+
+
+def test_buckets_follow_the_text(spark):
+    df = spark.range(1)
+    assert S.buckets_for(df, 0) < 50 and S.buckets_for(df, 1 << 40) >= (1 << 40) // S.DOC_BUCKET
