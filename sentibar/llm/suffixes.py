@@ -404,7 +404,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
            .select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
            .withColumn("th", F.xxhash64("text")))
     places = repeated_places(src, span, gap, chunk, hot)
-    per = places.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    # rows with equal id and text emit equal ranges: each is listed once
+    per = places.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     per = per.withColumnsRenamed({"id": "pid", "th": "pth"})
     joined = src.join(per, F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")), "left")
 

@@ -85,3 +85,17 @@ def test_empty_table(spark):
 def test_a_name_not_foreseen_as_hot_is_still_split(spark, monkeypatch):
     monkeypatch.setattr(S, "hot_names", lambda *a: np.zeros(0, np.uint64))
     check(spark, texts(), chunk=1, hot=0)
+
+
+def test_equal_rows_list_each_range_once(spark, monkeypatch):
+    base = prose(random.Random(9), 200)
+    cut = S.merged
+
+    def counted(places):
+        if len(places) > 1 and len({(r["lo"], r["hi"]) for r in places.to_pylist()}) < len(places):
+            raise AssertionError("a range is listed twice")
+        return cut(places)
+
+    monkeypatch.setattr(S, "merged", counted)
+    check(spark, [base] * 20, ids=[7] * 20)
+    check(spark, [base] * 20, ids=[None] * 20)
