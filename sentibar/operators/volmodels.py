@@ -233,7 +233,9 @@ def fit_grid(resid: DataFrame, model: str, group: str = "asset_tag",
 
     One row per (series, start block) carries the series (its length is the
     number of sessions); rows are dealt over the cluster, each runs its own
-    search, and ``max_by`` keeps the best of each series."""
+    search, and ``max_by`` keeps the best of each series.  A series without a
+    valid starting point (one row, or zero variance) keeps its row with null
+    parameters and log-likelihood."""
     import pandas as pd
 
     grid, k = GRID_SPECS[model]
@@ -257,7 +259,10 @@ def fit_grid(resid: DataFrame, model: str, group: str = "asset_tag",
 
     found = starts.select(group, "y", "n", "block").mapInPandas(search, schema)
     best = found.groupBy(group).agg(
-        F.max_by(F.struct("n", *names, "loglik"), F.struct("loglik", *names)).alias("b")).select(group, "b.*")
+        F.max_by(F.struct(*names, "loglik"), F.struct("loglik", *names)).alias("b")).select(
+        F.col(group).alias("_of"), "b.*")
+    series = resid.groupBy(group).agg(F.count(value).alias("n"))
+    best = series.join(best, F.col(group).eqNullSafe(F.col("_of")), "left")
     aic, bic = -2 * F.col("loglik") + 2 * k, -2 * F.col("loglik") + k * F.ln(F.col("n").cast("double"))
     return best.select(group, F.lit(model).alias("model"), *names, "loglik", F.lit(k).alias("k"), "n",
                        aic.alias("aic"), bic.alias("bic"))

@@ -235,3 +235,15 @@ def test_dependence_has_one_row_per_hold_out_row(spark):
     want = rows.filter("feature = 'gemma_dispersion'").collect()
     assert len(got) == rows.select(*key).distinct().count() > 0
     assert sorted(map(tuple, got)) == sorted((r.asset_tag, r.trading_session, r.value, r.shap) for r in want)
+
+
+@pytest.mark.parametrize("model", ["garch", "egarch", "tgarch", "arma"])
+def test_series_without_a_start_keep_their_row(spark, model):
+    y = np.random.default_rng(9).normal(size=40)
+    df = (_frame(spark, {"log_return_1d": y}, "A").unionByName(_frame(spark, {"log_return_1d": np.zeros(40)}, "Z"))
+          .unionByName(_frame(spark, {"log_return_1d": y[:1]}, "O")))
+    got = {r.asset_tag: r for r in VM.fit_grid(VM.residual_series(df), model).collect()}
+    assert {a: r.n for a, r in got.items()} == {"A": 40, "Z": 40, "O": 1}
+    assert got["A"].loglik is not None and got["A"].aic is not None
+    names = list(VM.GRID_SPECS[model][0])
+    assert all(got[a][c] is None for a in "ZO" for c in [*names, "loglik", "aic", "bic"])
