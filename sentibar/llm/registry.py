@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, interp, langid, periodic, pieces, quality, simhash, substring, suffixes, token_store
+from . import decontam, html_text, interp, langid, lexical, periodic, pieces, quality, simhash, substring, suffixes, token_store
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_html_text": html_text.op9_html_text,
     "op10_interpolated_lm": interp.op10_interpolated_lm,
+    "op12_lexical_search": lexical.op12_lexical_search,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {
     "op6_quality_rules": quality.SQL,
     "op7_substring_dedup": substring.SQL,
+    "op12_lexical_search": lexical.SQL,
 }
