@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, interp, langid, lexical, periodic, pieces, quality, simhash, substring, suffixes, token_store
+from . import decontam, html_text, interp, langid, lexical, neighbours, periodic, pieces, quality, simhash, substring, suffixes, token_store
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_html_text": html_text.op9_html_text,
     "op10_interpolated_lm": interp.op10_interpolated_lm,
+    "op11_nearest": neighbours.op11_nearest,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }

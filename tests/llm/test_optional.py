@@ -20,5 +20,5 @@ def test_entry_without_the_subpackage(tmp_path):
 
 def test_entry_with_it():
     code = ("import __spark_entry__ as e; q = e.queries();"
-            "assert {k.split('_')[0] for k in q} >= {f'op{n}' for n in range(1, 11)} | {'pipeline'}")
+            "assert {k.split('_')[0] for k in q} >= {f'op{n}' for n in range(1, 14)} | {'pipeline'}")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={**os.environ, "PYTHONPATH": ROOT})
