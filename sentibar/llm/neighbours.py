@@ -21,6 +21,8 @@ Skew: of identical vectors only the ``k + 1`` smallest ids can be among any
 ``k`` nearest, so the rest are not indexed (they are still queries).  A cell
 with many rows or many visits is cut into parts on both sides; every part of
 the one meets every part of the other, block by block, so no cell is capped.
+Each table's most promising cell is visited first; its k-th score is the floor
+below which the later cells send nothing.
 A query that found fewer than ``k`` candidates is compared with every row.
 
 Defined cases: rows without an id or a vector, and vectors that are zero, hold
@@ -50,7 +52,7 @@ POINTS = 2048          # rows on which a setting's visits are estimated
 RECALL = 0.95          # of the sample's neighbours that the probes must reach
 MOST_PROBES = 512
 PROBE_ROWS = 200       # what sending one probe costs, in rows compared
-CELL_ROWS, CELL_VISITS = 2048, 4096
+CELL_ROWS, CELL_VISITS = 4096, 4096
 REACH = 2              # floors on either side of the query's own
 FOUND = "query long, id long, score double"
 
@@ -261,27 +263,33 @@ def norm(name: str) -> Column:
     return F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def hashed(rows: DataFrame, name: str, tables: Tables | None, visiting: bool) -> DataFrame:
-    """``(tab, cell, <name>, vec)``: each row in every table, at its own cell or
-    (visiting) at all cells it visits."""
+def hashed(rows: DataFrame, name: str, tables: Tables | None, turns: slice | None = None) -> DataFrame:
+    """``(tab, cell, <name>, vec, floor)``: each row in every table, at its own cell
+    or at the cells that it visits in these ``turns``.  ``floor`` is what a score
+    must reach (null: anything counts)."""
     kind = rows.schema["vec"].dataType.simpleString()
+    if "floor" not in rows.columns:
+        rows = rows.withColumn("floor", F.lit(None).cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 x = matrix(part.column("vec"))
-                x = tables.level(x) if visiting else tables.lift(x)
+                x = tables.lift(x) if turns is None else tables.level(x)
                 for t in range(len(tables.directions)):
-                    cell = tables.visits(x, t) if visiting else tables.cells(x, t)[:, None]
+                    cell = tables.cells(x, t)[:, None] if turns is None else tables.visits(x, t)[:, turns]
                     at = pa.array(np.repeat(np.arange(len(x)), cell.shape[1]))
                     yield pa.record_batch(
                         [pa.array(np.full(len(at), t, np.int32)), pa.array(cell.ravel()),
-                         part.column("id").take(at), part.column("vec").take(at)], names=["tab", "cell", name, "vec"])
+                         *[part.column(c).take(at) for c in ("id", "vec", "floor")]],
+                        names=["tab", "cell", name, "vec", "floor"])
 
     if tables is None:  # one cell for all
-        return rows.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("cell"), F.col("id").alias(name), "vec")
-    return saved(rows.mapInArrow(run, f"tab int, cell long, {name} long, vec {kind}"), f"near-{name}s")
+        return rows.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("cell"), F.col("id").alias(name), "vec",
+                           "floor")
+    return saved(rows.select("id", "vec", "floor")
+                 .mapInArrow(run, f"tab int, cell long, {name} long, vec {kind}, floor double"), f"near-{name}s")
 
 
 def compare(index: DataFrame, visits: DataFrame, k: int, cell_rows: int, cell_visits: int) -> DataFrame:
@@ -294,7 +302,7 @@ def compare(index: DataFrame, visits: DataFrame, k: int, cell_rows: int, cell_vi
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         part = F.pmod(F.xxhash64(key), F.col(own + "s")).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)).alias(other)
-        return df.join(sizes, ["tab", "cell"]).select("tab", "cell", part, every, key, "vec")
+        return df.join(sizes, ["tab", "cell"]).select("tab", "cell", part, every, key, "vec", "floor")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         c_id, q_id = left.column("id").to_numpy(), right.column("query").to_numpy()
@@ -303,6 +311,8 @@ def compare(index: DataFrame, visits: DataFrame, k: int, cell_rows: int, cell_vi
             score = np.zeros(0)
         else:
             i, j, score = nearest_rows(matrix(right.column("vec")), q_id, matrix(left.column("vec")), c_id, k)
+            floor = right.column("floor").fill_null(-np.inf).to_numpy()
+            i, j, score = (x[score >= floor[i]] for x in (i, j, score))
         return pa.table([q_id[i], c_id[j], score], names=["query", "id", "score"])
 
     keys = ["tab", "cell", "part", "ask_part"]
@@ -325,16 +335,22 @@ def nearest(vectors: DataFrame, queried: Column, k: int = 20, id_col: str = "vec
                        .select("id", "vec"), "near-candidates")
     queries = rows.where(queried)
     tables = fit(candidates, queries, k, recall, seed)
-    index = hashed(candidates, "id", tables, False)
-    found = saved(best(compare(index, hashed(queries, "query", tables, True), k, cell_rows, cell_visits), k),
-                  "near-found")
+    index = hashed(candidates, "id", tables)
+    found = saved(best(compare(index, hashed(queries, "query", tables, slice(0, 1)), k, cell_rows, cell_visits), k),
+                  "near-first")
+    if tables is not None and tables.probes > 1:
+        # the first cells' k-th score is a floor: the other cells send little beyond it
+        floors = found.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("floor"))
+        rest = hashed(queries.join(floors, "id", "left"), "query", tables, slice(1, None))
+        more = compare(index, rest, k, cell_rows, cell_visits)
+        found = saved(best(found.select("query", "id", "score").unionByName(more), k), "near-found")
     if tables is not None:
         least = min(k, size["count"] - 1)
         enough = found.groupBy("query").agg(F.max("rank").alias("n")).where(F.col("n") >= least)
         short = saved(queries.join(enough, F.col("id") == F.col("query"), "left_anti"), "near-short")
         if not short.isEmpty():
-            whole = best(compare(hashed(candidates, "id", None, False), hashed(short, "query", None, True),
-                                 k, cell_rows, cell_visits), k)
+            whole = best(compare(hashed(candidates, "id", None), hashed(short, "query", None), k, cell_rows,
+                                 cell_visits), k)
             found = found.join(enough, "query", "left_semi").unionByName(whole)
     return found.select("query", F.col("rank").cast(T.IntegerType()).alias("rank"), "id", "score")
 
