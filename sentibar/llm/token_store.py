@@ -7,13 +7,16 @@ own checksum.  Blocks do not depend on each other, so a task codes all blocks
 of a segment side by side: one numpy step handles the next id of every block.
 
 An id is coded in one or two range-coder steps.  The order-2 and the order-1
-context each predict the id that followed there last.  The first step codes
-"order 2 is right / order 1 is right / neither"; its probabilities are learned
-per confidence of the prediction and mixed in the logistic domain with weights
-adapted per block.  After "neither" the id is coded with order-0 frequencies:
-its group of 64 neighbouring ids by adapted counts, its place in the group
-evenly.  All state is integer, so decoding repeats it exactly; a checksum of
-the ids guards every block.
+context each predict the id that followed there last; order 0 says how frequent
+the order-2 id is.  The first step codes "order 2 is right / order 1 is right /
+neither" with probabilities learned per order (by confidence, and by frequency
+class) and mixed in the logistic domain with weights adapted per block.  After
+"neither" the id is coded with order-0 frequencies: its group of 64 neighbouring
+ids by adapted counts, its place in the group evenly.  Models stand still for
+``ROUND`` ids of their block and then learn from all of them, so one numpy pass
+serves a round of every block and only the interval moves id by id.  All state
+is integer, so decoding repeats it exactly; a checksum of the ids guards every
+block.
 
 Encoding to ids uses the tokenizers library through a distinct-chunk table: the
 pre-tokenizer never joins a non-space character with a space after it, so the
@@ -46,13 +49,13 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 0
 SEGMENT = 8 << 20
 BLOCK = 4096
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 400_000
 START_BYTES, BROADCAST_BYTES = 64, 64 << 20     # a segment's start in a broadcast table, and its bound
 
 # ---------------------------------------------------------------- text to ids
 
 #: A space after one of these does not start a chunk (white space, controls).
-SOFT = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁯　﻿"
+SOFT = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 SOFT_SPACE = re.compile(f"[{SOFT}] ")
 BORDER = re.compile(f"(?<=[^{SOFT}])(?= )")
 
@@ -112,22 +115,27 @@ def encoder(path: str) -> ChunkEncoder:
 
 # ------------------------------------------------------------------ the coder
 
+ROUND = 128                               # ids that a block codes between two updates of its model
+REBUILD = 2                               # rounds between two sums of the order-0 counts
 ONE = 12                                  # bits of a probability in the first step
 GROUP = 6                                 # log2 of the ids in an order-0 group
 GROUPS = (1 << 16) >> GROUP
-SLOTS = 11                                # log2 of the slots of a context table
-REBUILD = 64                              # ids between two sums of the order-0 counts
-GAIN, TOTAL_MAX = 24, 30000
-#: Bits of the coder's low end: a word of 16 leaves at the top, and what stays
-#: above BOTTOM is room for both steps of an id.
-BITS = 62
-TOP, BOTTOM, MASK = 1 << (BITS - 16), 1 << 40, (1 << BITS) - 1
+SLOTS = 10                                # log2 of the slots of a context table
+GAIN, TOTAL_MAX = 24, 1 << 15
+KINDS = 128                               # order-2 confidence x order-0 class x order-1 confidence x agreement
+#: The interval is below 2**48 wide; words of 16 bits leave at its top.
+WIDTH, BOTTOM = 1 << 48, 1 << 32
 
 _p = (np.arange(1 << ONE) + 0.5) / (1 << ONE)
 STRETCH = np.rint(256 * np.log(_p / (1 - _p))).astype(np.int64)
 SQUASH = np.clip(np.rint((1 << ONE) / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, (1 << ONE) - 2).astype(np.int64)
 #: Order-0 counts before the first id: small ids are frequent in merge order.
 PRIOR = (1 + 400 // (np.arange(GROUPS) + 4)).astype(np.int32)
+FIRST = (1 << 14, 1 << 13, 1 << 13, 1 << 12)  # 16-bit chances before the first round
+
+
+GAINED2 = np.array([1 << 21] * 3 + [0], np.int32)
+GAINED1 = np.array([1 << 17] * 3 + [0], np.int32)
 
 
 def slot2(two: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -138,100 +146,89 @@ def slot1(one: np.ndarray) -> np.ndarray:
     return ((one * 0xC2B2AE3D + 0x7654321) & 0xFFFFFFFF) >> (32 - SLOTS)
 
 
-class Lanes:
-    """The models of ``n`` blocks, advanced side by side."""
+class Models:
+    """The models of ``n`` blocks, advanced side by side.
+
+    A context table holds, per slot, the id that followed there last, how often
+    it did in a row (order 2, order 1) and the id's order-0 class (order 2).
+    Within a round the models stand still, so what they say is one table: for
+    every kind of situation the chance that order 2 is right, and the chance
+    that it or order 1 is."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.seen2 = np.zeros(n << SLOTS, np.int32)      # id | confidence << 16
-        self.seen1 = np.zeros(n << SLOTS, np.int32)
-        self.right2 = np.full(n * 8, 1 << 14, np.int64)  # 16-bit chances by confidence
-        self.right1 = np.full(n * 8, 1 << 14, np.int64)
-        self.other1 = np.full(n * 8, 1 << 12, np.int64)
-        self.weight = np.full((2, n), 30000, np.int64)
+        self.n = n
+        self.lane = np.arange(n, dtype=np.int64)
+        self.base, self.kind_base = self.lane << SLOTS, self.lane * KINDS
+        self.seen2, self.seen1 = np.zeros(n << SLOTS, np.int32), np.zeros(n << SLOTS, np.int32)
+        # 16-bit chances: order 2 right by its confidence, by the order-0 class, order 1 right by its confidence,
+        # and order 1 right though order 2 is not
+        self.right = [np.full((n, 4), p, np.int64) for p in FIRST]
+        self.weight = np.tile(np.array([28000, 12000, 24000], np.int64), (n, 1))
         self.count = np.tile(PRIOR, (n, 1))
         self.below = np.zeros((n, GROUPS + 1), np.int32)
-        self.step = 0
-
-    def sums(self, n: int) -> None:
-        """Sums of the order-0 counts, every ``REBUILD`` ids."""
-        if self.step % REBUILD == 0:
-            count = self.count[:n]
-            np.cumsum(count, axis=1, out=self.below[:n, 1:])
-            heavy = self.below[:n, -1] > TOTAL_MAX
+        self.round, self.coded = 0, []            # groups of the ids since the last sum
+
+    def begin_round(self) -> None:
+        if self.round % REBUILD == 0:
+            if self.coded:
+                size = self.n * GROUPS
+                self.count += GAIN * np.bincount(np.concatenate(self.coded), minlength=size) \
+                    .astype(np.int32).reshape(self.n, GROUPS)
+                self.coded = []
+            np.cumsum(self.count, axis=1, out=self.below[:, 1:])
+            heavy = self.below[:, -1] > TOTAL_MAX
             if heavy.any():
-                count[heavy] = (count[heavy] + 1) >> 1
-                np.cumsum(count, axis=1, out=self.below[:n, 1:])
-        self.step += 1
-
-    def predict(self, n: int, s2: np.ndarray, s1: np.ndarray):
-        """Chances (of 2**ONE) that order 2, or else order 1, is right."""
-        lane = self.lane[:n]
-        self.at2, self.at1 = (lane << SLOTS) + s2, (lane << SLOTS) + s1
-        e2, e1 = self.seen2[self.at2].astype(np.int64), self.seen1[self.at1].astype(np.int64)
-        self.c2, self.k2, self.c1, self.k1 = e2 & 0xFFFF, e2 >> 16, e1 & 0xFFFF, e1 >> 16
-        self.same = self.c2 == self.c1
-        self.p2, self.p1 = lane * 8 + self.k2, lane * 8 + self.k1
-        self.s2 = STRETCH[self.right2[self.p2] >> 4]
-        s1 = STRETCH[self.right1[self.p1] >> 4]
-        self.s1 = np.where(self.same, s1, np.minimum(-s1, 0))
-        mixed = (self.weight[0, :n] * self.s2 + self.weight[1, :n] * self.s1) >> 16
-        self.a = SQUASH[np.clip(mixed, -2047, 2047) + 2047]
-        left = (1 << ONE) - 1 - self.a
-        self.b = np.where(self.same, 0, np.maximum((left * self.other1[self.p1]) >> 16, 1))
-        return self.a, self.b
-
-    def update(self, n: int, ids: np.ndarray) -> None:
-        hit2, hit1 = self.c2 == ids, self.c1 == ids
-        err = (hit2.astype(np.int64) << ONE) - self.a
-        self.weight[0, :n] += (self.s2 * err) >> 10
-        self.weight[1, :n] += (self.s1 * err) >> 10
-        np.clip(self.weight[:, :n], -(1 << 19), 1 << 19, out=self.weight[:, :n])
-        for table, at, hit in ((self.right2, self.p2, hit2), (self.right1, self.p1, hit1)):
-            now = table[at]
-            table[at] = now + ((hit * 65535 - now) >> 5)
-        now = self.other1[self.p1]
-        self.other1[self.p1] = np.where(hit2 | self.same, now, now + ((hit1 * 65535 - now) >> 5))
-        for seen, at, c, k, hit in ((self.seen2, self.at2, self.c2, self.k2, hit2),
-                                    (self.seen1, self.at1, self.c1, self.k1, hit1)):
-            stay = hit | (k > 1)
-            conf = np.where(hit, np.minimum(k + 1, 7), k >> 1)
-            seen[at] = np.where(stay, c, ids) | (np.where(stay, conf, 0) << 16)
-
-
-class Ends:
-    """Low end and width of every block's interval; finished words leave through
-    ``shift(blocks)`` as the top 16 bits."""
-
-    def __init__(self, n: int):
-        self.low, self.width = np.zeros(n, np.int64), np.full(n, MASK, np.int64)
-
-    def narrow(self, at, unit: np.ndarray, below: np.ndarray, share: np.ndarray) -> None:
-        self.low[at] += unit * below
-        self.width[at] = unit * share
-
-    def settle(self, k: int, shift) -> None:
-        low, width = self.low, self.width
-        at = np.arange(k)
-        while True:
-            lo, r = low[at], width[at]
-            thin = r < BOTTOM
-            flat = (lo ^ (lo + r)) < TOP
-            go = thin | flat
-            if not go.any():
-                return
-            at, lo, r, thin = at[go], lo[go], r[go], (thin & ~flat)[go]
-            r = np.where(thin, -lo & (BOTTOM - 1), r)     # no carry beyond the word that leaves
-            shift(at)
-            low[at] = lo = (lo << 16) & MASK
-            width[at] = np.minimum(r, MASK >> 16) << 16
-
-
-def split_first(m: Lanes, first: np.ndarray, second: np.ndarray):
-    """Start and share of the first step's outcome."""
-    a, b = m.a, m.b
-    return (np.where(first, 0, np.where(second, a, a + b)),
-            np.where(first, a, np.where(second, b, (1 << ONE) - a - b)))
+                self.count[heavy] = (self.count[heavy] + 1) >> 1
+                self.below[heavy, 1:] = np.cumsum(self.count[heavy], axis=1)
+            self.total = self.below[:, -1].astype(np.int64)
+            share = (self.count * 256) // self.total.astype(np.int32)[:, None]
+            self.grade = (((share > 0).astype(np.int32) + (share > 2) + (share > 10)) << 19).ravel()
+        self.round += 1
+        s2, s0, s1 = (STRETCH[r >> 4] for r in self.right[:3])
+        self.s2, self.s0 = s2[:, :, None, None, None], s0[:, None, :, None, None]
+        self.s1 = np.stack([np.minimum(-s1, 0), s1], axis=2)[:, None, None]          # disagree, agree
+        w = self.weight[:, :, None, None, None, None]
+        mixed = (w[:, 0] * self.s2 + w[:, 1] * self.s0 + w[:, 2] * self.s1) >> 16
+        self.a = SQUASH[np.clip(mixed, -2047, 2047) + 2047]                          # lanes x 4 x 4 x 4 x 2
+        b = ((((1 << ONE) - 1 - self.a) * self.right[3][:, None, None, :, None]) >> 16)
+        both = self.a + np.where(np.arange(2) == 1, 0, np.maximum(b, 1))
+        self.split = (self.a | (both << 16)).astype(np.int32).ravel()
+
+    def look(self, two: np.ndarray, one: np.ndarray):
+        """Slots, entries, situation and its split, for one or more steps."""
+        at2, at1 = self.base + slot2(two, one), self.base + slot1(one)
+        e2, e1 = self.seen2.take(at2), self.seen1.take(at1)
+        kind = self.kind_base + (e2 >> 16) + (e1 >> 16) + (((e2 ^ e1) & 0xFFFF) == 0)
+        return at2, at1, e2, e1, kind, self.split.take(kind)
+
+    def learn(self, ids, at2, at1, e2, e1, kind, first, second) -> None:
+        """Update with a round's ids (steps x lanes)."""
+        size = self.n * KINDS
+        flat, agrees = kind.ravel(), (kind & 1) == 1
+        seen = np.bincount(flat, minlength=size).reshape(self.a.shape)
+        hit2 = np.bincount(flat[first.ravel()], minlength=size).reshape(self.a.shape)
+        hit1 = np.bincount(flat[second.ravel()], minlength=size).reshape(self.a.shape)
+        err = (hit2 << ONE) - seen * self.a
+        for i, s in enumerate((self.s2, self.s0, self.s1)):
+            self.weight[:, i] += (err * s).sum(axis=(1, 2, 3, 4)) >> 12
+        np.clip(self.weight, -(1 << 18), 1 << 18, out=self.weight)
+        agree = hit2[..., 1].sum(axis=(1, 2))
+        for table, hit, of in ((self.right[0], hit2.sum(axis=(2, 3, 4)), seen.sum(axis=(2, 3, 4))),
+                               (self.right[1], hit2.sum(axis=(1, 3, 4)), seen.sum(axis=(1, 3, 4))),
+                               (self.right[2], hit1.sum(axis=(1, 2, 4)) + agree, seen.sum(axis=(1, 2, 4))),
+                               (self.right[3], hit1.sum(axis=(1, 2, 4)), (seen - hit2)[..., 0].sum(axis=(1, 2)))):
+            table[:] = np.clip((table * 24 + hit * 65535) // (24 + of), 32, 65535 - 32)
+        groups = self.lane * GROUPS + (ids >> GROUP)
+        self.coded.append(groups.ravel())
+        ids32 = ids.astype(np.int32)
+        entry = ids32 | self.grade.take(groups)
+        # order 2: entry = id | (confidence * 4 + class) * 8 << 16; order 1: id | confidence * 2 << 16.
+        # A right id gains confidence; a wrong one loses half, and its place if it had little.
+        self.seen2[at2.ravel()] = np.where(first, e2 + GAINED2[e2 >> 21], np.where(
+            e2 >= 2 << 21, (e2 & 0x1FFFFF) | (1 << 21), entry)).ravel()
+        right1 = first & agrees | second
+        self.seen1[at1.ravel()] = np.where(right1, e1 + GAINED1[e1 >> 17], np.where(
+            e1 >= 2 << 17, (e1 & 0xFFFF) | (1 << 17), ids32)).ravel()
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -240,44 +237,66 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = -(-len(ids) // block)
     if not n:
         return b""
-    grid = np.zeros((n, block), "<u2")
-    grid.ravel()[:len(ids)] = ids
     size = np.full(n, block)
     size[-1] = len(ids) - (n - 1) * block
-    steps = np.ascontiguousarray(grid.T)
-    m, ends = Lanes(n), Ends(n)
-    out, used = np.zeros((n, 2 * block + 16), np.uint16), np.zeros(n, np.int64)
-
-    def shift(at: np.ndarray) -> None:
+    grid = np.zeros((n, min(block, len(ids))), "<u2")       # the last block is filled up with id 0
+    grid.ravel()[:len(ids)] = ids
+    steps = np.zeros((2 + grid.shape[1], n), np.int64)
+    steps[2:] = grid.T
+    m = Models(n)
+    low, width = np.zeros(n, np.int64), np.full(n, WIDTH, np.int64)
+    out, used = np.zeros((n, grid.shape[1] + 64), np.int32), np.zeros(n, np.int64)
+
+    def emit(at: np.ndarray) -> None:
+        """The top word leaves; bit 16 of it is a carry into the word before."""
         nonlocal out
         if used[at].max() >= out.shape[1]:
-            out = np.pad(out, ((0, 0), (0, block + 16)))
-        out[at, used[at]] = ends.low[at] >> (BITS - 16)
+            out = np.pad(out, ((0, 0), (0, out.shape[1] // 2)))
+        out[at, used[at]] = low[at] >> 32
         used[at] += 1
-
-    two = one = np.zeros(n, np.int64)
-    for t in range(int(size[0])):
-        k = n if t < size[-1] else n - 1
-        x = steps[t, :k].astype(np.int64)
-        m.sums(k)
-        m.predict(k, slot2(two[:k], one[:k]), slot1(one[:k]))
-        first = m.c2 == x
-        second = (m.c1 == x) & ~m.same
-        ends.narrow(slice(0, k), ends.width[:k] >> ONE, *split_first(m, first, second))
-        at = np.flatnonzero(~first & ~second)
-        if len(at):
-            g = x[at] >> GROUP
-            under = m.below[at, g].astype(np.int64)
-            f = m.below[at, g + 1] - under
-            unit = ends.width[at] // (m.below[at, -1].astype(np.int64) << GROUP)
-            ends.narrow(at, unit, (under << GROUP) + f * (x[at] & ((1 << GROUP) - 1)), f)
-        ends.settle(k, shift)
-        m.count[m.lane[:k], x >> GROUP] += GAIN
-        m.update(k, x)
-        two, one = one, x
-    for _ in range(4):                     # the whole low end
-        shift(m.lane)
-        ends.low = (ends.low << 16) & MASK
+        low[at] = (low[at] & 0xFFFFFFFF) << 16
+
+    def settle(at: np.ndarray) -> None:
+        while len(at):
+            emit(at)
+            width[at] <<= 16
+            at = at[width[at] < BOTTOM]
+
+    for lo in range(0, grid.shape[1], ROUND):
+        hi = min(lo + ROUND, grid.shape[1])
+        x = steps[2 + lo:2 + hi]
+        m.begin_round()
+        at2, at1, e2, e1, kind, split = m.look(steps[lo:hi], steps[1 + lo:1 + hi])
+        first = (e2 & 0xFFFF) == x
+        second = ((e1 & 0xFFFF) == x) & ~first
+        a, both = split & 0xFFFF, split >> 16
+        start = np.where(first, 0, np.where(second, a, both)).astype(np.int64)
+        share = np.where(first, a, np.where(second, both - a, (1 << ONE) - both)).astype(np.int64)
+        step, lane = np.nonzero(~(first | second))
+        cut = np.searchsorted(step, np.arange(hi - lo + 1))
+        own = x[step, lane]
+        row = lane * (GROUPS + 1) + (own >> GROUP)
+        under = m.below.take(row).astype(np.int64)
+        f = m.below.take(row + 1) - under
+        under = (under << GROUP) + f * (own & ((1 << GROUP) - 1))
+        whole = m.total[lane] << GROUP
+        for t in range(hi - lo):
+            unit = width >> ONE
+            low += unit * start[t]
+            np.multiply(unit, share[t], out=width)
+            part = slice(cut[t], cut[t + 1])
+            at = lane[part]
+            if len(at):
+                settle(at[width[at] < BOTTOM])
+                unit = width[at] // whole[part]
+                low[at] += unit * under[part]
+                width[at] = unit * f[part]
+            settle(np.flatnonzero(width < BOTTOM))
+        m.learn(x, at2, at1, e2, e1, kind, first, second)
+    for _ in range(3):
+        emit(m.lane)
+    for j in range(out.shape[1] - 1, 0, -1):
+        out[:, j - 1] += out[:, j] >> 16
     parts = []
     for i in range(n):
         head = np.array([size[i], used[i], zlib.crc32(grid[i, :size[i]].tobytes())], "<u4")
@@ -297,57 +316,63 @@ def decode_blocks(raw: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint16)
     size = np.array([h[0] for h in heads], np.int64)
-    words = np.zeros((n, max(map(len, codes)) + 8), np.uint16)
+    words = np.zeros((n, max(map(len, codes)) + 4), np.int64)
     for i, c in enumerate(codes):
         words[i, :len(c)] = c
-    m, ends = Lanes(n), Ends(n)
-    # a window of BITS bits on the words: three whole ones and the top of a fourth
-    spare = 4 * 16 - BITS
-    code, used = np.zeros(n, np.int64), np.full(n, 4)
-    for j in range(3):
-        code = (code << 16) | words[:, j]
-    code = (code << (16 - spare)) | (words[:, 3] >> spare)
-    out = np.zeros((int(size[0]), n), "<u2")
-
-    def shift(at: np.ndarray) -> None:
-        both = (words[at, used[at] - 1].astype(np.int64) << 16) | words[at, used[at]]
-        code[at] = ((code[at] << 16) & MASK) | ((both >> spare) & 0xFFFF)
-        used[at] += 1
-
-    two = one = np.zeros(n, np.int64)
-    for t in range(int(size[0])):
-        k = n if t < size[-1] else n - 1
-        m.sums(k)
-        a, b = m.predict(k, slot2(two[:k], one[:k]), slot1(one[:k]))
-        unit = ends.width[:k] >> ONE
-        v = np.minimum((code[:k] - ends.low[:k]) // unit, (1 << ONE) - 1)
-        first = v < a
-        second = ~first & (v < a + b)
-        ends.narrow(slice(0, k), unit, *split_first(m, first, second))
-        x = np.where(first, m.c2, m.c1)
-        at = np.flatnonzero(~first & ~second)
-        if len(at):
-            total = m.below[at, -1].astype(np.int64) << GROUP
-            unit = ends.width[at] // total
-            v = np.minimum((code[at] - ends.low[at]) // unit, total - 1)
-            want, row, g = v >> GROUP, at * (GROUPS + 1), np.zeros(len(at), np.int64)
-            flat = m.below.ravel()
-            for bit in (1 << s for s in range(GROUPS.bit_length() - 2, -1, -1)):
-                g += bit * (flat[row + g + bit] <= want)
-            under = flat[row + g].astype(np.int64)
-            f = flat[row + g + 1] - under
-            place = (v - (under << GROUP)) // f
-            ends.narrow(at, unit, (under << GROUP) + f * place, f)
-            x[at] = (g << GROUP) | place
-        ends.settle(k, shift)
-        out[t, :k] = x
-        m.count[m.lane[:k], x >> GROUP] += GAIN
-        m.update(k, x)
-        two, one = one, x
-    ids = np.concatenate([out[:size[i], i] for i in range(n)])
+    span = words.shape[1]
+    flat_words, at_word = words.ravel(), np.arange(n, dtype=np.int64) * span + 3
+    m = Models(n)
+    off = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]       # the code, less the low end
+    width = np.full(n, WIDTH, np.int64)
+    length = int(size[0])
+    out = np.zeros((2 + length, n), np.int64)
+
+    def settle(at: np.ndarray) -> None:
+        while len(at):
+            off[at] = (off[at] << 16) | flat_words.take(at_word[at], mode="clip")
+            at_word[at] += 1
+            width[at] <<= 16
+            at = at[width[at] < BOTTOM]
+
+    for lo in range(0, length, ROUND):
+        hi = min(lo + ROUND, length)
+        m.begin_round()
+        below, held = m.below.ravel(), []
+        for t in range(lo, hi):
+            seen = m.look(out[t], out[t + 1])   # at2, at1, e2, e1, kind, split
+            e2, e1, split = seen[2], seen[3], seen[5]
+            unit = width >> ONE
+            a, both = unit * (split & 0xFFFF), unit * (split >> 16)
+            first, known = off < a, off < both
+            start = np.where(first, 0, np.where(known, a, both))
+            np.subtract(np.where(first, a, np.where(known, both, unit << ONE)), start, out=width)
+            np.subtract(off, start, out=off)
+            x = np.where(first, e2, e1) & 0xFFFF
+            x = x.astype(np.int64)
+            at = np.flatnonzero(~known)
+            if len(at):
+                settle(at[width[at] < BOTTOM])
+                total = m.total[at] << GROUP
+                unit = width[at] // total
+                v = np.minimum(off[at] // unit, total - 1)
+                want, row, g = v >> GROUP, at * (GROUPS + 1), np.zeros(len(at), np.int64)
+                for bit in (1 << s for s in range(GROUPS.bit_length() - 2, -1, -1)):
+                    g += bit * (below.take(row + g + bit) <= want)
+                under = below.take(row + g).astype(np.int64)
+                f = below.take(row + g + 1) - under
+                place = (v - (under << GROUP)) // f
+                off[at] -= unit * ((under << GROUP) + f * place)
+                width[at] = unit * f
+                x[at] = (g << GROUP) | place
+            settle(np.flatnonzero(width < BOTTOM))
+            out[t + 2] = x
+            held.append((*seen[:5], first, known & ~first))
+        at2, at1, e2, e1, kind, first, second = (np.stack(c) for c in zip(*held))
+        m.learn(out[2 + lo:2 + hi], at2, at1, e2, e1, kind, first, second)
+    ids = np.concatenate([out[2:2 + size[i], i] for i in range(n)]).astype(np.uint16)
     last = np.cumsum(size)
     for i in range(n):
-        if zlib.crc32(ids[last[i] - size[i]:last[i]].tobytes()) != heads[i][2]:
+        if zlib.crc32(ids[last[i] - size[i]:last[i]].astype("<u2").tobytes()) != heads[i][2]:
             raise ValueError(f"block {i}: checksum differs")
     return ids
 
@@ -394,7 +419,10 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield from flush()
 
     src = (pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-           .repartitionByRange(parts_for(docs), "id").sortWithinPartitions("id", F.xxhash64("text")))
+           .withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()))
+    # ranges over the whole order, so many rows of one id, or without one, are cut, too
+    order = ["id", "tie", "row"]
+    src = src.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order).select("id", "text")
     return saved(src.mapInArrow(run, SEGMENT_SCHEMA), "tokens")
 
 

@@ -84,3 +84,14 @@ def test_null_and_equal_ids_and_empty_table(spark):
     got = sorted((r.start, r.n_tokens) for r in T.op5_frame(df).collect())
     assert [s for s, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1]]
     assert T.op5_frame(df.limit(0)).count() == 0
+
+
+def test_hot_ids_are_cut_over_partitions(spark, tok):
+    rng = random.Random(9)
+    texts = [prose(rng, 5) for _ in range(400)] + ["same text"] * 300 + [prose(rng, 20000)]
+    ids = [None] * 200 + [7] * 501
+    files = T.write_tokens(frame(spark, texts, ids=ids).repartition(4), T.model_path())
+    assert files.select("part").distinct().count() >= 4
+    got = sorted((r.start, r.n_tokens) for r in T.op5_frame(frame(spark, texts, ids=ids)).collect())
+    assert [s for s, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1]]
+    assert sum(n for _, n in got) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
