@@ -72,7 +72,8 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  k: int = 3) -> DataFrame:
-    """``(id, fp)``: the fingerprint as the signed long with the same bits."""
+    """``(id, tie, fp)``: the fingerprint as the signed long with the same bits,
+    and a hash of the text that tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,11 +83,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 each = [shingle_hashes(raw[a:b], k) for a, b in zip(off[:-1], off[1:])]
                 first = np.concatenate(([0], np.cumsum([len(h) for h in each])))
                 fp = majority(np.concatenate(each), first)
-                yield pa.record_batch([batch.column("id").slice(lo, hi - lo), pa.array(fp.view(np.int64))],
-                                      names=["id", "fp"])
+                yield pa.record_batch([*[batch.column(c).slice(lo, hi - lo) for c in ("id", "tie")],
+                                       pa.array(fp.view(np.int64))], names=["id", "tie", "fp"])
 
-    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    return src.mapInArrow(run, "id long, fp long")
+    src = pick(docs, id=id_col, text=text_col)
+    src = src.select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("tie"), "text")
+    return src.mapInArrow(run, "id long, tie long, fp long")
 
 
 def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,37 +244,42 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other and to near-zero fingerprints; repeated rows give repeated result
     rows; a null id takes part but never names a component (null only if the
     whole component has no id); an empty table gives an empty result."""
+    prints, roots = linked_prints(docs, id_col, text_col, k, bits)
+    smallest = roots.groupBy("component").agg(F.min("least.id").alias("first_id"))
+    of_fp = roots.join(smallest, "component").select("fp", "first_id")
+    return prints.join(of_fp, "fp").select("id", "fp", F.col("first_id").alias("component"))
+
+
+def linked_prints(docs: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and per distinct one ``(fp, least, component)``:
+    its first row (by id, those without one last, then text hash) and the
+    fingerprint that stands for its component."""
     prints = saved(fingerprints(docs, id_col, text_col, k), "simhash-fp")
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    row = F.struct(F.col("id").isNull().alias("lone"), F.col("id"), F.col("tie"))
+    least = prints.groupBy("fp").agg(F.min(row).alias("least"))
     linked = components(near_edges(least.select("fp"), bits))
-    named = least.join(linked.withColumnRenamed("node", "fp"), "fp", "left") \
-        .withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("first_id"))
-    of_fp = named.join(smallest, "component").select("fp", "first_id")
-    return prints.join(of_fp, "fp").select("id", "fp", F.col("first_id").alias("component"))
+    named = least.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    return prints, named.withColumn("component", F.coalesce("component", "fp"))
 
 
 def simhash_keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      k: int = 3, bits: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of its smallest
-    id.  Repeated rows of one id count as copies; rows without an id stay only
-    if no row of their group has one, and then one of them does."""
+    id, rows without an id last, and of rows that share it that of the smallest
+    text hash; of rows equal in id and text any one.  Rows that share an id but
+    belong to different groups do not touch each other."""
     from .common import own_name, quoted
 
-    part = saved(simhash_components(docs, id_col, text_col, k, bits), "simhash-components")
-    name = own_name(docs, "component")
-    keep = part.where("id = component").select(F.col("id").alias(name)).distinct()
-    rows = docs.join(keep, quoted(id_col).cast("long") == F.col(name), "left_semi")
-    ids = part.where("id is not null").groupBy("id").count()
-    one = rows if ids.where("count > 1").isEmpty() else rows.dropDuplicates([id_col])
-    lone = part.where("component is null").select("fp").distinct()
-    if lone.isEmpty():
-        return one
-    least = docs.where(quoted(id_col).isNull()).dropDuplicates([text_col])
-    marked = simhash_components(least.withColumn(name, F.xxhash64(quoted(text_col))), name, text_col, k, bits)
-    pick_one = marked.where("id = component").select(F.col("id").alias(name), "fp").distinct()
-    pick_one = pick_one.join(lone, "fp", "left_semi").select(name)
-    return one.unionByName(least.join(pick_one, F.xxhash64(quoted(text_col)) == F.col(name), "left_semi"))
+    prints, roots = linked_prints(docs, id_col, text_col, k, bits)
+    keep = roots.groupBy("component").agg(F.min("least").alias("least")).select("least.id", "least.tie")
+    keep = saved(keep, "simhash-kept")
+    i, t = own_name(docs, "kept_id"), own_name(docs, "kept_tie")
+    side = keep.select(F.col("id").alias(i), F.col("tie").alias(t))
+    rows = docs.join(side, quoted(id_col).cast("long").eqNullSafe(F.col(i))
+                     & (F.xxhash64(quoted(text_col)) == F.col(t)), "left_semi")
+    again = prints.join(keep.withColumnRenamed("id", "kept_id"), ["tie"], "left_semi") \
+        .groupBy("id", "tie").count().where("count > 1")
+    return rows if again.isEmpty() else rows.dropDuplicates([id_col, text_col])
 
 
 def op2_frame(docs: DataFrame) -> DataFrame:

@@ -94,6 +94,19 @@ def test_keep_one_and_odd_rows(spark):
         sorted([(3, a), (-1, b), (8, "")])
 
 
+def test_rows_of_one_id_in_different_groups(spark):
+    """Equal ids with unrelated texts: no text is lost, and the result is one."""
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    texts, ids = [a, b, c, a, b, b], [5, 5, 7, 9, None, 5]
+    for order in (slice(None), slice(None, None, -1)):
+        df = frame(spark, texts[order], ids=ids[order]).repartition(3)
+        kept = sorted((r.doc_id, r.text) for r in S.simhash_keep_one(df).collect())
+        assert kept == sorted([(5, a), (5, b), (7, c)])
+    long = frame(spark, [prose(rng, 20000)] * 2 + ["x"] * 3, ids=[1, 2, 3, 3, 3])
+    assert sorted(r.doc_id for r in S.simhash_keep_one(long).collect()) == [1, 3]
+
+
 def test_empty_table(spark):
     df = frame(spark, ["a"]).limit(0)
     assert S.op2_frame(df).count() == 0
