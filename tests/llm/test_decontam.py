@@ -1,3 +1,4 @@
+import time
 import random
 
 import numpy as np
@@ -91,6 +92,24 @@ def test_registered_query_against_plain_pairs(spark):
     assert got == want and want
 
 
+def test_equal_words_do_not_multiply():
+    """Twenty items of 200 equal words against documents of 20,000 of them."""
+    items = D.Items(list(range(20)), ["and " * 200] * 20, 5)
+    start = time.process_time()
+    got = D.matched(items, ["and " * 20000, "and " * 150, "and " * 90 + "or " * 500, None], 0.6)
+    assert sorted((d, i, share) for d, i, share, *_ in got) == [
+        (d, i, s) for d, s in ((0, 1.0), (1, 0.75)) for i in range(20)]
+    assert time.process_time() - start < 20
+
+
+def test_repeated_phrases_are_tiled():
+    item = "a b c d e f g h " * 10
+    items = D.Items([1], [item], 5)
+    doc = "x " + "a b c d e f g h " * 3 + "y " + "a b c d e f g h " * 6 + "z"
+    (d, i, share, n, longest), = D.matched(items, [doc], 0.6)
+    assert (share, n, longest) == (72 / 80, 2, 48)
+
+
 def test_empty_tables(spark):
     docs, bench, _ = case(spark)
     assert D.contaminated_pairs(frame(spark, docs).limit(0), bench).count() == 0
