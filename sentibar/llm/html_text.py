@@ -20,7 +20,10 @@ no-sidebar, comment-enabled) is no mark, and a marked element stays, for the
 density to judge, if an article or main element in it is at least as long as
 the longest one outside all marks, or if it holds most of the text outside
 links.  The second holds neither beside an article or main element with text
-of its own, nor for comments on a page with other text.
+of its own, nor for comments on a page with other text.  Inside an article
+words like "related" or "social" count only as a whole class, and an element
+so marked stays if it is running text (``SOFT_CHARS`` characters outside links,
+and twice those inside).
 
 Defined cases: a null or empty page, or one without text, gives an empty
 text; truncated pages give the text up to the cut; repeated rows give repeated
@@ -76,6 +79,13 @@ NOISE_WORDS = frozenset(
 #: In a compound, these tell of the page's state and not of what the element holds.
 STATE_WORDS = frozenset("has have no not non with without enabled disabled open closed".split())
 COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+#: Inside an article these name text as often as page parts: there they count
+#: only as a whole class (with words that say no more than "box"), and the
+#: element's own text decides.
+SOFT_WORDS = frozenset("social share sharing related widget toolbar pagination pager popup modal overlay".split())
+BOX_WORDS = frozenset("area bar block box button buttons container content inner item items links list panel section "
+                      "text top bottom left right wrap wrapper".split())
+SOFT_CHARS = 80
 
 
 def is_noise(name: str, tag: str, in_article: bool) -> bool:
@@ -85,7 +95,7 @@ def is_noise(name: str, tag: str, in_article: bool) -> bool:
 
 def noise_marks(name: str, tag: str, in_article: bool) -> set[str]:
     """The words by which an element may be noise; empty if there is none."""
-    found = marks(tag) if "=" in tag and name not in ("body", "html", "main") else set()
+    found = marks(tag, in_article) if "=" in tag and name not in ("body", "html", "main") else set()
     if name == "article":
         return found & {"comment"}
     noise = found & NOISE_WORDS
@@ -96,13 +106,16 @@ def noise_marks(name: str, tag: str, in_article: bool) -> set[str]:
     return noise
 
 
-def marks(tag: str) -> set[str]:
+def marks(tag: str, in_article: bool = False) -> set[str]:
     words: set[str] = set()
     for m in MARKS.finditer(tag):
         for token in (m[1] or m[2] or m[3] or "").lower().split():
-            found = MARK_WORD.findall(token)
-            if STATE_WORDS.isdisjoint(found):
-                words.update(found)
+            found = set(MARK_WORD.findall(token))
+            if not STATE_WORDS.isdisjoint(found):
+                continue
+            if in_article and not found <= NOISE_WORDS | BOX_WORDS:
+                found -= SOFT_WORDS
+            words |= found
     return words
 
 
@@ -250,6 +263,7 @@ class Tree:
         """The marked nodes that do not hold the article."""
         parent, n = self.parent, len(self.parent)
         whole, free, inner = [0] * n, [0] * n, [0] * n  # text outside links; also outside marks; longest article
+        linked = [0] * n
         under, inside = [False] * n, [False] * n        # in a marked node; in an article or main element outside marks
         for i in range(1, n):
             under[i] = under[parent[i]] or i in self.marked
@@ -259,11 +273,14 @@ class Tree:
                 size = len(" ".join(text.split()))
                 whole[node] += size
                 free[node] += 0 if under[node] else size
+            else:
+                linked[node] += len(" ".join(text.split()))
         for i in range(n - 1, 0, -1):
             p = parent[i]
             if i in self.articles:
                 inner[i] = max(inner[i], whole[i])
             whole[p] += whole[i]
+            linked[p] += linked[i]
             free[p] += free[i]
             inner[p] = max(inner[p], inner[i])
         rival = max((free[i] for i in self.articles if not under[i]), default=0)
@@ -271,7 +288,9 @@ class Tree:
         for i, words in self.marked.items():
             most = 2 * whole[i] > whole[0] and (inside[i] or not rival) and not (
                 free[0] and not COMMENT_WORDS.isdisjoint(words))
-            if not (most or inner[i] and inner[i] >= rival):
+            # in an article, running text under a word that need not mean a page part
+            prose = inside[i] and words <= SOFT_WORDS and whole[i] >= max(SOFT_CHARS, 2 * linked[i])
+            if not (most or prose or inner[i] and inner[i] >= rival):
                 noise.add(i)
         return noise
 

@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -82,6 +84,16 @@ WRAPPED = [
 ]
 
 
+WRAPPED += [
+    (f'<article><p>{LONG}</p><section class="related-work"><p>Others did it.</p></section></article>', ARTICLE + " Others did it."),
+    (f'<article><p>{LONG}</p><p class="social">{LONG}</p></article>', f"{ARTICLE} {ARTICLE}"),
+    (f'<main><p class="share-holders">{LONG}</p><div class="share-box">Share it</div></main>', ARTICLE),
+    (f'<article><p>{LONG}</p><div class="related"><a href=/1>{LONG}</a></div><p>{LONG}</p><p class="ad">Buy {LONG}</p></article>',
+     f"{ARTICLE} {ARTICLE}"),
+    (f'<article><p>{LONG}</p><div class="social-links"><a href=/f>F</a> <a href=/t>T</a></div></article>', ARTICLE),
+]
+
+
 @pytest.mark.parametrize("i", range(len(WRAPPED)))
 def test_marked_wrappers_keep_the_article(i):
     page, want = WRAPPED[i]
@@ -104,3 +116,119 @@ def test_math_is_text_of_its_paragraph():
 def test_text_areas_run_to_the_end():
     for name in ("script", "style", "textarea", "title"):
         assert H.main_text(f"<article><p>{LONG}</p><{name}><p>{LONG}</p></article>") == ARTICLE
+
+
+# ---- composite densities, threshold and largest sums, from a nested tree ----
+def build(rng, depth=0):
+    """(name, children); a child is text, ("a", text) or a block."""
+    kids = []
+    for _ in range(rng.randint(1, 4)):
+        r = rng.random()
+        if r < 0.35 and depth < 4:
+            kids.append(build(rng, depth + 1))
+        elif r < 0.5:
+            kids.append(("a", "link " + "word " * rng.randint(0, 6)))
+        else:
+            kids.append("text " * rng.randint(1, 60))
+    return (rng.choice(["div", "section", "p" if depth == 4 else "div", "table"]), kids)
+
+
+def markup(node):
+    if isinstance(node, str):
+        return node
+    if node[0] == "a":
+        return f"<a href=/x>{node[1]}</a>"
+    return f"<{node[0]}>{''.join(map(markup, node[1]))}</{node[0]}>"
+
+
+def plain_main_text(body):
+    def runs(kids):
+        """The node's own text between its block children."""
+        out = [[]]
+        for k in kids:
+            if isinstance(k, str) or k[0] == "a":
+                out[-1].append(k)
+            else:
+                out += [k, []]
+        return out
+
+    def joined(run):
+        return " ".join("".join(k if isinstance(k, str) else k[1] for k in run).split())
+
+    def linked(run):
+        return min(sum(len(" ".join(k[1].split())) for k in run if not isinstance(k, str)), len(joined(run)))
+
+    def blocks(node):
+        return [k for k in runs(node[1]) if isinstance(k, tuple)]
+
+    def size(node):
+        """Characters, link characters, tags and link tags below."""
+        own = [r for r in runs(node[1]) if isinstance(r, list)]
+        c, lc = sum(len(joined(r)) for r in own), sum(linked(r) for r in own)
+        t, lt = 0, sum(1 for r in own for k in r if not isinstance(k, str))
+        for k in blocks(node):
+            a = size(k)
+            c, lc, t, lt = c + a[0], lc + a[1], t + a[2] + 1, lt + a[3]
+        return c, lc, t, lt
+
+    whole = size(body)
+
+    def density(node):
+        c, lc, t, lt = size(node)
+        if not c:
+            return 0.0
+        t = t + lt or 1
+        base = math.log(c / ((c - lc) or 1) * (lc or 1) + whole[1] / whole[0] * c + math.e)
+        return c / t * math.log(max(c / (lc or 1) * t / (lt or 1), 1e-9)) / math.log(base)
+
+    def total(node):
+        return sum(density(k) for k in blocks(node))
+
+    order = []
+
+    def walk(node, path):
+        order.append((node, path))
+        for k in blocks(node):
+            walk(k, [*path, node])
+    walk(body, [])
+    if not whole[0]:
+        return ""
+    best = max(range(len(order)), key=lambda i: (total(order[i][0]), size(order[i][0])[0], -i))
+    limit = min(density(x) for x in [order[best][0], *order[best][1]])
+    kept = set()
+
+    def below(node):
+        return [node, *[x for k in blocks(node) for x in below(k)]]
+
+    def take(node):
+        if id(node) in kept:
+            return
+        if density(node) >= limit:
+            top = max(below(node), key=total)        # the first in page order wins
+            kept.update(id(x) for x in below(top))
+        if id(node) not in kept:
+            for k in blocks(node):
+                take(k)
+    take(body)
+    out = []
+
+    def read(node):
+        for r in runs(node[1]):
+            if isinstance(r, tuple):
+                read(r)
+            elif joined(r) and id(node) in kept:
+                out.append(joined(r))
+    read(body)
+    return " ".join(out)
+
+
+def test_equals_a_plain_version_on_random_pages():
+    rng = random.Random(12)
+    some = 0
+    for _ in range(400):
+        body = ("body", [build(rng) for _ in range(rng.randint(1, 4))])
+        page = "".join(map(markup, body[1]))
+        want = plain_main_text(body)
+        assert H.main_text(page) == want, page
+        some += want != " ".join(re.sub("<[^>]*>", " ", page).split())
+    assert some > 50
