@@ -9,6 +9,8 @@ from ..operators import calendar as CA
 from ..operators import ingest as IN
 from ..operators import keys as K
 from ..sources import fixtures as FX
+from ..sources import io as IO
+from ..sources import months as MO
 from .catalog import register
 from .oracle import clean_html_sql, cte
 
@@ -255,6 +257,45 @@ def q_keyed_update(t):
     return out.select("news_id", "gemma_sentiment_score", "gemma_impact_type")
 
 
+@register("month_update", ops="A12 A13 (only the months concerned are rewritten)",
+          sql="""SELECT n.news_id, strftime(n.time, '%Y-%m') AS session_month,
+       CASE WHEN u.news_id IS NOT NULL THEN u.s END AS gemma_sentiment_score,
+       CASE WHEN u.news_id IS NOT NULL THEN u.it END AS gemma_impact_type
+FROM news n LEFT JOIN (
+  SELECT news_id, TRY_CAST(json_extract(j, '$.sentiment_score') AS DOUBLE) AS s,
+         json_extract_string(j, '$.impact_type') AS it
+  FROM (SELECT news_id, regexp_extract(reply, '(?s)\\{.*\\}') AS j FROM replies)
+  WHERE json_valid(j) AND j <> '') u ON n.news_id = u.news_id AND year(n.time) = 1995""",
+          ctes=("news", "replies"), rnd=("gemma_sentiment_score",), dates=())
+def q_month_update(t):
+    """Scores of one year's articles put into a table stored by month."""
+    path = IO.scratch_path(t.spark, "news-months")
+    n = news(t).select("news_id", "asset_tag", "time", "headline")
+    MO.write_months(n.withColumns({"gemma_sentiment_score": F.lit(None).cast("double"),
+                                   "gemma_impact_type": F.lit(None).cast("string")}), path, "time", "news_id")
+    rep = FX.reply_text_from_orders(t.orders).select("news_id", "reply")
+    parsed = (SC.with_reply_fields(rep, "reply", keep_valid_only=True)
+              .select("news_id", F.col("sentiment_score").alias("gemma_sentiment_score"),
+                      F.col("impact_type").alias("gemma_impact_type")))
+    year = n.filter(F.year("time") == 1995).select("news_id")
+    MO.update_months(t.spark, path, parsed.join(year, "news_id", "left_semi"), "news_id",
+                     ["gemma_sentiment_score", "gemma_impact_type"])
+    return MO.read_months(t.spark, path).select("news_id", F.col("session_month").cast("string").alias("session_month"),
+                                                "gemma_sentiment_score", "gemma_impact_type")
+
+
+@register("month_append", ops="A2 A16 (insert-ignore into months)",
+          sql="SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE value + 1 END AS value FROM events",
+          rnd=("value",), dates=())
+def q_month_append(t):
+    """Half of the events are stored; all of them arrive again with other values."""
+    path = IO.scratch_path(t.spark, "event-months")
+    ev = t.events.select("event_id", "ts", "value")
+    MO.write_months(ev.filter(F.col("event_id") % 2 == 0), path, "ts", "event_id")
+    MO.append_months(t.spark, path, ev.withColumn("value", F.col("value") + 1), "ts", "event_id", ["ts", "value"])
+    return MO.read_months(t.spark, path).select("event_id", "value")
+
+
 @register("pending_rows", ops="A14",
           sql="SELECT news_id, asset_tag, headline FROM news WHERE gemma_sentiment_score IS NULL",
           ctes=("news",), dates=())

@@ -16,6 +16,7 @@ from ..operators import pages as PG
 from ..operators import volmodels as VM
 from ..sources import fixtures as FX
 from ..sources import io as IO
+from ..sources import json_splits as JS
 from . import q_text  # noqa: F401 - the page record twin
 from .catalog import register
 from .oracle import cte
@@ -74,6 +75,19 @@ def q_json(t):
     return back.fillna("~", subset=["summary", "content"])
 
 
+_SPLIT_COLS = ["title", "lead", "body", "category", "author", "provider", "url"]
+
+
+@register("json_splits", ops="A4 A5",
+          sql="SELECT title, lead, body, category, author, provider, url FROM page_record", ctes=("page_record",), dates=())
+def q_json_splits(t):
+    """All page records as JSON array files, one for each partition, read by byte range."""
+    path = IO.scratch_path(t.spark, "articles-arrays")
+    rows = PG.page_fields(t.pages).select(F.to_json(F.struct(*_SPLIT_COLS)).alias("value"))
+    JS.write_json_arrays_streamed(rows, path)
+    return JS.read_json_splits(t.spark, path).select(*_SPLIT_COLS)
+
+
 @register("merge_file_stats", ops="D24 A5",
           sql="""SELECT (SELECT count(DISTINCT page_id // 50) FROM pages) + 2 AS files_scanned,
        CAST(1 AS BIGINT) AS empty_files, CAST(1 AS BIGINT) AS invalid_files,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources import fixtures as FX
 from ..sources.io import scratch_path
 from ..streaming import alignment as SA
+from ..streaming import watermark as SW
 from .catalog import register
 from .q_align import CAL_ROWS, _asof_sql
 
@@ -44,3 +45,14 @@ def q_stream_daily(t):
     SA.run_complete(agg, out, scratch_path(t.spark, "daily-stream-ckpt"))
     return t.spark.read.parquet(out).select("day", "event_type", F.col("n").cast("long").alias("n"),
                                             "mean_value")
+
+
+@register("stream_watermark", ops="A2 A12 (streaming, state bounded by a watermark)",
+          sql="SELECT event_id, event_type, ts, value FROM events", rnd=("value",), dates=("ts",))
+def q_stream_watermark(t):
+    """Events, a third of them delivered again, deduplicated within ten days."""
+    ev = _events_stream(t).select("event_id", "event_type", "ts", "value")
+    both = ev.unionByName(ev.filter(F.col("event_id") % 3 == 0))
+    out = scratch_path(t.spark, "watermark-stream")
+    SW.run_within_watermark(both, out, scratch_path(t.spark, "watermark-ckpt"), "event_id", "ts", "10 days")
+    return t.spark.read.parquet(f"{out}/rows").select("event_id", "event_type", "ts", "value")
