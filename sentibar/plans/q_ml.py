@@ -8,6 +8,7 @@ twin; tests hold the evaluation against SQL over the stored predictions.
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from ..operators import bars as B
 from ..operators import features as FE
 from ..operators import keys as K
 from ..operators import ml as ML
+from ..operators import treeshap as TS
+from ..operators import recurrent as RC
+from ..operators import trend as TR
 from ..operators import volmodels as VM
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
@@ -42,6 +46,20 @@ def stored_table(t, name: str, build):
     return found if found is not None else IO.replace_table(build(), path)
 
 
+KEY, BUCKETS = ["asset_tag", "trading_session"], 8
+
+
+def stored_bucketed(t, name: str, build):
+    """As ``stored_table``, for prediction tables: bucketed by series and session."""
+    path, table = _store_path(t, name), _table_name(t, name)
+    found = IO.read_bucketed(t.spark, table, path)
+    return found if found is not None else IO.bucketed_table(build(), table, path, KEY, BUCKETS)
+
+
+def _table_name(t, name: str) -> str:
+    return f"sentibar_{hashlib.sha1(_store_path(t, name).encode()).hexdigest()[:12]}_{name}"
+
+
 def _store_path(t, name: str) -> str:
     root = ensure_checkpoint_dir(t.spark).rstrip("/")
     where = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:12]
@@ -50,7 +68,7 @@ def _store_path(t, name: str) -> str:
 
 def ml_predictions(t):
     """Hold-out rows with the six tree predictions."""
-    return stored_table(t, "ml_predictions", lambda: ML.feature_set_compare(features(t))[1])
+    return stored_bucketed(t, "ml_predictions", lambda: ML.feature_set_compare(features(t))[1])
 
 
 def dl_predictions(t):
@@ -63,7 +81,7 @@ def dl_predictions(t):
         return (base.join(hybrid.drop("realized_vol_22d"), key).join(close, key)
                 .select("trading_session", "asset_tag", "close", "realized_vol_22d",
                         "lookback_base_pred", "lookback_hybrid_pred"))
-    return stored_table(t, "dl_predictions", build)
+    return stored_bucketed(t, "dl_predictions", build)
 
 
 @register("ml_predictions", ops="H9 H10 H11 A9")
@@ -84,14 +102,15 @@ STRATEGIES = {"XGBoost Baseline": "xgb_pred_baseline", "XGBoost FinBERT": "xgb_p
 
 def strategy_table(t):
     """C4 + A20: tree predictions with the look-back predictions where that
-    table exists."""
+    table exists; both are bucketed by the join's keys, which meet without an
+    exchange."""
     dl_predictions(t)
-    root = IO.read_optional(t.spark, _store_path(t, "dl_predictions"))
+    root = IO.read_bucketed(t.spark, _table_name(t, "dl_predictions"), _store_path(t, "dl_predictions"))
     preds = ml_predictions(t)
     if root is None:
         return preds
     return preds.join(root.select("trading_session", "asset_tag", "lookback_base_pred", "lookback_hybrid_pred"),
-                      ["trading_session", "asset_tag"], "left")
+                      KEY, "left")
 
 
 @register("prediction_backtest", ops="C4 H16 A20 D20 E8 E9")
@@ -131,11 +150,11 @@ def attribution_rows(t):
         cols = FV.FEATURES_GEMMA
         frame = ML.stored(ML.model_frame(features(t), cols), "attribution-frame")
         _, models = ML.fit_predict(frame, cols, ML.boosted, "xgb_pred_gemma")
-        out = None
+        nodes = None
         for a, m in models.items():
-            part = ML.shapley_attribution(frame, m, cols, a)
-            out = part if out is None else out.unionByName(part)
-        return out
+            one = TS.ensemble_nodes(t.spark, m).withColumn("asset_tag", F.lit(a))
+            nodes = one if nodes is None else nodes.unionByName(one)
+        return TS.tree_shapley(frame, nodes, cols)
     return stored_table(t, "attribution", build)
 
 
@@ -208,3 +227,57 @@ SELECT asset_tag, n, my - b_t*mt - b_s*ms - b_c*mc AS b_one, b_t, b_s, b_c,
           ctes=("features",), rnd=("b_one", "b_t", "b_s", "b_c", "rmse"), dates=())
 def q_season(t):
     return ML.season_fit(features(t))
+
+
+_HINGES = [f"greatest(t - {0.8 * j / (TR.CHANGEPOINTS + 1)!r}, 0.0)" for j in range(1, TR.CHANGEPOINTS + 1)]
+_WAVES = [f"{f}({2 * math.pi * k / 365.25!r} * d)" for k in range(1, TR.PAIRS + 1) for f in ("sin", "cos")]
+
+
+@register("trend_gram", ops="H19 (normal equations)",
+          sql=f"""WITH x AS (SELECT asset_tag, CAST(trading_session - DATE '1970-01-01' AS DOUBLE) AS d, close AS y FROM features
+           WHERE close IS NOT NULL),
+s AS (SELECT asset_tag, d, y, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS t FROM x WINDOW w AS (PARTITION BY asset_tag)),
+z AS (SELECT asset_tag, [1.0, t, {', '.join(_HINGES + _WAVES)}, y] AS z FROM s),
+p AS (SELECT asset_tag, z, unnest(range(len(z))) AS i FROM z),
+q AS (SELECT asset_tag, z, i, unnest(range(i + 1)) AS j FROM p)
+SELECT asset_tag, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+       sum(z[i + 1] * z[j + 1]) / sqrt(sum(z[i + 1] * z[i + 1]) * sum(z[j + 1] * z[j + 1])) AS s FROM q GROUP BY ALL""",
+          ctes=("features",), rnd=("s",), dates=())
+def q_trend_gram(t):
+    """Sums of products, each over the roots of the two sums of squares."""
+    g = TR.gram(TR.regressors(features(t), "close", "trading_session", "asset_tag"), "asset_tag")
+    square = g.where("i = j")
+    left = square.select("asset_tag", "i", F.col("s").alias("a"))
+    right = square.select("asset_tag", "j", F.col("s").alias("b"))
+    return (g.join(left, ["asset_tag", "i"]).join(right, ["asset_tag", "j"])
+            .select("asset_tag", "i", "j", (F.col("s") / F.sqrt(F.col("a") * F.col("b"))).alias("s")))
+
+
+@register("trend_changepoints", ops="H19 (piecewise trend, season)")
+def q_trend(t):
+    return TR.trend_fit(features(t))
+
+
+def recurrent_predictions(t):
+    """Hold-out rows with the recurrent model on the base and the hybrid features."""
+    def build():
+        key = ["asset_tag", "trading_session"]
+        base = RC.recurrent_regression(features(t), FV.FEATURES_BASELINE, name="recurrent_base")
+        hybrid = RC.recurrent_regression(with_residual(t), FV.FEATURES_HYBRID, name="recurrent_hybrid")
+        return base.join(hybrid.drop("realized_vol_22d"), key)
+    return stored_table(t, "recurrent_predictions", build)
+
+
+@register("recurrent_predictions", ops="H13 H14 (recurrent)")
+def q_recurrent(t):
+    return recurrent_predictions(t)
+
+
+@register("recurrent_metrics", ops="H13 H14 D21")
+def q_recurrent_metrics(t):
+    out = None
+    for label in ("base", "hybrid"):
+        m = ML.error_metrics(recurrent_predictions(t), "realized_vol_22d", f"recurrent_{label}_pred", ["asset_tag"])
+        m = m.select("asset_tag", F.lit(label).alias("model"), "rmse", "mae", "n")
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -14,6 +14,7 @@ from ..operators import bars as B
 from ..operators import features as FE
 from ..operators import keys as K
 from ..operators import stats as ST
+from ..operators import newton as NW
 from ..operators import volmodels as VM
 from ..sources import fixtures as FX
 from .catalog import register
@@ -352,6 +353,82 @@ def q_arma_loglik(t):
     return s.select("asset_tag", "n", F.round(ST.ols_loglik(n, sse), 3).alias("loglik"))
 
 
+# One Fisher-scoring step at fixed parameters: omega 0.05 h0, alpha 0.1, beta 0.85.
+_GRAD = {"d1": "1 + 0.85 * r.d1", "d2": "r.e * r.e + 0.85 * r.d2", "d3": "r.h + 0.85 * r.d3"}
+_TRI = [(i, j) for i in (1, 2, 3) for j in range(1, i + 1)]
+
+
+def _det(m) -> str:
+    return (f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})"
+            f"+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))")
+
+
+_INFO = [[f"i{max(a, b)}{min(a, b)}" for b in (1, 2, 3)] for a in (1, 2, 3)]
+_CRAMER = [_det([[f"s{a + 1}" if b == k else _INFO[a][b] for b in range(3)] for a in range(3)]) for k in range(3)]
+
+
+@register("garch_step", ops="H4 (score, information and one step)",
+          sql=f"""WITH RECURSIVE st AS (SELECT asset_tag, var_samp(e) AS h0, count(*) AS n FROM gresid GROUP BY asset_tag),
+r AS (
+  SELECT g.asset_tag, g.t, st.h0 AS h, g.e, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS d2, 0.0::DOUBLE AS d3,
+         -0.5 * ({repr(ST.LN_2PI)} + ln(st.h0) + g.e * g.e / st.h0) AS ll,
+         {', '.join(f'0.0::DOUBLE AS s{i}' for i in (1, 2, 3))}, {', '.join(f'0.0::DOUBLE AS i{i}{j}' for i, j in _TRI)}
+  FROM gresid g JOIN st USING (asset_tag) WHERE g.t = 1
+  UNION ALL
+  SELECT g.asset_tag, g.t, x.h, g.e, x.d1, x.d2, x.d3,
+         r.ll - 0.5 * ({repr(ST.LN_2PI)} + ln(x.h) + g.e * g.e / x.h),
+         {', '.join(f'r.s{i} + 0.5 * (g.e * g.e / x.h - 1) * x.d{i} / x.h' for i in (1, 2, 3))},
+         {', '.join(f'r.i{i}{j} + 0.5 * x.d{i} * x.d{j} / (x.h * x.h)' for i, j in _TRI)}
+  FROM r JOIN gresid g ON g.asset_tag = r.asset_tag AND g.t = r.t + 1 JOIN st ON st.asset_tag = r.asset_tag,
+  LATERAL (SELECT 0.05 * st.h0 + 0.1 * r.e * r.e + 0.85 * r.h AS h, {', '.join(f'{v} AS {k}' for k, v in _GRAD.items())}) x)
+SELECT r.asset_tag, ll AS loglik, s2 AS score_alpha, s3 AS score_beta,
+       0.05 * h0 + {_CRAMER[0]} / {_det(_INFO)} AS omega, 0.1 + {_CRAMER[1]} / {_det(_INFO)} AS alpha,
+       0.85 + {_CRAMER[2]} / {_det(_INFO)} AS beta
+FROM r JOIN st ON st.asset_tag = r.asset_tag AND st.n = r.t""",
+          ctes=("gresid",), rnd=("loglik", "score_alpha", "score_beta", "omega", "alpha", "beta"), dates=())
+def q_garch_step(t):
+    s = VM.series_arrays(VM.residual_series(features(t)))
+    at = F.array(F.col("h0") * 0.05, F.lit(0.1), F.lit(0.85))
+    step = s.select("asset_tag", NW.one_step("garch", F.col("y"), F.col("h0"), at).alias("v"))
+    return step.select("asset_tag", F.col("v.ll").alias("loglik"), F.get("v.s", F.lit(1)).alias("score_alpha"),
+                       F.get("v.s", F.lit(2)).alias("score_beta"),
+                       *[F.get("v.to", F.lit(i)).alias(c) for i, c in enumerate(NW.NAMES["garch"])])
+
+
+def _newton(model):
+    def run(t):
+        return NW.newton_fit(VM.series_arrays(VM.residual_series(features(t))), model)
+    return run
+
+
+for _model, _op in (("garch", "H4"), ("egarch", "H5"), ("tgarch", "H6")):
+    register(f"{_model}_newton", ops=f"{_op} (estimates with standard errors)")(_newton(_model))
+
+
+@register("arma_exact_loglik", ops="H3 (exact likelihood at fixed parameters)",
+          sql=f"""WITH RECURSIVE r AS (
+  SELECT asset_tag, t, 0.3 * e + 0.2 * e / x.r AS hat, x.r AS r, e * e / x.r AS ss, ln(x.r) AS lr
+  FROM gresid, LATERAL (SELECT (1 + 2 * 0.3 * 0.2 + 0.2 * 0.2) / (1 - 0.3 * 0.3) AS r) x WHERE t = 1
+  UNION ALL
+  SELECT g.asset_tag, g.t, 0.3 * g.e + 0.2 * (g.e - r.hat) / x.r, x.r, r.ss + (g.e - r.hat) * (g.e - r.hat) / x.r,
+         r.lr + ln(x.r)
+  FROM r JOIN gresid g ON g.asset_tag = r.asset_tag AND g.t = r.t + 1,
+  LATERAL (SELECT 1 + 0.2 * 0.2 - 0.2 * 0.2 / r.r AS r) x)
+SELECT asset_tag, max(t) AS n, arg_max(ss, t) / max(t) AS sigma2,
+       -0.5 * (max(t) * ({repr(ST.LN_2PI)} + ln(arg_max(ss, t) / max(t)) + 1) + arg_max(lr, t)) AS loglik
+FROM r GROUP BY asset_tag""",
+          ctes=("gresid",), rnd=("sigma2", "loglik"), dates=())
+def q_arma_exact(t):
+    s = VM.series_arrays(VM.residual_series(features(t)))
+    v = s.select("asset_tag", "n", NW.arma_exact(F.col("y"), F.lit(0.3), F.lit(0.2)).alias("v"))
+    return v.select("asset_tag", "n", "v.sigma2", F.col("v.ll").alias("loglik"))
+
+
+@register("arma_exact_fit", ops="H3 (exact maximum likelihood)")
+def q_arma_exact_fit(t):
+    return NW.arma_exact_fit(VM.series_arrays(VM.residual_series(features(t))))
+
+
 @register("persistence_series", ops="H20",
           sql="SELECT trading_session, asset_tag, realized_vol_22d, sentiment_persistence_3d FROM features",
           ctes=("features",), rnd=("realized_vol_22d", "sentiment_persistence_3d"))
