@@ -5,7 +5,7 @@ at its first failing rule and does not evaluate the later ones, so the order
 decides the cost and never the verdict.  The order comes from a sample: each
 rule's cost per document and share of rejections are measured there, and
 rules run by rejections per second, highest first.  The sample
-(``SAMPLE_BYTES`` of every input partition) only orders rules; every document is judged on its
+(``SAMPLE_BYTES`` of ``SAMPLE_PARTS`` partitions) only orders rules; every document is judged on its
 whole text.
 
 Defined cases: a null or empty text has no words and is rejected (too few
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import pick, quoted
 
-SAMPLE_BYTES = 1 << 18   # of each input partition, for the order of the rules
+SAMPLE_BYTES, SAMPLE_PARTS = 1 << 18, 64   # texts of each of these input partitions order the rules
 U = np.uint64
 
 SYMBOL = np.zeros(256, dtype=bool)
@@ -165,34 +165,38 @@ def verdict(view: View, rules: tuple[Rule, ...]) -> np.ndarray:
     return kept
 
 
-def order_rules(docs: DataFrame, text_col: str, rules: tuple[Rule, ...],
-                sample_bytes: int = SAMPLE_BYTES) -> tuple[Rule, ...]:
+def order_rules(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], sample_bytes: int = SAMPLE_BYTES,
+                sample_parts: int = SAMPLE_PARTS) -> tuple[Rule, ...]:
     """Rules by rejections per second on a sample: the first ``sample_bytes`` of
-    texts (one document at least) of every input partition, so of every part of
-    the table.  Tasks time each rule on a fresh view, so a rule pays for the
-    statistics that it needs; only sums reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, cost, rejected = sample_bytes, [0.0] * len(rules), [0] * len(rules)
-        for batch in batches:
-            data, at = W.text_buffer(batch.column("text"))
-            for _, _, part, off in W.slices(data, at, max(1, sample_bytes // 4)):
-                for i, rule in enumerate(rules):
-                    t0 = time.perf_counter()
-                    rejected[i] += int(rule.fails(View(part, off)).sum())
-                    cost[i] += time.perf_counter() - t0
-                left -= len(part) + 1
-                if left <= 0:
-                    break
-            if left <= 0:
+    texts (one document at least) of up to ``sample_parts`` input partitions,
+    evenly over the table.  Only those partitions are opened, and reading stops
+    when the sample is full.  Tasks time each rule on a fresh view, so a rule
+    pays for the statistics that it needs; only sums reach the driver."""
+
+    def timed(rows):
+        texts, size = [], 0
+        for (text,) in rows:
+            texts.append(text)
+            size += len(text or "") + 1
+            if size >= sample_bytes:
                 break
-        yield pa.record_batch([pa.array(range(len(rules)), pa.int32()), pa.array(cost), pa.array(rejected, pa.int64())],
-                              names=["rule", "seconds", "rejected"])
-
-    sample = docs.select(quoted(text_col).alias("text")).mapInArrow(run, "rule int, seconds double, rejected long")
-    sums = sample.groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r")).collect()
-    rate = {x.rule: (x.r + 0.5) / (x.s + 1e-9) for x in sums}
-    return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (-rate.get(i, 0.0), rules[i].name)))
+        cost, rejected = [0.0] * len(rules), [0] * len(rules)
+        data, at = W.text_buffer(pa.array(texts, pa.string()))
+        for _, _, part, off in W.slices(data, at):
+            for i, rule in enumerate(rules):
+                t0 = time.perf_counter()
+                rejected[i] += int(rule.fails(View(part, off)).sum())
+                cost[i] += time.perf_counter() - t0
+        return [(cost, rejected)]
+
+    # the one thing a DataFrame does not offer: a few partitions, and no more of them than is needed
+    rows = docs.select(quoted(text_col)).rdd
+    n = rows.getNumPartitions()
+    some = sorted({i * n // min(n, sample_parts) for i in range(min(n, sample_parts))})
+    sums = docs.sparkSession.sparkContext.runJob(rows, timed, some)
+    cost, rejected = ([sum(part[j][i] for part in sums) for i in range(len(rules))] for j in (0, 1))
+    rate = [(r + 0.5) / (c + 1e-9) for r, c in zip(rejected, cost)]
+    return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (-rate[i], rules[i].name)))
 
 
 STATS_SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
