@@ -277,8 +277,9 @@ def simhash_keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     side = keep.select(F.col("id").alias(i), F.col("tie").alias(t))
     rows = docs.join(side, quoted(id_col).cast("long").eqNullSafe(F.col(i))
                      & (F.xxhash64(quoted(text_col)) == F.col(t)), "left_semi")
-    again = prints.join(keep.withColumnRenamed("id", "kept_id"), ["tie"], "left_semi") \
-        .groupBy("id", "tie").count().where("count > 1")
+    # rows equal in id and text, counted before anything is joined by text
+    again = prints.groupBy("id", "tie").count().where("count > 1").select(F.col("id").alias(i), F.col("tie").alias(t)) \
+        .join(keep, F.col(i).eqNullSafe(F.col("id")) & (F.col(t) == F.col("tie")), "left_semi")
     return rows if again.isEmpty() else rows.dropDuplicates([id_col, text_col])
 
 
