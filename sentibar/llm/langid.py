@@ -10,7 +10,8 @@ language with the shortest code wins.
 
 Counts cover all training documents: a task counts its grams with sorted
 arrays and one shuffle adds them up.  A model has at most 2**24 grams a
-language (all three-byte strings), which bounds what is broadcast.
+language (all three-byte strings); where the tables of all languages pass
+``MODEL_BYTES``, texts are scored by one group of languages after the other.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0,
 as is every text if nothing could be learned; equal code lengths go to the
@@ -22,17 +23,20 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import pick, read
+from .common import pick, read, saved
 
 ORDER = 2
 START = 10                      # texts are taken to follow two newlines
+MODEL_BYTES = 256 << 20        # code-length tables that are broadcast at a time
 HELD = 8 << 20                  # distinct grams held by a task before it writes them
 
 ASCII_LETTER = np.zeros(256, bool)
@@ -96,18 +100,19 @@ class Model:
     """Frozen code lengths: ``bits[lang][two before, one before, byte]`` over the
     classes of bytes seen in training and one class for all others."""
 
-    def __init__(self, grams: list[tuple[str, int, int]]):
-        self.langs = sorted({lang for lang, _, _ in grams})
-        seen = sorted({b for _, g, _ in grams for b in (g >> 16, g >> 8 & 255, g & 255)})
+    def __init__(self, langs: list[str], seen: list[int], grams: pa.Table):
+        self.langs = langs
         self.of_byte = np.full(256, len(seen), np.int32)
         self.of_byte[seen] = np.arange(len(seen))
         m = self.size = len(seen) + 1
-        self.bits = np.empty((len(self.langs), m * m * m), np.float32)
-        for i, lang in enumerate(self.langs):
-            n3 = np.zeros((m, m, m))
-            rows = np.array([(g, n) for name, g, n in grams if name == lang], np.int64)
-            g = rows[:, 0]
-            n3[self.of_byte[g >> 16], self.of_byte[g >> 8 & 255], self.of_byte[g & 255]] = rows[:, 1]
+        self.bits = np.empty((len(langs), m * m * m), np.float32)
+        names = grams.column("lang").combine_chunks().dictionary_encode()
+        which = names.indices.to_numpy()
+        gram, count = grams.column("gram").to_numpy(), grams.column("n").to_numpy()
+        for i, lang in enumerate(langs):
+            own = which == names.dictionary.to_pylist().index(lang)
+            g, n3 = gram[own], np.zeros((m, m, m))
+            n3[self.of_byte[g >> 16], self.of_byte[g >> 8 & 255], self.of_byte[g & 255]] = count[own]
             p = np.full(m, 1 / 256)
             for n in (n3.sum((0, 1)), n3.sum(0), n3):
                 p = self.blend(n, p)
@@ -141,36 +146,83 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model of every row with a language."""
+@dataclass(frozen=True)
+class Trained:
+    """Stored counts of all languages.  Code-length tables are made from them for
+    as many languages at a time as ``model_bytes`` hold."""
+
+    counts: DataFrame
+    langs: list[str]
+    seen: list[int]
+    model_bytes: int
+
+    def groups(self) -> list[list[str]]:
+        each = max(1, self.model_bytes // (4 * (len(self.seen) + 1) ** 3))
+        return [self.langs[i:i + each] for i in range(0, len(self.langs), each)]
+
+    def model(self, langs: list[str]) -> Model:
+        """The tables of some languages (at most 2**24 grams each, as Arrow columns)."""
+        return Model(langs, self.seen, self.counts.where(F.col("lang").isin(langs)).toArrow())
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", model_bytes: int = MODEL_BYTES) -> Trained:
+    """Statistics of every row with a language."""
     rows = pick(docs, lang=lang_col, text=text_col).where("lang IS NOT NULL AND text IS NOT NULL")
-    return Model([tuple(r) for r in gram_counts(rows).collect()])
+    counts = saved(gram_counts(rows), "lang-counts")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    bytes_of = F.explode(F.expr("CAST(array(shiftright(gram, 16), shiftright(gram, 8) & 255, gram & 255) AS ARRAY<INT>)"))
+    seen = sorted(r[0] for r in counts.select(bytes_of.alias("b")).distinct().collect())   # 256 at most
+    return Trained(counts, langs, seen, model_bytes)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)``; the score is the share of the winner among
-    the languages' probabilities of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+STATE = "id long, text string, known boolean, best double, lang string, mass double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = pa.array([*m.langs, "und"])
-        for batch in batches:
-            col = batch.column("text")
-            data, at = W.text_buffer(col)
-            for lo, hi, part, off in W.slices(data, at):
-                best, score = np.full(hi - lo, len(m.langs)), np.zeros(hi - lo)
-                if m.langs:
+
+def predict(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, lang_pred, score)``; the score is the share of the winner among
+    the languages' probabilities of the text.
+
+    One pass for each group of languages carries a text's shortest code, its
+    language, and the sum of all probabilities over the winner's.  Of several
+    groups each pass is written and its broadcast destroyed before the next."""
+    sc = docs.sparkSession.sparkContext
+    src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    state = src.selectExpr("id", "text", "CAST(NULL AS BOOLEAN) AS known", "CAST('Infinity' AS DOUBLE) AS best",
+                           "CAST(NULL AS STRING) AS lang", "0D AS mass")
+    groups = trained.groups()
+    for g, langs in enumerate(groups):
+        sent = sc.broadcast(trained.model(langs))
+        last = g == len(groups) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            names = pa.array(m.langs)
+            for batch in batches:
+                col = batch.column("text")
+                data, at = W.text_buffer(col)
+                best, mass = batch.column("best").to_numpy(), batch.column("mass").to_numpy()
+                for lo, hi, part, off in W.slices(data, at):
                     bits = m.code_lengths(part, off)
-                    known = has_letter(part, off)
-                    win = bits.argmin(1)
-                    share = 1 / np.exp2(np.minimum(0, bits.min(1)[:, None] - bits)).sum(1)
-                    best[known], score[known] = win[known], share[known]
-                yield pa.record_batch([batch.column("id").slice(lo, hi - lo), names.take(pa.array(best)),
-                                       pa.array(score)], names=["id", "lang_pred", "score"])
-
-    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    return src.mapInArrow(run, "id long, lang_pred string, score double")
+                    own, old = bits.min(1), best[lo:hi]
+                    least = np.minimum(own, old)
+                    total = np.exp2(np.minimum(0, least[:, None] - bits)).sum(1)
+                    with np.errstate(invalid="ignore"):
+                        before = np.where(np.isinf(old), 0, mass[lo:hi] * np.exp2(least - old))
+                    wins = pa.array(own < old)
+                    lang = pc.if_else(wins, names.take(pa.array(bits.argmin(1))),
+                                      batch.column("lang").slice(lo, hi - lo))
+                    text = pa.nulls(hi - lo, pa.string()) if last else col.slice(lo, hi - lo)
+                    yield pa.record_batch([batch.column("id").slice(lo, hi - lo), text, pa.array(has_letter(part, off)),
+                                           pa.array(least), lang, pa.array(total + before)],
+                                          names=[c.split()[0] for c in STATE.split(", ")])
+
+        state = state.mapInArrow(run, STATE)
+        if len(groups) > 1:
+            state = saved(state, "lang-pass")
+            sent.destroy()
+    found = F.col("known") & F.col("lang").isNotNull()
+    return state.select("id", F.when(found, F.col("lang")).otherwise("und").alias("lang_pred"),
+                        F.when(found, 1 / F.col("mass")).otherwise(0.0).alias("score"))
 
 
 def fold(col, n: int = 5):

@@ -43,7 +43,8 @@ def plain_model(texts):
 def test_code_lengths_are_those_of_the_context_trees(spark):
     train = {"x": ["abab abba baab", "é ab", "ab\n"], "y": ["cdcd dcdc", "", "cab"]}
     df = spark.createDataFrame([(k, t) for k, v in train.items() for t in v], "lang string, text string")
-    model = L.train(df)
+    trained = L.train(df)
+    model = trained.model(trained.langs)
     texts = ["abba", "", "cdc", "zé\U0001f600", "a", "ab", "b" * 300]
     import pyarrow as pa
 
@@ -78,6 +79,21 @@ def test_odd_rows(spark):
     assert L.predict(df.limit(0), L.train(df)).count() == 0
 
 
+def test_groups_of_languages_give_the_same(spark):
+    rows = [("en", "hello there world"), ("es", "hola que tal mundo"), ("de", "guten tag welt"), ("it", "ciao bella gente"),
+            ("xx", "hello there world")]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows * 2)], "doc_id long, lang string, text string")
+    odd = df.union(df.selectExpr("doc_id", "lang", "'123' AS text")).union(df.selectExpr("doc_id", "lang", "NULL AS text"))
+
+    def result(trained):
+        return sorted((r.id, r.lang_pred, round(r.score, 9)) for r in L.predict(odd, trained).collect())
+    whole, parts = L.train(df), L.train(df, model_bytes=1)
+    assert len(whole.groups()) == 1 and len(parts.groups()) == 5
+    got = result(whole)
+    assert got == result(parts)
+    assert {p for i, p, _ in got if i in (0, 4)} == {"en", "und"}         # equal codes: the first name
+
+
 def test_fold_is_crc32_of_the_id_as_text(spark):
     got = spark.range(50).select("id", L.fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
