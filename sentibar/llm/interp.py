@@ -38,6 +38,7 @@ from .langid import fold
 
 U = np.uint64
 BATCH_BYTES = 6 << 20
+SHARD_BYTES = 64 << 20      # text whose keys meet in two shards, at most
 END = U(0xE17A1465B9C4D3F1)       # the end token, and the context before a text
 BUCKETS = 64
 GRID = 8                          # steps per factor of two in the EM histogram
@@ -165,7 +166,8 @@ def corpus_counts(batches: DataFrame) -> DataFrame:
     """For every batch, order and shard the totals of the batch's keys:
     ``(batch, ngram, shard, n, counts)``; and a row with batch -1 a shard with
     its training tokens and distinct words (order 1) as two longs."""
-    parts = parts_for(batches)
+    # a shard of an order is held by one task: their number follows the text
+    parts = max(parts_for(batches), -(-batches.count() * BATCH_BYTES // SHARD_BYTES))
     bits = shard_bits(parts)
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
