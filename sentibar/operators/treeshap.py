@@ -13,7 +13,9 @@ each latter.  That is the sum over all 2**p subsets, at the cost of one pass
 over the leaves of a row: nothing grows with 2**p.
 
 Models come as their node tables (as ``pyspark.ml`` saves them), so all series
-are one plan: rows meet the leaves of their series, and the contributions are
+are one plan.  The leaves of bounded ensembles go to every task, which works
+them off one feature at a time for a slice of rows at once; beyond that bound
+rows meet the leaves of their series in a join, and the contributions are
 partially aggregated per row before any shuffle.
 """
 
@@ -21,13 +23,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import replace_table, scratch_path
-from .joins import broadcast_if_bounded
+from ..sources.tables import spread
 
 INF = float("inf")
+BOX_BYTES = 40          # a feature's interval in a leaf
 #: Spark's trees are at most 30 deep, so a path holds at most 30 features.
 FACTORIAL = [float(math.factorial(i)) for i in range(32)]
 
@@ -92,6 +97,50 @@ def point(cols) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])
 
 
+def gathered(boxes: DataFrame, group: str) -> dict:
+    """Per series the leaves' values and, per feature, the leaves that ask for it
+    with interval and whether it holds the baseline."""
+    out = {}
+    for g, part in boxes.toPandas().groupby(group, sort=False):
+        held: dict = {}
+        for leaf, box in enumerate(part["box"]):
+            for p in box:
+                held.setdefault(p["feature"], []).append((leaf, p["low"], p["high"], p["base"]))
+        sides = {f: (np.array([h[0] for h in one]), np.array([h[1] for h in one], float),
+                     np.array([h[2] for h in one], float), np.array([h[3] for h in one], bool))
+                 for f, one in held.items()}
+        out[g] = part["value"].to_numpy(float), sides
+    return out
+
+
+def row_shapley(x: np.ndarray, value: np.ndarray, sides: dict, cells: int = 1 << 20) -> np.ndarray:
+    """Contributions of the features (columns) to each row of ``x``."""
+    out = np.zeros(x.shape)
+    n = np.arange(len(FACTORIAL))
+    fact = np.array(FACTORIAL)
+    both = np.array(FACTORIAL + [INF] * len(FACTORIAL))[n[:, None] + n]
+    gives = fact[np.maximum(n - 1, 0)][:, None] * fact / both
+    takes = fact[:, None] * fact[np.maximum(n - 1, 0)] / both
+    step = max(1, cells // max(1, len(value)))
+    for lo in range(0, len(x), step):
+        part = x[lo:lo + step]
+        shape = (len(part), len(value))
+        a, c, dead, kinds = np.zeros(shape, np.int8), np.zeros(shape, np.int8), np.zeros(shape, bool), []
+        for f, (leaf, low, high, base) in sides.items():
+            v = part[:, f, None]
+            inside = ((low == -INF) | (v > low) | np.isnan(v)) & ((high == INF) | (v <= high))
+            row, mean = inside & ~base, ~inside & base
+            a[:, leaf] += row
+            c[:, leaf] += mean
+            dead[:, leaf] |= ~inside & ~base
+            kinds.append((f, leaf, row, mean))
+        reached = np.where(dead, 0.0, value)
+        up, down = reached * gives[a, c], reached * takes[a, c]
+        for f, leaf, row, mean in kinds:
+            out[lo:lo + step, f] = np.where(row, up[:, leaf], 0.0).sum(axis=1) - np.where(mean, down[:, leaf], 0.0).sum(axis=1)
+    return out
+
+
 def tree_shapley(frame: DataFrame, nodes: DataFrame, cols, group: str = "asset_tag",
                  key: str = "trading_session", max_bytes: int = 64 << 20) -> DataFrame:
     """``(group, key, feature, value, shap)`` for the test rows of every series in
@@ -104,8 +153,24 @@ def tree_shapley(frame: DataFrame, nodes: DataFrame, cols, group: str = "asset_t
                  p["feature"].alias("feature"), p["low"].alias("low"), p["high"].alias("high"),
                  within(F.get(F.col("_b"), p["feature"]), p).alias("base"))).alias("box")))
     boxes = replace_table(boxes, scratch_path(frame.sparkSession, "leaf-boxes"))
-    side = broadcast_if_bounded(boxes, max_bytes, boxes.count() * 30)
     test = frame.where("split = 'test'").select(group, key, *cols).withColumn("_x", point(cols))
+    if (boxes.agg(F.sum(F.size("box"))).first()[0] or 0) * BOX_BYTES <= max_bytes:
+        leaves = frame.sparkSession.sparkContext.broadcast(gathered(boxes, group))
+
+        @F.pandas_udf("array<double>")
+        def shapley(g: pd.Series, x: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(g), dtype=object)
+            for name, at in g.groupby(g, sort=False).indices.items():
+                for i, one in zip(at, row_shapley(np.stack(x.iloc[at].to_list()), *leaves.value[name])):
+                    out.iloc[i] = one
+            return out
+
+        known = spread(test.join(boxes.select(group).distinct(), group, "left_semi"))
+        every = F.explode(F.transform(F.col("_s"), lambda s, i: F.struct(
+            F.get(F.array(*[F.lit(c) for c in cols]), i).alias("feature"),
+            F.get(F.array(*[F.col(c).cast("double") for c in cols]), i).alias("value"), s.alias("shap"))))
+        return known.withColumn("_s", shapley(group, "_x")).select(group, key, every.alias("_f")).select(group, key, "_f.*")
+    side = boxes
     kinds = F.transform("box", lambda p: F.struct(
         p["feature"].alias("feature"),
         F.when(within(F.get(F.col("_x"), p["feature"]), p), F.when(p["base"], 0).otherwise(1))
