@@ -32,8 +32,14 @@ def features(t):
     return FE.build_features(FX.bars_from_lineitem(t.lineitem), FX.news_from_orders(t.orders))
 
 
+def stored_features(t):
+    """The feature table of the model fits: every fit reads it again and again, so
+    the bars and the news are rolled up once."""
+    return stored_table(t, "features", lambda: features(t))
+
+
 def with_residual(t):
-    f = features(t)
+    f = stored_features(t)
     r = VM.residual_series(f).select("asset_tag", "trading_session", F.col("e").alias("garch_residual"))
     return K.keyed_update(f, r, ["asset_tag", "trading_session"], ["garch_residual"])
 
@@ -68,16 +74,16 @@ def _store_path(t, name: str) -> str:
 
 def ml_predictions(t):
     """Hold-out rows with the six tree predictions."""
-    return stored_bucketed(t, "ml_predictions", lambda: ML.feature_set_compare(features(t))[1])
+    return stored_bucketed(t, "ml_predictions", lambda: ML.feature_set_compare(stored_features(t))[1])
 
 
 def dl_predictions(t):
     """Hold-out rows with the base and hybrid look-back predictions."""
     def build():
         key = ["asset_tag", "trading_session"]
-        base = ML.lookback_regression(features(t), FV.FEATURES_BASELINE, name="lookback_base")
+        base = ML.lookback_regression(stored_features(t), FV.FEATURES_BASELINE, name="lookback_base")
         hybrid = ML.lookback_regression(with_residual(t), FV.FEATURES_HYBRID, name="lookback_hybrid")
-        close = features(t).select(*key, "close")
+        close = stored_features(t).select(*key, "close")
         return (base.join(hybrid.drop("realized_vol_22d"), key).join(close, key)
                 .select("trading_session", "asset_tag", "close", "realized_vol_22d",
                         "lookback_base_pred", "lookback_hybrid_pred"))
@@ -148,7 +154,7 @@ def attribution_rows(t):
     """Exact attributions of the boosted trees, one row per hold-out row and feature."""
     def build():
         cols = FV.FEATURES_GEMMA
-        frame = ML.stored(ML.model_frame(features(t), cols), "attribution-frame")
+        frame = ML.stored(ML.model_frame(stored_features(t), cols), "attribution-frame")
         _, models = ML.fit_predict(frame, cols, ML.boosted, "xgb_pred_gemma")
         nodes = None
         for a, m in models.items():
@@ -192,7 +198,7 @@ def q_forward(t):
     row; volatility comes from the hybrid look-back model, falling back to
     realized volatility where it has no prediction."""
     cols = FV.FEATURES_FORWARD
-    f = B.forward_return(features(t), FV.FORWARD_HORIZON)
+    f = B.forward_return(stored_features(t), FV.FORWARD_HORIZON)
     latest = B.top_n_per_group(f, ["asset_tag"], [F.col("trading_session").desc()], 1)
     train = (f.dropna(subset=["target_return_5d", *cols])
              .withColumn("split", F.lit("train")))
@@ -262,7 +268,7 @@ def recurrent_predictions(t):
     """Hold-out rows with the recurrent model on the base and the hybrid features."""
     def build():
         key = ["asset_tag", "trading_session"]
-        base = RC.recurrent_regression(features(t), FV.FEATURES_BASELINE, name="recurrent_base")
+        base = RC.recurrent_regression(stored_features(t), FV.FEATURES_BASELINE, name="recurrent_base")
         hybrid = RC.recurrent_regression(with_residual(t), FV.FEATURES_HYBRID, name="recurrent_hybrid")
         return base.join(hybrid.drop("realized_vol_22d"), key)
     return stored_table(t, "recurrent_predictions", build)
