@@ -177,12 +177,9 @@ def lookback_regression(features: DataFrame, cols, target: str = "realized_vol_2
     targets, predictions inverse-transformed on test targets."""
     frame = model_frame(features, cols, target, group)
     z = standardize(frame, list(cols) + [target], group=group, fit_on=fit_on)
-    seq = lookback_sequences(z.withColumn("_split", F.col("split")),
-                             [f"{c}_z" for c in cols] + ["_split"], f"{target}_z",
-                             seq_len, min_rows, group)
     # Train/test is decided by the target row's split.
-    seq = seq.join(z.select(group, "trading_session", "split", target, f"_m_{target}",
-                            f"_s_{target}"), [group, "trading_session"])
+    seq = lookback_sequences(z, [f"{c}_z" for c in cols], f"{target}_z", seq_len, min_rows, group,
+                             keep=["split", target, f"_m_{target}", f"_s_{target}"])
     flat = F.flatten(F.transform("seq", lambda s: F.array(*[s[f"{c}_z"] for c in cols])))
     data = seq.select(group, "trading_session", "split", target, f"_m_{target}", f"_s_{target}",
                       F.col("y").alias("label"), flat.alias("_flat"))

@@ -56,10 +56,8 @@ def recurrent_regression(features: DataFrame, cols, target: str = "realized_vol_
     cols = list(cols)
     frame = model_frame(features, cols, target, group)
     z = standardize(frame, [*cols, target], group=group, fit_on=fit_on)
-    seq = lookback_sequences(z.withColumn("_split", F.col("split")), [*[f"{c}_z" for c in cols], "_split"], f"{target}_z",
-                             seq_len, min_rows, group)
-    seq = seq.join(z.select(group, "trading_session", "split", target, f"_m_{target}", f"_s_{target}"),
-                   [group, "trading_session"])
+    seq = lookback_sequences(z, [f"{c}_z" for c in cols], f"{target}_z", seq_len, min_rows, group,
+                             keep=["split", target, f"_m_{target}", f"_s_{target}"])
     vectors = F.transform("seq", lambda s: F.array(*[s[f"{c}_z"] for c in cols]))
     rows = seq.withColumn("_v", vectors).withColumn("x", F.concat(
         F.array(F.lit(1.0)), echo_state(F.col("_v"), len(cols), units), F.try_element_at("_v", F.lit(-1))))

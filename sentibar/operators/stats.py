@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as FV
 
 LN_2PI = math.log(2 * math.pi)
+SEQ_BLOCK = 512           # rows of a series whose look-back sequences one group makes
 
 
 def ols_loglik(n: Column, ssr: Column) -> Column:
@@ -115,18 +116,28 @@ def unstandardize(z: Column, mean: Column, std: Column) -> Column:
 
 def lookback_sequences(df: DataFrame, cols, target: str, seq_len: int = FV.SEQ_LEN,
                        min_rows: int = FV.MIN_SEQ_ROWS, group: str = "asset_tag",
-                       order: str = "trading_session") -> DataFrame:
+                       order: str = "trading_session", keep=(), block: int = SEQ_BLOCK) -> DataFrame:
     """For each row with ``seq_len`` earlier rows, the array of those
-    rows' feature structs (oldest first) and the row's target.  Series with
-    fewer than ``min_rows`` rows are skipped."""
-    w = Window.partitionBy(group).orderBy(order)
-    frame = w.rowsBetween(-seq_len, -1)
+    rows' feature structs (oldest first) and the row's target, with the columns
+    ``keep``.  Series with fewer than ``min_rows`` rows are skipped.
+
+    Only numbering the rows takes a series as a whole.  The sequences are made
+    in blocks of its rows: the last ``seq_len`` rows of a block go to the next
+    one, too, so no task holds the sequences of a series."""
+    block = max(block, seq_len)
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    seq = F.collect_list(F.struct(*[F.col(c) for c in cols])).over(frame)
-    return (df.join(counts, group).filter(F.col("_n") >= min_rows)
-            .withColumn("seq", seq)
-            .filter(F.size("seq") == seq_len)
-            .select(group, order, F.col(target).alias("y"), "seq"))
+    rows = df.select(group, order, F.col(target).alias("y"), F.struct(*[F.col(c) for c in cols]).alias("_f"), *keep)
+    rows = (rows.join(counts, group).filter(F.col("_n") >= min_rows)
+            .withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1))
+    own = F.floor(F.col("_at") / block)
+    rows = rows.withColumn("_block", F.explode(F.when(
+        F.col("_at") % block >= block - seq_len, F.array(own, own + 1)).otherwise(F.array(own))))
+    # a fixed count: short rows turn into long sequences, so merging partitions by their bytes leaves few tasks
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "_block")
+    w = Window.partitionBy(group, "_block").orderBy("_at").rowsBetween(-seq_len, -1)
+    return (rows.withColumn("seq", F.collect_list("_f").over(w))
+            .filter((F.size("seq") == seq_len) & (F.col("_block") == own))
+            .select(group, order, "y", "seq", *keep))
 
 
 def error_metrics(df: DataFrame, actual: str, pred: str, by) -> DataFrame:
