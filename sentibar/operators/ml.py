@@ -23,6 +23,8 @@ from ..functions.numeric import ensure_columns, sanitize
 from ..sources.io import replace_table, scratch_path
 from .stats import chrono_split, error_metrics, lookback_sequences, standardize, unstandardize
 
+TASK_ROWS = 50_000          # rows of a series that one task of a fit holds
+
 FEATURE_SETS = {"Baseline": FV.FEATURES_BASELINE, "FinBERT": FV.FEATURES_FINBERT,
                 "Gemma": FV.FEATURES_GEMMA}
 
@@ -63,6 +65,11 @@ def _assets(df: DataFrame, group: str) -> list:
     return [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
 
 
+def series_rows(df: DataFrame, group: str) -> dict:
+    """Rows of each series (a handful of keys), in order of the keys."""
+    return {r[0]: r["count"] for r in df.groupBy(group).count().orderBy(group).collect()}
+
+
 def fit_predict(frame: DataFrame, cols, estimator_factory, pred_col: str,
                 target: str = "realized_vol_22d", group: str = "asset_tag",
                 keys=("trading_session",), threads: int = 4):
@@ -71,17 +78,19 @@ def fit_predict(frame: DataFrame, cols, estimator_factory, pred_col: str,
     asm = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
     data = stored(asm.transform(frame).select(group, *keys, "split", "features", F.col(target).alias("label")),
                   "training")
-    assets = _assets(data, group)
+    rows = series_rows(data, group)
 
     def one(a):
         sub = data.filter(F.col(group) == a)
-        model = estimator_factory().fit(sub.filter(F.col("split") == "train"))
+        # A tree fit is thousands of short stages: each task answers the driver in every one of them.
+        tasks = max(1, math.ceil(rows[a] / TASK_ROWS))
+        model = estimator_factory().fit(sub.filter(F.col("split") == "train").coalesce(tasks))
         pred = (model.transform(sub.filter(F.col("split") == "test"))
                 .select(group, *keys, F.col("prediction").alias(pred_col)))
         return a, model, pred
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
-        results = list(ex.map(one, assets))
+        results = list(ex.map(one, rows))
     preds = None
     for _, _, p in results:
         preds = p if preds is None else preds.unionByName(p)
