@@ -31,12 +31,12 @@ extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -49,25 +49,59 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 0
 SEGMENT = 8 << 20
 BLOCK = 4096
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 2_000_000
+SLICE = 8 << 20                           # bytes of text cut into chunks at once
 START_BYTES, BROADCAST_BYTES = 64, 64 << 20     # a segment's start in a broadcast table, and its bound
 
 # ---------------------------------------------------------------- text to ids
 
-#: A space after one of these does not start a chunk (white space, controls).
-SOFT = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
-SOFT_SPACE = re.compile(f"[{SOFT}] ")
-BORDER = re.compile(f"(?<=[^{SOFT}])(?= )")
-
 _encoders: dict[str, "ChunkEncoder"] = {}
+HARD = np.zeros(256, bool)                # printable ASCII other than the space
+HARD[0x21:0x7F] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK = HARD & ~LETTER
+MARK[0x30:0x3A] = False                   # printable ASCII other than letters and digits
+CUTS = MARK.copy()
+CUTS[[0x20, 0x0A]] = True
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    """Places where the pre-tokenizer cuts whatever surrounds them: white space after
+    something else, a mark after a letter, and what follows a single line feed.
+
+    Non-ASCII characters count as something else unless they are white space,
+    controls or format characters; only Latin-1 letters among them count as letters."""
+    cut = np.zeros(len(data), bool)
+    at = np.flatnonzero(CUTS[data])
+    at = at[at > 0]
+    now, last = data[at], data[at - 1]
+    hard, letter = HARD[last], LETTER[last]
+    wide = np.flatnonzero(last >= 0x80)
+    if len(wide):
+        end = at[wide]
+        last, before, lead = data[end - 1], data[end - 2], data[end - 3]   # an index below 0 meets no such lead
+        soft = (before == 0xC2) & (last <= 0xA0)
+        soft |= (lead == 0xE1) & ((before == 0x9A) | (before == 0xA0))
+        soft |= (lead == 0xE2) & ((before == 0x81) | (before == 0x80) & ((last <= 0x8F) | (last >= 0xA8)))
+        soft |= (lead == 0xE3) & (before == 0x80) & (last == 0x80)
+        soft |= (lead == 0xEF) & (before == 0xBB)
+        hard[wide] = ~soft
+        letter[wide] = (before == 0xC3) & (last != 0x97) & (last != 0xB7)
+    space = now <= 0x20
+    ok = np.where(space, hard, letter)
+    cut[at[ok]] = True
+    feed = at[ok & (now == 0x0A)] + 1
+    feed = feed[feed < len(data)]
+    cut[feed[HARD[data[feed]]]] = True
+    return cut
 
 
 class ChunkEncoder:
     """Ids of texts by way of their distinct chunks.
 
-    The table has two generations of at most ``table_chunks`` entries: a full
-    young one becomes the old one, and chunks met again move back up, so
-    frequent chunks stay and memory is bounded."""
+    The table holds at most ``table_chunks`` entries, or those of one slice of
+    text; a full one starts again with the chunks at hand, so memory is bounded."""
 
     def __init__(self, path: str, table_chunks: int = TABLE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,34 +111,70 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this file take two bytes")
-        self.limit, self.young, self.old = table_chunks, {}, {}
-
-    def learn(self, chunks: set[str]) -> None:
-        young = self.young
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
-            young = self.young
-        old, new = self.old, []
-        for c in chunks - young.keys():
-            if c in old:
-                young[c] = old[c]
-            else:
-                new.append(c)
-        for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            young[c] = np.array(e.ids, "<u2").tobytes()
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if SOFT_SPACE.search(text):
-            return BORDER.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        self.n_bytes = np.zeros(1 << 16, np.int64)          # a byte-level token has one character a byte
+        for token, i in self.tok.get_vocab().items():
+            self.n_bytes[i] = len(token)
+        self.limit, self.known = table_chunks, pa.array([], pa.large_binary())
+        self.ids, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has.  Words after a space stay apart
+        when joined, so they go to the library by the hundred."""
+        plain = np.array([c[:1] == " " and c[1:].isalpha() for c in chunks], bool)
+        words, rest = [c for c, p in zip(chunks, plain) if p], [c for c, p in zip(chunks, plain) if not p]
+        texts = ["".join(words[i:i + 128]) for i in range(0, len(words), 128)]
+        coded = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(coded or [np.zeros(0, np.uint16)])
+        end = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+        covered = np.cumsum(self.n_bytes[ids])
+        last = np.searchsorted(covered, end)
+        if len(words) and (covered[-1] != end[-1] or (covered[last] != end).any()):
+            raise ValueError("the tokenizer joins words over a space")
+        own = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        size = np.zeros(len(chunks), np.int64)
+        size[plain], size[~plain] = np.diff(last, prepend=-1), [len(o) for o in own]
+        out = np.zeros(int(size.sum()), np.uint16)
+        of_words = np.repeat(plain, size)
+        out[of_words], out[~of_words] = ids, np.concatenate(own or [np.zeros(0, np.uint16)])
+        return out, size
+
+    def slice_ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``data[at[i]:at[i + 1]]`` (UTF-8), and how many each has."""
+        none = np.zeros(len(at) - 1, np.int64)
+        if at[-1] == at[0]:
+            return np.zeros(0, np.uint16), none
+        data = np.ascontiguousarray(data[at[0]:at[-1]])
+        at = at - at[0]
+        cut = borders(data)
+        cut[at[:-1][at[:-1] < len(data)]] = True
+        edge = np.append(np.flatnonzero(cut), len(data))
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edge) - 1, [
+            None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        number, distinct = chunks.indices.to_numpy(), chunks.dictionary
+        row = pc.index_in(distinct, value_set=self.known)
+        missing = row.is_null()
+        new = distinct.filter(missing)
+        row = row.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            ids, size = self.library(new.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist())
+            row[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate((self.ids, ids))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+        first, size = self.at[row][number], np.diff(self.at)[row][number]
+        total = np.concatenate(([0], np.cumsum(size)))
+        out = self.ids.take(np.repeat(first - total[:-1], size) + np.arange(total[-1]))
+        if len(self.known) > self.limit:
+            size = np.diff(self.at)[row]
+            total_row = np.concatenate(([0], np.cumsum(size)))
+            self.ids = self.ids.take(np.repeat(self.at[row] - total_row[:-1], size) + np.arange(total_row[-1]))
+            self.known, self.at = distinct, total_row
+        return out, np.diff(total[np.searchsorted(edge, at)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        self.learn(set().union(*cut))
-        table = self.young
-        return [b"".join([table[c] for c in one]) for one in cut]
+        data, at = W.text_buffer(pa.array(texts, pa.string()))
+        ids, size = self.slice_ids(data, at)
+        return [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(size)[:-1])]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -116,265 +186,282 @@ def encoder(path: str) -> ChunkEncoder:
 # ------------------------------------------------------------------ the coder
 
 ROUND = 128                               # ids that a block codes between two updates of its model
-REBUILD = 2                               # rounds between two sums of the order-0 counts
-ONE = 12                                  # bits of a probability in the first step
-GROUP = 6                                 # log2 of the ids in an order-0 group
-GROUPS = (1 << 16) >> GROUP
+ONE = 12                                  # bits of a probability of the contexts
+BITS = 16                                 # bits of a share of the interval
 SLOTS = 10                                # log2 of the slots of a context table
-GAIN, TOTAL_MAX = 24, 1 << 15
-KINDS = 128                               # order-2 confidence x order-0 class x order-1 confidence x agreement
-#: The interval is below 2**48 wide; words of 16 bits leave at its top.
-WIDTH, BOTTOM = 1 << 48, 1 << 32
+LEAST = 64                                # least share of an order-0 class
+PRIOR, GAIN, TOTAL_MAX = 512, 4, 1 << 13
+KINDS = 128                               # order-2 confidence x order-0 grade x order-1 confidence x agreement
+MOST2, MOST = 4000, 4032                  # most of 2**ONE that contexts take: every class keeps a share
+#: The interval is below 2**64 wide; words of 32 bits leave at its top.
+BOTTOM, WORD = np.uint64(1 << 32), np.uint64(32)
 
 _p = (np.arange(1 << ONE) + 0.5) / (1 << ONE)
-STRETCH = np.rint(256 * np.log(_p / (1 - _p))).astype(np.int64)
-SQUASH = np.clip(np.rint((1 << ONE) / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, (1 << ONE) - 2).astype(np.int64)
-#: Order-0 counts before the first id: small ids are frequent in merge order.
-PRIOR = (1 + 400 // (np.arange(GROUPS) + 4)).astype(np.int32)
+STRETCH = np.rint(256 * np.log(_p / (1 - _p))).astype(np.int32)
+SQUASH = np.clip(np.rint((1 << ONE) / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, MOST2).astype(np.int32)
 FIRST = (1 << 14, 1 << 13, 1 << 13, 1 << 12)  # 16-bit chances before the first round
 
 
-GAINED2 = np.array([1 << 21] * 3 + [0], np.int32)
-GAINED1 = np.array([1 << 17] * 3 + [0], np.int32)
+GAINED2, GAINED1 = np.int32(1 << 21), np.int32(1 << 17)     # a step of confidence, of four
+FULL2, FULL1 = 3 * GAINED2, 3 * GAINED1
+A2, A1, A0 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0x1234567)
+B1, B0, DOWN = np.uint32(0xC2B2AE3D), np.uint32(0x7654321), np.uint32(32 - SLOTS)
+
+
+def low_half(entries: np.ndarray) -> np.ndarray:
+    """The ids of entries (without a copy: numbers here are little-endian)."""
+    return entries.view("<u2")[..., ::2]
 
 
-def slot2(two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return ((two * 0x9E3779B1 + one * 0x85EBCA77 + 0x1234567) & 0xFFFFFFFF) >> (32 - SLOTS)
+def margins(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of a table over situations: by order-2 confidence, by order-0 grade,
+    by order-1 confidence and agreement."""
+    n = of.shape[-1]
+    pair = of.reshape(16, 8, n).sum(axis=1, dtype=np.int32).reshape(4, 4, n)
+    one = of.reshape(16, 8 * n).sum(axis=0, dtype=np.int32).reshape(4, 2, n)
+    return pair.sum(axis=1, dtype=np.int32), pair.sum(axis=0, dtype=np.int32), one
 
 
-def slot1(one: np.ndarray) -> np.ndarray:
-    return ((one * 0xC2B2AE3D + 0x7654321) & 0xFFFFFFFF) >> (32 - SLOTS)
+class Frequencies:
+    """Order 0 of a segment: ids in classes by the binary order of their number,
+    which is all that a file says of it (``level``, 0: not there)."""
+
+    def __init__(self, level: np.ndarray):
+        self.level = level
+        levels = np.unique(level[level > 0])
+        self.n = len(levels)
+        index = np.zeros(256, np.int64)
+        index[levels] = np.arange(self.n)
+        self.kind = index[level].astype(np.uint8)
+        there = np.flatnonzero(level)
+        self.members = there[np.argsort(level[there], kind="stable")].astype(np.int32)
+        self.size = np.bincount(self.kind[there], minlength=self.n)
+        self.first = np.cumsum(self.size) - self.size
+        self.place = np.zeros(1 << 16, np.int32)
+        self.place[self.members] = np.arange(len(there)) - np.repeat(self.first, self.size)
+        mass = self.size * 2.0 ** levels
+        self.prior = np.maximum(4, PRIOR * mass // max(1, mass.sum())).astype(np.int32)
+        rare = np.log2(max(1, mass.sum())) - level.astype(np.float64)
+        self.grade = (((rare < 13).astype(np.int32) + (rare < 10.5) + (rare < 8)) << 19) * (level > 0)
 
 
 class Models:
     """The models of ``n`` blocks, advanced side by side.
 
     A context table holds, per slot, the id that followed there last, how often
-    it did in a row (order 2, order 1) and the id's order-0 class (order 2).
+    it did in a row (order 2, order 1) and the id's order-0 grade (order 2).
     Within a round the models stand still, so what they say is one table: for
     every kind of situation the chance that order 2 is right, and the chance
-    that it or order 1 is."""
+    that it or order 1 is.  The rest of the interval goes to the order-0 classes
+    by adapted counts."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, zero: Frequencies):
+        self.n, self.zero = n, zero
         self.lane = np.arange(n, dtype=np.int64)
-        self.base, self.kind_base = self.lane << SLOTS, self.lane * KINDS
+        self.base, self.own = self.lane << SLOTS, self.lane.astype(np.int32)
         self.seen2, self.seen1 = np.zeros(n << SLOTS, np.int32), np.zeros(n << SLOTS, np.int32)
-        # 16-bit chances: order 2 right by its confidence, by the order-0 class, order 1 right by its confidence,
+        # 16-bit chances: order 2 right by its confidence, by the order-0 grade, order 1 right by its confidence,
         # and order 1 right though order 2 is not
-        self.right = [np.full((n, 4), p, np.int64) for p in FIRST]
-        self.weight = np.tile(np.array([28000, 12000, 24000], np.int64), (n, 1))
-        self.count = np.tile(PRIOR, (n, 1))
-        self.below = np.zeros((n, GROUPS + 1), np.int32)
-        self.round, self.coded = 0, []            # groups of the ids since the last sum
+        self.right = [np.full((4, n), p, np.int32) for p in FIRST]
+        self.weight = np.repeat(np.array([[28000], [12000], [24000]], np.int32), n, axis=1)
+        self.count = np.repeat(zero.prior[:, None], n, axis=1)
+        self.cum = np.zeros((zero.n + 1, n), np.int64)
+        self.even = LEAST * np.arange(zero.n + 1)[:, None]
 
     def begin_round(self) -> None:
-        if self.round % REBUILD == 0:
-            if self.coded:
-                size = self.n * GROUPS
-                self.count += GAIN * np.bincount(np.concatenate(self.coded), minlength=size) \
-                    .astype(np.int32).reshape(self.n, GROUPS)
-                self.coded = []
-            np.cumsum(self.count, axis=1, out=self.below[:, 1:])
-            heavy = self.below[:, -1] > TOTAL_MAX
-            if heavy.any():
-                self.count[heavy] = (self.count[heavy] + 1) >> 1
-                self.below[heavy, 1:] = np.cumsum(self.count[heavy], axis=1)
-            self.total = self.below[:, -1].astype(np.int64)
-            share = (self.count * 256) // self.total.astype(np.int32)[:, None]
-            self.grade = (((share > 0).astype(np.int32) + (share > 2) + (share > 10)) << 19).ravel()
-        self.round += 1
-        s2, s0, s1 = (STRETCH[r >> 4] for r in self.right[:3])
-        self.s2, self.s0 = s2[:, :, None, None, None], s0[:, None, :, None, None]
-        self.s1 = np.stack([np.minimum(-s1, 0), s1], axis=2)[:, None, None]          # disagree, agree
-        w = self.weight[:, :, None, None, None, None]
-        mixed = (w[:, 0] * self.s2 + w[:, 1] * self.s0 + w[:, 2] * self.s1) >> 16
-        self.a = SQUASH[np.clip(mixed, -2047, 2047) + 2047]                          # lanes x 4 x 4 x 4 x 2
-        b = ((((1 << ONE) - 1 - self.a) * self.right[3][:, None, None, :, None]) >> 16)
-        both = self.a + np.where(np.arange(2) == 1, 0, np.maximum(b, 1))
-        self.split = (self.a | (both << 16)).astype(np.int32).ravel()
+        np.cumsum(self.count, axis=0, out=self.cum[1:])
+        self.cum = self.cum * ((1 << BITS) - LEAST * self.zero.n) // self.cum[-1] + self.even
+        self.s2, self.s0, s1 = (STRETCH[r >> 4] for r in self.right[:3])
+        self.s1 = np.stack([np.minimum(-s1, 0), s1], axis=1)                         # disagree, agree
+        w2, w0, w1 = self.weight
+        mixed = (w2 * self.s2)[:, None] + w0 * self.s0
+        mixed = (mixed[:, :, None, None] + w1 * self.s1) >> 16
+        mixed += 2047
+        self.a = SQUASH.take(mixed, mode="clip")                                     # 4 x 4 x 4 x 2 x lanes
+        both = self.a.astype(np.int64)
+        both[..., 0, :] += np.maximum((MOST - self.a[..., 0, :]) * self.right[3] >> 16, 1)
+        self.split = ((both << 32 | self.a) << (BITS - ONE)).ravel()
 
     def look(self, two: np.ndarray, one: np.ndarray):
         """Slots, entries, situation and its split, for one or more steps."""
-        at2, at1 = self.base + slot2(two, one), self.base + slot1(one)
+        at2, at1 = self.base + ((two * A2 + one * A1 + A0) >> DOWN), self.base + ((one * B1 + B0) >> DOWN)
         e2, e1 = self.seen2.take(at2), self.seen1.take(at1)
-        kind = self.kind_base + (e2 >> 16) + (e1 >> 16) + (((e2 ^ e1) & 0xFFFF) == 0)
+        kind = (e2 >> 16) + (e1 >> 16)
+        kind += low_half(e2) == low_half(e1)
+        kind *= self.n
+        kind += self.own
         return at2, at1, e2, e1, kind, self.split.take(kind)
 
-    def learn(self, ids, at2, at1, e2, e1, kind, first, second) -> None:
+    def learn(self, ids, at2, at1, e2, e1, kind, first, second, row) -> None:
         """Update with a round's ids (steps x lanes)."""
-        size = self.n * KINDS
-        flat, agrees = kind.ravel(), (kind & 1) == 1
-        seen = np.bincount(flat, minlength=size).reshape(self.a.shape)
-        hit2 = np.bincount(flat[first.ravel()], minlength=size).reshape(self.a.shape)
-        hit1 = np.bincount(flat[second.ravel()], minlength=size).reshape(self.a.shape)
-        err = (hit2 << ONE) - seen * self.a
-        for i, s in enumerate((self.s2, self.s0, self.s1)):
-            self.weight[:, i] += (err * s).sum(axis=(1, 2, 3, 4)) >> 12
+        size = np.int32(self.n * KINDS)
+        told = np.bincount((kind + first * size + second * (2 * size)).ravel(), minlength=3 * size) \
+            .astype(np.int32).reshape(3, *self.a.shape)
+        hit2, hit1 = told[1], told[2]
+        seen = told[0] + hit2 + hit1
+        (err2, err0, err1), (of2, of0, of1) = margins((hit2 << ONE) - seen * self.a), margins(seen)
+        (h2, h0, h1), n1 = margins(hit2), margins(hit1)[2][:, 0]
+        for i, moved in enumerate(((err2 * self.s2).sum(axis=0), (err0 * self.s0).sum(axis=0),
+                                   (err1 * self.s1).sum(axis=(0, 1)))):
+            self.weight[i] += moved >> 12
         np.clip(self.weight, -(1 << 18), 1 << 18, out=self.weight)
-        agree = hit2[..., 1].sum(axis=(1, 2))
-        for table, hit, of in ((self.right[0], hit2.sum(axis=(2, 3, 4)), seen.sum(axis=(2, 3, 4))),
-                               (self.right[1], hit2.sum(axis=(1, 3, 4)), seen.sum(axis=(1, 3, 4))),
-                               (self.right[2], hit1.sum(axis=(1, 2, 4)) + agree, seen.sum(axis=(1, 2, 4))),
-                               (self.right[3], hit1.sum(axis=(1, 2, 4)), (seen - hit2)[..., 0].sum(axis=(1, 2)))):
+        for table, hit, of in ((self.right[0], h2, of2), (self.right[1], h0, of0),
+                               (self.right[2], n1 + h1[:, 1], of1[:, 0] + of1[:, 1]),
+                               (self.right[3], n1, of1[:, 0] - h1[:, 0])):
             table[:] = np.clip((table * 24 + hit * 65535) // (24 + of), 32, 65535 - 32)
-        groups = self.lane * GROUPS + (ids >> GROUP)
-        self.coded.append(groups.ravel())
+        missed = row[~(first | second)]
+        self.count += GAIN * np.bincount(missed, minlength=self.count.size).astype(np.int32).reshape(self.count.shape)
+        heavy = self.count.sum(axis=0) > TOTAL_MAX
+        self.count[:, heavy] = (self.count[:, heavy] + 1) >> 1
         ids32 = ids.astype(np.int32)
-        entry = ids32 | self.grade.take(groups)
-        # order 2: entry = id | (confidence * 4 + class) * 8 << 16; order 1: id | confidence * 2 << 16.
+        entry = ids32 | self.zero.grade.take(ids)
+        # order 2: entry = id | (confidence * 4 + grade) * 8 << 16; order 1: id | confidence * 2 << 16.
         # A right id gains confidence; a wrong one loses half, and its place if it had little.
-        self.seen2[at2.ravel()] = np.where(first, e2 + GAINED2[e2 >> 21], np.where(
+        self.seen2[at2.ravel()] = np.where(first, e2 + ((e2 < FULL2) * GAINED2), np.where(
             e2 >= 2 << 21, (e2 & 0x1FFFFF) | (1 << 21), entry)).ravel()
-        right1 = first & agrees | second
-        self.seen1[at1.ravel()] = np.where(right1, e1 + GAINED1[e1 >> 17], np.where(
+        right1 = first & (low_half(e2) == low_half(e1)) | second
+        self.seen1[at1.ravel()] = np.where(right1, e1 + ((e1 < FULL1) * GAINED1), np.where(
             e1 >= 2 << 17, (e1 & 0xFFFF) | (1 << 17), ids32)).ravel()
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Blocks of ids below 2**16: length, words, crc32 (unsigned 32 bit each),
-    then the 16-bit words of the code."""
+    """The packed levels of the ids and their length, then blocks of ids below
+    2**16: length, words, crc32 (unsigned 32 bit each), the 32-bit words of the code."""
     n = -(-len(ids) // block)
     if not n:
         return b""
     size = np.full(n, block)
     size[-1] = len(ids) - (n - 1) * block
-    grid = np.zeros((n, min(block, len(ids))), "<u2")       # the last block is filled up with id 0
+    length = min(block, len(ids))
+    grid = np.zeros((n, length), "<u2")       # the last block is filled up with id 0
     grid.ravel()[:len(ids)] = ids
-    steps = np.zeros((2 + grid.shape[1], n), np.int64)
+    number = np.bincount(grid.ravel(), minlength=1 << 16)
+    zero = Frequencies(np.ceil(np.log2(number + 1)).astype(np.uint8))
+    steps = np.zeros((2 + length, n), np.uint32)
     steps[2:] = grid.T
-    m = Models(n)
-    low, width = np.zeros(n, np.int64), np.full(n, WIDTH, np.int64)
-    out, used = np.zeros((n, grid.shape[1] + 64), np.int32), np.zeros(n, np.int64)
-
-    def emit(at: np.ndarray) -> None:
-        """The top word leaves; bit 16 of it is a carry into the word before."""
-        nonlocal out
-        if used[at].max() >= out.shape[1]:
-            out = np.pad(out, ((0, 0), (0, out.shape[1] // 2)))
-        out[at, used[at]] = low[at] >> 32
-        used[at] += 1
-        low[at] = (low[at] & 0xFFFFFFFF) << 16
-
-    def settle(at: np.ndarray) -> None:
-        while len(at):
-            emit(at)
-            width[at] <<= 16
-            at = at[width[at] < BOTTOM]
-
-    for lo in range(0, grid.shape[1], ROUND):
-        hi = min(lo + ROUND, grid.shape[1])
+    m = Models(n, zero)
+    low, width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    words, sent = np.zeros((length + 2, n), np.uint32), np.ones((length + 2, n), bool)
+    carry = np.zeros((length + 2, n), bool)
+    for lo in range(0, length, ROUND):
+        hi = min(lo + ROUND, length)
         x = steps[2 + lo:2 + hi]
         m.begin_round()
         at2, at1, e2, e1, kind, split = m.look(steps[lo:hi], steps[1 + lo:1 + hi])
-        first = (e2 & 0xFFFF) == x
-        second = ((e1 & 0xFFFF) == x) & ~first
-        a, both = split & 0xFFFF, split >> 16
-        start = np.where(first, 0, np.where(second, a, both)).astype(np.int64)
-        share = np.where(first, a, np.where(second, both - a, (1 << ONE) - both)).astype(np.int64)
-        step, lane = np.nonzero(~(first | second))
-        cut = np.searchsorted(step, np.arange(hi - lo + 1))
-        own = x[step, lane]
-        row = lane * (GROUPS + 1) + (own >> GROUP)
-        under = m.below.take(row).astype(np.int64)
-        f = m.below.take(row + 1) - under
-        under = (under << GROUP) + f * (own & ((1 << GROUP) - 1))
-        whole = m.total[lane] << GROUP
+        first = low_half(e2) == x
+        second = (low_half(e1) == x) & ~first
+        missed = ~(first | second)
+        a, both = split & 0xFFFF, split >> 32
+        own = zero.kind.take(x)
+        row = own * np.int64(n) + m.lane
+        rest = (1 << BITS) - both
+        under, over = (rest * m.cum.take(row)) >> BITS, (rest * m.cum.take(row + n)) >> BITS
+        start = np.where(missed, both + under, np.where(first, 0, a)).view(np.uint64)
+        share = np.where(missed, over - under, np.where(first, a, both - a)).view(np.uint64)
+        among = np.where(missed, zero.size.take(own), 1).astype(np.uint64)
+        place = np.where(missed, zero.place.take(x), 0).astype(np.uint64)
         for t in range(hi - lo):
-            unit = width >> ONE
-            low += unit * start[t]
-            np.multiply(unit, share[t], out=width)
-            part = slice(cut[t], cut[t + 1])
-            at = lane[part]
-            if len(at):
-                settle(at[width[at] < BOTTOM])
-                unit = width[at] // whole[part]
-                low[at] += unit * under[part]
-                width[at] = unit * f[part]
-            settle(np.flatnonzero(width < BOTTOM))
-        m.learn(x, at2, at1, e2, e1, kind, first, second)
-    for _ in range(3):
-        emit(m.lane)
-    for j in range(out.shape[1] - 1, 0, -1):
-        out[:, j - 1] += out[:, j] >> 16
-    parts = []
+            unit = width >> np.uint64(BITS)
+            width = unit * share[t] // among[t]
+            unit *= start[t]
+            unit += width * place[t]
+            low += unit
+            np.less(low, unit, out=carry[lo + t])
+            out = np.less(width, BOTTOM, out=sent[lo + t])
+            words[lo + t] = low >> WORD
+            shift = out * WORD
+            low <<= shift
+            width <<= shift
+        m.learn(x, at2, at1, e2, e1, kind, first, second, row)
+    words[length], words[length + 1] = low >> WORD, low & (BOTTOM - np.uint64(1))
+    sent, carry = np.ascontiguousarray(sent.T), np.ascontiguousarray(carry.T)
+    code = np.ascontiguousarray(words.T)[sent].astype(np.int64)
+    # a carry goes into the word that left before it
+    at = np.flatnonzero(carry)
+    before = np.cumsum(sent, dtype=np.int32)
+    code += np.bincount(before[at - 1] - 1, minlength=len(code))
+    while len(at := np.flatnonzero(code >> 32)):
+        code[at] &= 0xFFFFFFFF
+        code[at - 1] += 1
+    code, end = code.astype("<u4"), before.reshape(n, -1)[:, -1]
+    used = np.diff(end, prepend=0)
+    packed = zlib.compress(zero.level.tobytes())
+    parts = [np.array([len(packed)], "<u4").tobytes(), packed]
     for i in range(n):
         head = np.array([size[i], used[i], zlib.crc32(grid[i, :size[i]].tobytes())], "<u4")
-        parts += [head.tobytes(), out[i, :used[i]].astype("<u2").tobytes()]
+        parts += [head.tobytes(), code[end[i] - used[i]:end[i]].tobytes()]
     return b"".join(parts)
 
 
 def decode_blocks(raw: bytes) -> np.ndarray:
     """The ids of ``encode_blocks``; a wrong checksum is an error."""
-    heads, codes, pos = [], [], 0
+    if not len(raw):
+        return np.zeros(0, np.uint16)
+    pos = 4 + int(np.frombuffer(raw, "<u4", 1)[0])
+    try:
+        zero = Frequencies(np.frombuffer(zlib.decompress(raw[4:pos]), np.uint8))
+    except zlib.error as e:
+        raise ValueError("the levels are damaged") from e
+    heads, codes = [], []
     while pos < len(raw):
         head = np.frombuffer(raw, "<u4", 3, pos)
         heads.append(head)
-        codes.append(np.frombuffer(raw, "<u2", int(head[1]), pos + 12))
-        pos += 12 + 2 * int(head[1])
+        codes.append(np.frombuffer(raw, "<u4", int(head[1]), pos + 12))
+        pos += 12 + 4 * int(head[1])
     n = len(heads)
-    if not n:
-        return np.zeros(0, np.uint16)
     size = np.array([h[0] for h in heads], np.int64)
-    words = np.zeros((n, max(map(len, codes)) + 4), np.int64)
-    for i, c in enumerate(codes):
-        words[i, :len(c)] = c
-    span = words.shape[1]
-    flat_words, at_word = words.ravel(), np.arange(n, dtype=np.int64) * span + 3
-    m = Models(n)
-    off = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]       # the code, less the low end
-    width = np.full(n, WIDTH, np.int64)
+    used = np.array([h[1] for h in heads], np.int64)
+    words = np.concatenate(codes).astype(np.uint64)
+    at_word = np.cumsum(used) - used
+    m = Models(n, zero)
+    off = (words[at_word] << WORD) | words[at_word + 1]        # the code, less the low end
+    at_word += 2
+    width = np.full(n, (1 << 64) - 1, np.uint64)
     length = int(size[0])
-    out = np.zeros((2 + length, n), np.int64)
-
-    def settle(at: np.ndarray) -> None:
-        while len(at):
-            off[at] = (off[at] << 16) | flat_words.take(at_word[at], mode="clip")
-            at_word[at] += 1
-            width[at] <<= 16
-            at = at[width[at] < BOTTOM]
-
+    out = np.zeros((2 + length, n), np.uint32)
+    members, of_size, of_first = zero.members, zero.size - 1, zero.first
+    top = np.int64((1 << BITS) - 1)
     for lo in range(0, length, ROUND):
         hi = min(lo + ROUND, length)
         m.begin_round()
-        below, held = m.below.ravel(), []
+        cum, inner, held = m.cum.ravel(), m.cum[1:-1].astype(np.int32), []
         for t in range(lo, hi):
             seen = m.look(out[t], out[t + 1])   # at2, at1, e2, e1, kind, split
             e2, e1, split = seen[2], seen[3], seen[5]
-            unit = width >> ONE
-            a, both = unit * (split & 0xFFFF), unit * (split >> 16)
-            first, known = off < a, off < both
-            start = np.where(first, 0, np.where(known, a, both))
-            np.subtract(np.where(first, a, np.where(known, both, unit << ONE)), start, out=width)
-            np.subtract(off, start, out=off)
-            x = np.where(first, e2, e1) & 0xFFFF
-            x = x.astype(np.int64)
-            at = np.flatnonzero(~known)
-            if len(at):
-                settle(at[width[at] < BOTTOM])
-                total = m.total[at] << GROUP
-                unit = width[at] // total
-                v = np.minimum(off[at] // unit, total - 1)
-                want, row, g = v >> GROUP, at * (GROUPS + 1), np.zeros(len(at), np.int64)
-                for bit in (1 << s for s in range(GROUPS.bit_length() - 2, -1, -1)):
-                    g += bit * (below.take(row + g + bit) <= want)
-                under = below.take(row + g).astype(np.int64)
-                f = below.take(row + g + 1) - under
-                place = (v - (under << GROUP)) // f
-                off[at] -= unit * ((under << GROUP) + f * place)
-                width[at] = unit * f
-                x[at] = (g << GROUP) | place
-            settle(np.flatnonzero(width < BOTTOM))
+            a, both = split & 0xFFFF, split >> 32
+            unit = width >> np.uint64(BITS)
+            v = np.minimum((off // unit).view(np.int64), top)
+            first, known = v < a, v < both
+            one, zero_order = first.view(np.int8) - np.int64(1), known.view(np.int8) - np.int64(1)   # masks of not
+            rest, more = (1 << BITS) - both, both - a
+            # the last class whose start is not above v; the quotient is exact in doubles
+            want = ((((v - both + 1) << BITS) - 1) / rest).astype(np.int32)
+            own = np.add.reduce(inner <= want, axis=0, dtype=np.int8)
+            row = own * np.int64(n) + m.lane
+            rest &= zero_order
+            start = (a & one) + (more & zero_order) + (rest * cum.take(row) >> BITS)
+            stop = a + (more & one) + (rest * cum.take(row + n) >> BITS)
+            among = ((of_size.take(own) & zero_order) + 1).view(np.uint64)
+            width = unit * (stop - start).view(np.uint64) // among
+            off -= unit * start.view(np.uint64)
+            place = np.minimum(off // width, among - np.uint64(1))
+            off -= width * place
+            x = np.where(known, low_half(np.where(first, e2, e1)),
+                         members.take(of_first.take(own) + place.view(np.int64), mode="clip"))
             out[t + 2] = x
-            held.append((*seen[:5], first, known & ~first))
-        at2, at1, e2, e1, kind, first, second = (np.stack(c) for c in zip(*held))
-        m.learn(out[2 + lo:2 + hi], at2, at1, e2, e1, kind, first, second)
-    ids = np.concatenate([out[2:2 + size[i], i] for i in range(n)]).astype(np.uint16)
-    last = np.cumsum(size)
+            need = width < BOTTOM
+            shift = need * WORD
+            width <<= shift
+            off <<= shift
+            off |= words.take(at_word, mode="clip") * need
+            at_word += need
+            held.append((*seen[:5], first, known & ~first, row))
+        m.learn(out[2 + lo:2 + hi], *(np.stack(c) for c in zip(*held)))
+    grid = np.ascontiguousarray(out[2:].T).astype("<u2")
     for i in range(n):
-        if zlib.crc32(ids[last[i] - size[i]:last[i]].astype("<u2").tobytes()) != heads[i][2]:
+        if zlib.crc32(grid[i, :size[i]].tobytes()) != heads[i][2]:
             raise ValueError(f"block {i}: checksum differs")
-    return ids
+    return grid.ravel()[:int(size.sum())]
 
 
 # ------------------------------------------------------------------ the files
@@ -389,29 +476,26 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u2").tobytes()
         held, total = [], 0
 
         def flush():
-            ids, known, coded = (list(x) for x in zip(*held))
-            coded = [c for group in coded for c in group]
-            sizes = np.array([len(c) // 2 for c in coded], "<i8")
+            number, known, ids, sizes = (np.concatenate(x) for x in zip(*held))
             yield pa.record_batch([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(sizes.sum())]),
-                pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([np.concatenate(known).tobytes()]),
-                pa.array([sizes.tobytes()]),
-                pa.array([encode_blocks(np.frombuffer(b"".join(coded), "<u2"), block)], pa.binary())],
+                pa.array([number.astype("<i8").tobytes()]), pa.array([known.tobytes()]),
+                pa.array([sizes.astype("<i8").tobytes()]), pa.array([encode_blocks(ids, block)], pa.binary())],
                 names=[c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
 
         for batch in batches:
             col = batch.column("text").fill_null("")
-            _, at = W.text_buffer(col)
+            data, at = W.text_buffer(col)
             number = batch.column("id").fill_null(0).to_numpy()
             known = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, _, _ in W.slices(at, at, 1 << 20):
-                coded = [c + end for c in coder.encode(col.slice(lo, hi - lo).to_pylist())]
-                held.append((number[lo:hi], known[lo:hi], coded))
-                total += sum(map(len, coded)) // 2
+            for lo, hi, text, off in W.slices(data, at, min(SLICE, segment)):
+                ids, sizes = coder.slice_ids(text, off)
+                ids = np.insert(ids, np.cumsum(sizes), END_ID)
+                held.append((number[lo:hi], known[lo:hi], ids, sizes + 1))
+                total += len(ids)
                 if total >= segment:
                     yield from flush()
                     held, total, seq = [], 0, seq + 1

@@ -95,3 +95,39 @@ def test_hot_ids_are_cut_over_partitions(spark, tok):
     got = sorted((r.start, r.n_tokens) for r in T.op5_frame(frame(spark, texts, ids=ids)).collect())
     assert [s for s, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1]]
     assert sum(n for _, n in got) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+
+
+def test_words_go_to_the_library_once_whatever_follows_them(monkeypatch):
+    e, sent = T.ChunkEncoder(T.model_path()), []
+    library = e.library
+    monkeypatch.setattr(e, "library", lambda chunks: sent.extend(chunks) or library(chunks))
+    words = ["thaner", "été", "oueau", "ndin"]
+    e.encode([f"x {a}{m} {b}" for a in words for b in words for m in (",", ".", "!", ";")])
+    assert sorted(sent) == sorted(["x", ",", ".", "!", ";", *[" " + w for w in words]])
+    plain = [w for w in words if w.isascii()]
+    e.encode([f"{a}\n{b}? {a}" for a in plain for b in plain])
+    assert sorted(sent[9:]) == sorted(["\n", "?", *plain])
+
+
+def test_a_full_table_starts_again_with_the_chunks_at_hand(tok):
+    e = T.ChunkEncoder(T.model_path(), 3)
+    for t in ("a b c d e", "e f, g\nh", "a b c d e f g h"):
+        assert np.frombuffer(e.encode([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(e.known) == 8 and len(e.at) == 9 and e.at[-1] == len(e.ids)
+
+
+def test_blocks_share_the_frequencies_of_their_segment():
+    rng = np.random.default_rng(4)
+    chance = 1 / (np.arange(20000) + 10.0)
+    chance /= chance.sum()
+    ids = rng.permutation(50000)[:20000][rng.choice(20000, 200000, p=chance)]
+    raw = T.encode_blocks(ids)
+    assert (T.decode_blocks(raw) == ids).all()
+    assert 8 * len(raw) / len(ids) < 1.07 * -(chance * np.log2(chance)).sum()
+
+
+def test_carries_and_rare_ids_round_trip():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        ids = np.where(rng.random(3000) < 0.02, rng.integers(0, 65536, 3000), rng.integers(0, 2, 3000))
+        assert (T.decode_blocks(T.encode_blocks(ids, 50)) == ids).all()
