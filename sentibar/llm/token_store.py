@@ -6,22 +6,23 @@ sequence of blocks of ``BLOCK`` ids, each coded from a fresh model, with its
 own checksum.  Blocks do not depend on each other, so a task codes all blocks
 of a segment side by side: one numpy step handles the next id of every block.
 
-An id is coded in one or two range-coder steps.  The order-2 and the order-1
-context each predict the id that followed there last; order 0 says how frequent
-the order-2 id is.  The first step codes "order 2 is right / order 1 is right /
-neither" with probabilities learned per order (by confidence, and by frequency
-class) and mixed in the logistic domain with weights adapted per block.  After
-"neither" the id is coded with order-0 frequencies: its group of 64 neighbouring
-ids by adapted counts, its place in the group evenly.  Models stand still for
-``ROUND`` ids of their block and then learn from all of them, so one numpy pass
-serves a round of every block and only the interval moves id by id.  All state
-is integer, so decoding repeats it exactly; a checksum of the ids guards every
-block.
-
-Encoding to ids uses the tokenizers library through a distinct-chunk table: the
-pre-tokenizer never joins a non-space character with a space after it, so the
-text between such borders is encoded once per task and joined by position.
-Strings of special tokens in a text are ordinary text.
+An id is coded in one range-coder step.  The order-2 and the order-1 context
+each predict the id that followed there last; order 0 says how frequent the
+order-2 id is.  "Order 2 is right / order 1 is right / neither" has
+probabilities learned per order (by confidence, and by frequency grade) and
+mixed in the logistic domain with weights adapted per block.  "Neither" leaves
+its share to order 0: the class of the id by counts adapted per block, its place
+in the class evenly.  A class holds the ids that are about as frequent in the
+segment (within a factor of two); the segment begins with the class of every id,
+and nothing else is shared by its blocks.  Models stand still for ``ROUND`` ids
+of their block and then learn from all of them, so one numpy pass serves a round
+of every block and only the interval moves id by id.  All state is integer, so
+decoding repeats it exactly; a checksum of the ids guards every block.
+
+Encoding to ids uses the tokenizers library through a table of distinct chunks,
+which a worker keeps from task to task: the pre-tokenizer always cuts at some
+borders (see :func:`borders`), so the text between them is encoded once and
+joined by position.  Strings of special tokens in a text are ordinary text.
 
 Defined cases: null and empty texts have the end id only; rows are ordered by
 id (nulls first), ties by text hash; an empty table gives an empty result;
@@ -237,12 +238,12 @@ class Frequencies:
         self.members = there[np.argsort(level[there], kind="stable")].astype(np.int32)
         self.size = np.bincount(self.kind[there], minlength=self.n)
         self.first = np.cumsum(self.size) - self.size
-        self.place = np.zeros(1 << 16, np.int32)
+        self.place = np.zeros(1 << 16, np.int64)
         self.place[self.members] = np.arange(len(there)) - np.repeat(self.first, self.size)
-        mass = self.size * 2.0 ** levels
+        mass = self.size << levels.astype(np.int64)
         self.prior = np.maximum(4, PRIOR * mass // max(1, mass.sum())).astype(np.int32)
-        rare = np.log2(max(1, mass.sum())) - level.astype(np.float64)
-        self.grade = (((rare < 13).astype(np.int32) + (rare < 10.5) + (rare < 8)) << 19) * (level > 0)
+        often = [mass.sum() < np.int64(1) << (level.astype(np.int64) + rare) for rare in (13, 10, 8)]
+        self.grade = (np.sum(often, axis=0, dtype=np.int32) << 19) * (level > 0)
 
 
 class Models:
@@ -354,12 +355,13 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
         a, both = split & 0xFFFF, split >> 32
         own = zero.kind.take(x)
         row = own * np.int64(n) + m.lane
-        rest = (1 << BITS) - both
+        one, zero_order = first.view(np.int8) - np.int64(1), -missed.astype(np.int64)    # masks of not
+        rest, more = (1 << BITS) - both & zero_order, both - a
         under, over = (rest * m.cum.take(row)) >> BITS, (rest * m.cum.take(row + n)) >> BITS
-        start = np.where(missed, both + under, np.where(first, 0, a)).view(np.uint64)
-        share = np.where(missed, over - under, np.where(first, a, both - a)).view(np.uint64)
-        among = np.where(missed, zero.size.take(own), 1).astype(np.uint64)
-        place = np.where(missed, zero.place.take(x), 0).astype(np.uint64)
+        start = ((a & one) + (more & zero_order) + under).view(np.uint64)
+        share = (a + (more & one) + over).view(np.uint64) - start
+        among = ((zero.size.take(own) - 1 & zero_order) + 1).view(np.uint64)
+        place = (zero.place.take(x) & zero_order).view(np.uint64)
         for t in range(hi - lo):
             unit = width >> np.uint64(BITS)
             width = unit * share[t] // among[t]
@@ -421,10 +423,12 @@ def decode_blocks(raw: bytes) -> np.ndarray:
     out = np.zeros((2 + length, n), np.uint32)
     members, of_size, of_first = zero.members, zero.size - 1, zero.first
     top = np.int64((1 << BITS) - 1)
+    held = [np.zeros((min(ROUND, length), n), t) for t in (
+        np.int64, np.int64, np.int32, np.int32, np.int32, bool, bool, np.int64)]
     for lo in range(0, length, ROUND):
         hi = min(lo + ROUND, length)
         m.begin_round()
-        cum, inner, held = m.cum.ravel(), m.cum[1:-1].astype(np.int32), []
+        cum, inner = m.cum.ravel(), m.cum[1:-1].astype(np.int32)
         for t in range(lo, hi):
             seen = m.look(out[t], out[t + 1])   # at2, at1, e2, e1, kind, split
             e2, e1, split = seen[2], seen[3], seen[5]
@@ -455,8 +459,9 @@ def decode_blocks(raw: bytes) -> np.ndarray:
             off <<= shift
             off |= words.take(at_word, mode="clip") * need
             at_word += need
-            held.append((*seen[:5], first, known & ~first, row))
-        m.learn(out[2 + lo:2 + hi], *(np.stack(c) for c in zip(*held)))
+            for all_steps, now in zip(held, (*seen[:5], first, known & ~first, row)):
+                all_steps[t - lo] = now
+        m.learn(out[2 + lo:2 + hi], *(all_steps[:hi - lo] for all_steps in held))
     grid = np.ascontiguousarray(out[2:].T).astype("<u2")
     for i in range(n):
         if zlib.crc32(grid[i, :size[i]].tobytes()) != heads[i][2]:
